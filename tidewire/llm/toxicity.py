@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import alnum_words, crc_mod, read, texts
 
 SLOTS_BITS = 20
-MAX_PER_CLASS = 6000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+MAX_PER_CLASS = 8000
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 
 
 def slots(text: bytes, cache: dict[bytes, int], bits: int = SLOTS_BITS) -> np.ndarray:
