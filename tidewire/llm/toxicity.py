@@ -120,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", id_col: st
     sample, counts = labelled_sample(docs, labels, target=target, id_col=id_col, text_col=text_col, train=train, max_per_class=max_per_class)
     passes = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     ordered = passes.repartition(1).sortWithinPartitions("epoch", "rank", "label", "text").select("label", "text")
-    found = ordered.mapInArrow(_train(bits), "slot bigint, weight double").toPandas()
-    model = dict(zip(found["slot"].astype(int), found["weight"].astype(float), strict=True))
+    found = ordered.mapInArrow(_train(bits), "slot bigint, weight double").toArrow()
+    model = dict(zip(found["slot"].to_pylist(), found["weight"].to_pylist(), strict=True))
     odds = model.pop(-1, 0.0)
     intercept = model.pop(1 << bits, 0.0)
     if counts[0] and counts[1]:
