@@ -142,12 +142,12 @@ def sample(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = 0,
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all columns and n_copies, how often each is taken."""
+    """The rows of ``docs`` that the mix takes, with all columns and n_copies, how often each is taken (a column of that name is replaced)."""
     text = F.col(text_col).cast("string")
     marked = docs.withColumns(_marks(docs, text, source_col, lang_col))
     cells, few = cell_weights(marked.select("__source", "__lang", "__topic", "__tokens"), targets=targets, temper=temper)
     out = _drawn(marked, cells, few, budget, uniform(F.col(id_col), text, seed))
-    return out.where("__copies > 0").select(*docs.columns, F.col("__copies").alias("n_copies"))
+    return out.where("__copies > 0").select(*[c for c in docs.columns if c.lower() != "n_copies"], F.col("__copies").alias("n_copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
