@@ -26,6 +26,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     node. State stays in distributed tables and each round is checkpointed.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
