@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, durable
+
+__all__ = ["WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "local_roots", "read", "spaced_words", "texts"]
+
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -20,26 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager checkpoint in the shared checkpoint folder.
-
-    The session's ``spark.checkpoint.dir`` decides where; only if it is unset (as in tests) a temporary
-    folder is used.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
-    return df.checkpoint()
-
-
-def texts(batch) -> list[bytes]:
-    """The column ``text`` of an Arrow batch as UTF-8 bytes; null counts as empty."""
-    import pyarrow as pa
-
-    column = batch.column(batch.schema.get_field_index("text"))
-    return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
-
-
 def filter_by_text(df: DataFrame, text_col: str, predicate) -> DataFrame:
     """Rows of ``df`` for whose texts ``predicate()`` holds; all columns pass through unchanged.
 
@@ -89,34 +71,3 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(new, root):
             return root
         root = new
-
-
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
-
-    ``links`` has two columns of one orderable type, ``a`` and ``b``. Returns (node, label) for every
-    node that has a link to another one, label being the smallest node of its component. All state stays
-    in distributed tables; each round is checkpointed, so a lost executor costs one round at most.
-    Hub nodes only meet in partial aggregates and in joins that adaptive execution can split.
-    """
-    edges = durable(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = None
-    for _ in range(max_rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
