@@ -7,8 +7,8 @@ the observed tokens, so the mix keeps what the targets leave open. A document of
 id, which makes the expected tokens of every source, language and topic those of the targets.
 
 Everything here is DataFrame expressions. Work on documents is one aggregate with partial sums and one join;
-raking works on the table of cells. Up to ``small`` cells live in one partition (a proven bound, so rakes need
-no exchange and the table may be broadcast); more are spread and joined by shuffles.
+raking works on the table of cells. Up to ``small`` cells (a proven bound) are raked as arrays of one row, in one
+expression, and broadcast; more are raked by aggregates and joins, with the same result.
 
 A default target tempers the observed share: its square root, scaled to sum to one. The topic is the first of
 ``TOPICS`` with one of its words in the lower-cased text, else ``prose``.
@@ -37,7 +37,7 @@ TEMPER = 0.5
 BUDGET = 0.5
 TOLERANCE = 1e-10
 MAX_SWEEPS = 200
-SMALL = 100_000
+SMALL = 2_000
 
 
 def topic(text: Column, topics=TOPICS) -> Column:
@@ -70,19 +70,66 @@ def _marks(docs: DataFrame, text: Column, source_col: str, lang_col: str) -> dic
     }
 
 
-def cell_weights(
-    marked: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE,
-    max_sweeps: int = MAX_SWEEPS, small: int = SMALL,
-) -> tuple[DataFrame, bool]:
-    """(source, lang, topic, cell_tokens, w) with w summing to 1, and whether the cells are few."""
-    names = dict(zip(DIMENSIONS, ("__source", "__lang", "__topic"), strict=True))
-    cells = durable(
-        marked.groupBy(*[F.col(v).alias(k) for k, v in names.items()]).agg(F.sum("__tokens").alias("cell_tokens")).where("cell_tokens > 0")
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _raked_array(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, tolerance: float, max_sweeps: int) -> DataFrame:
+    """``cell_weights`` of up to SMALL cells: all sweeps are one expression over one row of arrays."""
+    row = cells.agg(F.sort_array(F.collect_list(F.struct(*DIMENSIONS, "cell_tokens"))).alias("c")).where(F.size("c") > 0)
+    n = F.size("c") - 1
+    row = row.withColumns({"place": F.sequence(F.lit(0), n), "w0": F.transform("c", lambda x: F.coalesce(x["cell_tokens"].cast("double"), F.lit(0.0)))})
+    def with_groups(row: DataFrame, k: str) -> DataFrame:
+        """Names of a dimension's values, each cell's value and each value's cells by number, and the target shares."""
+        row = row.withColumn(f"names_{k}", F.array_distinct(F.transform("c", lambda x: x[k])))
+        row = row.withColumn(f"at_{k}", F.transform("c", lambda x: F.array_position(f"names_{k}", x[k]).cast("int") - 1))
+        numbers = F.sequence(F.lit(0), F.size(f"names_{k}") - 1)
+        row = row.withColumn(f"of_{k}", F.transform(numbers, lambda g: F.filter("place", lambda i: F.get(f"at_{k}", i) == g)))
+        if targets and k in targets:
+            given = F.create_map(*[F.lit(v) for pair in targets[k].items() for v in (str(pair[0]), float(pair[1]))])
+            share = F.transform(f"names_{k}", lambda x: F.coalesce(F.try_element_at(given, x), F.lit(0.0)))
+        else:
+            share = F.transform(f"of_{k}", lambda g: F.pow(F.aggregate(g, F.lit(0.0), lambda acc, i: acc + F.get("w0", i)), F.lit(temper)))
+        row = row.withColumn(f"s_{k}", share)
+        total = F.aggregate(f"s_{k}", F.lit(0.0), lambda acc, x: acc + x)
+        return row.withColumn(f"t_{k}", _let(total, lambda t: F.transform(f"s_{k}", lambda x: F.when(t > 0, x / t).otherwise(F.lit(0.0)))))
+
+    for k in DIMENSIONS:
+        row = with_groups(row, k)
+
+    def rake(w: Column, k: str) -> Column:
+        def scaled(sums: Column) -> Column:
+            def one(i):
+                g = F.get(f"at_{k}", i)
+                s = F.get(sums, g)
+                return F.coalesce(F.when(s > 0, F.get(w, i) * F.get(f"t_{k}", g) / s), F.lit(0.0))
+
+            return F.transform("place", one)
+
+        return _let(F.transform(f"of_{k}", lambda g: F.aggregate(g, F.lit(0.0), lambda acc, i: acc + F.get(w, i))), scaled)
+
+    def sweep(old: Column) -> Column:
+        source, lang, topics = DIMENSIONS
+        new = _let(rake(old, source), lambda a: _let(rake(a, lang), lambda b: rake(b, topics)))
+        change = lambda w: F.array_max(F.transform("place", lambda i: F.when(F.get(old, i) > 0, F.abs(F.get(w, i) / F.get(old, i) - 1)).otherwise(F.lit(0.0))))
+        return _let(new, lambda w: F.struct(w.alias("w"), F.coalesce(change(w), F.lit(0.0)).alias("change")))
+
+    start = F.struct(F.col("w0").alias("w"), F.lit(float("inf")).alias("change"))
+    kind = "struct<w:array<double>,change:double>"
+    done = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_sweeps)), start.cast(kind), lambda acc, _: F.when(acc["change"] <= tolerance, acc).otherwise(sweep(acc["w"]).cast(kind))
     )
-    few = cells.count() <= small
-    spark = marked.sparkSession
+    row = row.withColumn("done", done)
+    return row.select(F.explode(F.transform("place", lambda i: F.struct(F.get("c", i).alias("c"), F.get("done.w", i).alias("w")))).alias("x")).select("x.c.*", "x.w")
+
+
+def _raked_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temper: float, tolerance: float, max_sweeps: int) -> DataFrame:
+    """``cell_weights`` of any number of cells: each rake is an aggregate and a join."""
+    spark = cells.sparkSession
+    base = cells
     for k in DIMENSIONS:
-        seen = cells.groupBy(k).agg(F.sum("cell_tokens").alias("t"))
+        seen = base.groupBy(k).agg(F.sum("cell_tokens").alias("t"))
         if targets and k in targets:
             given = spark.createDataFrame([(str(a), float(b)) for a, b in targets[k].items()], f"{k} string, t double")
             seen = seen.select(k).join(given, k, "left").na.fill(0.0, ["t"])
@@ -90,8 +137,7 @@ def cell_weights(
             seen = seen.select(k, F.pow(F.col("t").cast("double"), F.lit(temper)).alias("t"))
         total = seen.agg(F.sum("t")).first()[0] or 1.0
         cells = cells.join(seen.select(k, (F.col("t") / F.lit(float(total))).alias(f"t_{k}")), k)
-    state = cells.withColumn("w", F.col("cell_tokens").cast("double")).withColumn("old", F.lit(0.0))
-    state = durable(state.coalesce(1) if few else state)
+    state = durable(cells.withColumn("w", F.col("cell_tokens").cast("double")))
     for _ in range(max_sweeps):
         state = state.withColumn("old", F.col("w"))
         for k in DIMENSIONS:
@@ -99,9 +145,24 @@ def cell_weights(
             state = state.join(sums, k).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"t_{k}") / F.col("s")).otherwise(F.lit(0.0))).drop("s")
         state = durable(state)
         change = state.agg(F.max(F.when(F.col("old") > 0, F.abs(F.col("w") / F.col("old") - 1)).otherwise(F.lit(0.0)))).first()[0]
+        state = state.drop("old")
         if not change or change <= tolerance:
             break
-    return state.select(*DIMENSIONS, "cell_tokens", "w"), few
+    return state.select(*DIMENSIONS, "cell_tokens", "w")
+
+
+def cell_weights(
+    marked: DataFrame, *, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE,
+    max_sweeps: int = MAX_SWEEPS, small: int = SMALL,
+) -> tuple[DataFrame, bool]:
+    """(source, lang, topic, cell_tokens, w) with w summing to 1, and whether the cells are few."""
+    names = dict(zip(DIMENSIONS, ("__source", "__lang", "__topic"), strict=True))
+    cells = durable(
+        marked.groupBy(*[F.col(v).alias(k) for k, v in names.items()]).agg(F.sum("__tokens").alias("cell_tokens")).where("cell_tokens > 0")
+    )
+    few = cells.count() <= small
+    raked = _raked_array if few else _raked_table
+    return durable(raked(cells, targets, temper, tolerance, max_sweeps)), few
 
 
 def _drawn(marked: DataFrame, cells: DataFrame, few: bool, budget: float, draw: Column) -> DataFrame:
