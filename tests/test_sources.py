@@ -153,3 +153,57 @@ def test_sql_agrees(spark, sf, name):
     columns = sorted(got.columns)
     a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert a.replace({"None": "nan", "NaT": "nan"}).equals(b.replace({"None": "nan", "NaT": "nan"}))
+
+
+def test_models(spark):
+    from tidewire.sources import models
+
+    assert models.json_object('{"a": 1} and {"b": 2') == {"a": 1} and models.json_object('x ```json\n{"a": [1,],}\n``` y') == {"a": [1]}
+    with pytest.raises(ValueError, match="no JSON"):
+        models.json_object("nothing")
+    answers = iter(["bad", '{"x": 1}'])
+    model = models.ChatModel(lambda s, u: next(answers))
+    assert model.json("", "") == {"x": 1} and model.stats == {"calls": 2, "completion_chars": 11}
+
+    def send(system, user):
+        if "two" in user:
+            raise OSError("down")
+        return '{"importance_score": "91", "title": "T", "category": "policy", "key_data": [{"label": "n", "value": 7}, 3], "corrected_details": "c"}'
+
+    contexts = spark.createDataFrame([(1, "e1", "one"), (2, "e2", "two")], "seq bigint, event_id string, context string")
+    (row,) = models.analyse(contexts, send).collect()
+    assert (row["event_id"], row["importance_score"], row["is_valid"], [tuple(k) for k in row["key_data"]]) == ("e1", 91.0, True, [("n", "7")])
+    due = spark.createDataFrame([(1, "t", "d", "s"), (2, "two", "d", None)], "seq bigint, title string, details string, source_text string")
+    assert [(r["seq"], r["corrected_details"]) for r in models.verify(due, send).collect()] == [(1, "c")]
+
+    def extract(url):
+        return {"u1": "text"}[url]
+
+    assert {tuple(r) for r in models.fetch_texts(spark.createDataFrame([("u1",), ("u2",), ("u1",)], "url string"), extract).collect()} == {("u1", "text"), ("u2", "")}
+
+
+def test_supplement(spark):
+    rows = spark.createDataFrame([(k, f"q{k}", 10, c) for k, c in enumerate("aab")], "seq bigint, query string, max_results int, category string")
+
+    def fetch(query, n):
+        if query == "q2":
+            raise OSError("down")
+        return [{"title": f"{query} {n}", "url": "https://www.s.com/x", "published": "Aug 19, 2026"}]
+
+    got = search.supplement(rows, fetch, 2).collect()
+    assert [(r["query_origin"], r["title"], r["source_domain"], str(r["published_at"])) for r in got] == [("q0", "q0 7", "s.com", "2026-08-19 00:00:00")]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tidewire.__main__ import main
+
+    config = tmp_path / "s.yaml"
+    config.write_text("search_strategy:\n  batches:\n  - {batch_id: l, queries: [{query: one}, {query: two}]}\n")
+    assert main(["info", str(config)]) == 0 and main(["queries", str(config), "--batch", "none"]) == 1
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(rows(12)))
+    history = str(tmp_path / "events")
+    assert main(["brief", "--from-file", str(path), "--history", history, "--as-of", "2026-08-20 00:00:00"]) == 0
+    assert files.read_event_table(spark, history).count() > 0
+    path.write_text(json.dumps(rows(2)))
+    assert main(["brief", "--from-file", str(path)]) == 1

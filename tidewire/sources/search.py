@@ -131,3 +131,37 @@ def register_table_source(spark, name: str, fetch: Callable[[dict], list[tuple]]
             return Reader(dict(self.options))
 
     spark.dataSource.register(Source)
+
+
+def supplement(queries: DataFrame, fetch: Callable[[str, int], list[dict]], n: int = 5, most: int = 7, concurrency: int = 5) -> DataFrame:
+    """Results of a second service for n queries, balanced over categories; a failed call gives no rows.
+
+    ``fetch`` returns dicts with title, url and, if known, snippet, published and score. Times without a zone
+    count as UTC.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..functions.dates import flexible_date
+    from ..functions.urls import result_id, source_domain
+    from ..operators.querygen import pick_balanced
+
+    def one(pair: tuple[str, int]) -> list[dict]:
+        try:
+            return [{"query_origin": pair[0], "pos": k} | {c: r.get(c) for c in ("title", "url", "snippet", "published", "score")} for k, r in enumerate(fetch(*pair))]
+        except Exception:  # noqa: BLE001  the service is optional
+            return []
+
+    def run(frames):
+        names = ["seq", "query_origin", "pos", "title", "url", "snippet", "published", "score"]
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in frames:
+                asked = list(zip(frame["query"], frame["max_results"].astype(int), strict=True))
+                rows = [{"seq": s} | r for s, found in zip(frame["seq"], pool.map(one, asked), strict=True) for r in found]
+                yield pd.DataFrame(rows, columns=names)
+
+    picked = pick_balanced(queries, n).withColumn("max_results", F.least("max_results", F.lit(most))).select("seq", "query", "max_results")
+    found = picked.mapInPandas(run, "seq bigint, query_origin string, pos int, title string, url string, snippet string, published string, score double")
+    return found.select(
+        (F.col("seq") * 1000 + F.col("pos")).alias("seq"), "query_origin", "title", "url", F.coalesce("snippet", F.lit("")).alias("snippet"),
+        source_domain(F.col("url")).alias("source_domain"), result_id(F.col("url"), F.col("title")).alias("result_id"), flexible_date(F.col("published")).alias("published_at"), "score",
+    )
