@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import bigrams, title_key
+from .graph import durable
 from .similarity import distinct_sets, similar_sets
 
 
@@ -22,8 +23,8 @@ def first_hits(events: DataFrame, history: DataFrame, threshold: float = params.
     key = title_key(F.col("canonical_title"))
     new = events.select("seq", key.alias("key"))
     old = history.select(key.alias("key"), F.struct("report_date", "file", "pos", "canonical_title").alias("place")).groupBy("key").agg(F.min("place").alias("place"))
-    a = distinct_sets(new, F.col("key"), bigrams(F.col("key"), False))
-    b = distinct_sets(old, F.col("key"), bigrams(F.col("key"), False))
+    a = durable(distinct_sets(new, F.col("key"), bigrams(F.col("key"), False)))
+    b = durable(distinct_sets(old, F.col("key"), bigrams(F.col("key"), False)))
     met = similar_sets(a, b, threshold).join(old.withColumnRenamed("key", "b"), "b")
     best = met.groupBy("a").agg(F.min(F.struct("place", "sim")).alias("hit"))
     return new.join(best, F.col("key") == F.col("a")).select(

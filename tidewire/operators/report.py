@@ -91,9 +91,13 @@ def apply_checks(analyses: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
+def _filled(analyses: DataFrame) -> DataFrame:
+    return analyses.withColumns({"category": F.coalesce("category", F.lit(params.DEFAULT_CATEGORY)), "importance_score": F.coalesce("importance_score", F.lit(0.0))})
+
+
 def _ordered(analyses: DataFrame) -> DataFrame:
     """Analyses with category and score filled and the first place of their category, for ordering."""
-    rows = analyses.withColumns({"category": F.coalesce("category", F.lit(params.DEFAULT_CATEGORY)), "importance_score": F.coalesce("importance_score", F.lit(0.0))})
+    rows = _filled(analyses)
     firsts = rows.groupBy("category").agg(F.min(F.struct(-F.col("importance_score"), F.col("seq"))).alias("__first"))
     return rows.join(firsts, "category")
 
@@ -110,11 +114,11 @@ def top_news(analyses: DataFrame) -> DataFrame:
 
 def section_items(analyses: DataFrame, top: DataFrame, sections=params.SECTIONS) -> DataFrame:
     """Analyses in their sections with ``rank``: the top news, and up to eight others of each category."""
-    rest = _ordered(analyses).join(top.select("event_id").distinct(), "event_id", "left_anti")
+    rest = _filled(analyses).join(top.select("event_id").distinct(), "event_id", "left_anti")
     names = [s for s, _ in sections if s != "top_news"]
     of_section = Window.partitionBy("category").orderBy(F.desc("importance_score"), "seq")
     ranked = rest.where(F.col("category").isin(*names)).withColumn("rank", F.row_number().over(of_section)).where(F.col("rank") <= params.SECTION_ITEMS)
-    return top.withColumn("section_id", F.lit("top_news")).unionByName(ranked.drop("__first").withColumn("section_id", F.col("category")))
+    return top.withColumn("section_id", F.lit("top_news")).unionByName(ranked.withColumn("section_id", F.col("category")))
 
 
 def left_out(analyses: DataFrame, items: DataFrame) -> DataFrame:

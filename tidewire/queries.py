@@ -121,7 +121,7 @@ def title_bigrams(spark, sf):
 @registered(f"WITH {ARTICLES}, {KEYS}, p AS ({pairs_sql(0.6)}) SELECT ka.k AS a, kb.k AS b, any_value(p.sim) AS sim FROM p JOIN grams ka ON ka.seq = p.a JOIN grams kb ON kb.seq = p.b WHERE ka.k <> kb.k GROUP BY least(ka.k, kb.k), greatest(ka.k, kb.k), ka.k, kb.k HAVING ka.k < kb.k UNION SELECT kb.k, ka.k, p.sim FROM p JOIN grams ka ON ka.seq = p.a JOIN grams kb ON kb.seq = p.b WHERE ka.k > kb.k")
 def title_pairs(spark, sf):
     key = text.title_key(F.col("title"))
-    return similar_sets(distinct_sets(articles(spark, sf), key, text.bigrams(key, False)), None, 0.6)
+    return similar_sets(durable(distinct_sets(articles(spark, sf), key, text.bigrams(key, False))), None, 0.6)
 
 
 @registered(f"WITH {ARTICLES} SELECT seq, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published FROM articles WHERE published_at IS NULL OR published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOURS")
