@@ -3,14 +3,15 @@
 One dictionary is built from texts labelled good, one from texts labelled bad. A text is cut into pieces of
 ``piece`` bytes (all of it), each is compressed with either dictionary, and the sizes are added up. The
 difference of the two sums over their sum is turned into a probability by a logistic curve fitted on other
-labelled texts (Platt scaling).
+labelled texts (Platt scaling). The curve depends on the text's length, since the difference of a short text
+means less, and on the share of its size that compression leaves, which is small for monotonous texts.
 
 Fitting uses a bounded sample of the labelled rows: up to ``max_per_class`` documents of each label, those
 whose id has the smallest hash, whole texts. Half of them feed the dictionaries (of their pieces the
 ``max_pieces`` of smallest hash for each label), half the curve. They stream through one task in a fixed
-order; the result is two dictionaries of ``dictionary_bytes`` and four numbers.
+order; the result is two dictionaries of ``dictionary_bytes`` and five numbers.
 
-Edge cases: a null or empty text has a difference of 0 and is scored as such. A document whose training
+Edge cases: a null or empty text has features of 0 and is scored as such. A document whose training
 labels disagree, or are null, is not learned from. With too few labels of one kind every score is 0.5.
 Repeated rows are scored as often as they occur; a null id is scored and counts as not held out. An empty
 table gives no rows. Other columns are ignored.
@@ -19,6 +20,7 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -47,14 +49,17 @@ class Sizes:
         self.bad = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(bad), **plain)
         self.piece = piece
 
-    def difference(self, text: bytes) -> float:
-        """(bad - good) / (bad + good): above 0 if the good dictionary fits better."""
+    def features(self, text: bytes) -> tuple[float, float, float, float]:
+        """(bad - good) / (bad + good), above 0 if the good dictionary fits better; the same times the logarithm
+        of the length, that logarithm, and the logarithm of the compressed share.
+        """
         g = b = 0
         for k in range(0, len(text), self.piece):
             x = text[k : k + self.piece]
             g += len(self.good.compress(x))
             b += len(self.bad.compress(x))
-        return (b - g) / (b + g) if g else 0.0
+        difference, length = (b - g) / max(1, b + g), math.log1p(len(text))
+        return difference, difference * length, length, math.log((g + b + 1) / (2 * len(text) + 1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -98,17 +103,18 @@ def _train(counts: dict[int, int], piece: int, dictionary_bytes: int, max_pieces
                         except zs.ZstdError:
                             built.append(b"".join(pieces)[-dictionary_bytes:])
                     sizes = Sizes(*reversed(built), piece)
-                x.append(sizes.difference(text))
+                x.append(sizes.features(text))
                 y.append(label)
         if not x or len(set(y)) < 2:
             return
         x, y = np.array(x), np.array(y)
-        mean, sd = x.mean(), x.std() or 1.0
+        mean, sd = x.mean(axis=0), x.std(axis=0)
+        sd = np.where(sd > 0, sd, 1.0)
         share = np.array([counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum()])
-        w = logistic(((x - mean) / sd)[:, None], y, share[y] * len(y) / sum(counts.values()))
+        w = logistic((x - mean) / sd, y, share[y] * len(y) / sum(counts.values()))
         yield pa.record_batch(
-            [pa.array([built[1]], pa.binary()), pa.array([built[0]], pa.binary()), pa.array([w[0] / sd]), pa.array([w[1] - w[0] * mean / sd])],
-            names=["good", "bad", "slope", "intercept"],
+            [pa.array([built[1]], pa.binary()), pa.array([built[0]], pa.binary()), pa.array([(w[:-1] / sd).tolist()]), pa.array([w[-1] - float(w[:-1] @ (mean / sd))])],
+            names=["good", "bad", "slopes", "intercept"],
         )
 
     return run
@@ -125,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, target: str = "quality", id_col:
         .sortWithinPartitions("part", "rank", "label", "text")
         .select("label", "part", "text")
     )
-    found = ordered.mapInArrow(_train(counts, piece, dictionary_bytes, max_pieces), "good binary, bad binary, slope double, intercept double").collect()
+    found = ordered.mapInArrow(_train(counts, piece, dictionary_bytes, max_pieces), "good binary, bad binary, slopes array<double>, intercept double").collect()
     return found[0].asDict() | {"piece": piece} if found else None
 
 
@@ -134,7 +140,7 @@ def _scorer(model: dict | None):
     sizes = model and Sizes(bytes(model["good"]), bytes(model["bad"]), model["piece"])
 
     def scores(texts_: list[bytes]) -> np.ndarray:
-        z = [model["slope"] * sizes.difference(x) + model["intercept"] if model else 0.0 for x in texts_]
+        z = [np.dot(model["slopes"], sizes.features(x)) + model["intercept"] if model else 0.0 for x in texts_]
         return 1 / (1 + np.exp(-np.clip(np.array(z, float), -35, 35)))
 
     return scores
