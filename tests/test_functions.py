@@ -137,3 +137,12 @@ def test_ids(spark):
     assert one(spark, urls.item_id(F.lit(7))) == "item_007"
     assert one(spark, urls.item_id(F.lit(1234))) == "item_1234"
     assert one(spark, urls.event_id(F.lit("A" * 60))) == one(spark, urls.event_id(F.lit("a" * 50)))
+
+
+def test_scoring(spark):
+    from tidewire.functions import scoring
+
+    parts = {k: F.lit(90) for k, _ in scoring.WEIGHTS}
+    assert one(spark, scoring.importance(parts)) == pytest.approx(90)
+    assert one(spark, scoring.importance({"global_impact": F.lit(100)})) == pytest.approx(30)
+    assert [one(spark, scoring.grade(F.lit(s))) for s in (95, 94.9, 85, 80, 10)] == ["S", "A+", "A", "B+", "C"]

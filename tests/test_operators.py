@@ -317,3 +317,13 @@ def test_backfill(spark):
 def test_distinct_sets(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert distinct_sets(df, F.col("k"), F.array("k")).count() == 2
+
+
+def test_extras(spark):
+    from tidewire.operators import extras
+
+    items = spark.createDataFrame([(k, "policy" if k % 2 else "funding", float(k), ["A"] if k < 5 else ["A", "B"] if k < 7 else []) for k in range(20)], "seq bigint, section_id string, importance_score double, companies_mentioned array<string>")
+    got = extras.limited_sections(items)
+    assert sorted(r["seq"] for r in got.collect()) == [8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19]
+    assert sorted(r["seq"] for r in extras.limited_companies(items).collect()) == [4, 5, 6, *range(7, 20)]
+    assert {r["section_id"]: r["n"] for r in extras.shortfalls(got).collect()} == {"top_news": 0, "model_tech": 0, "research": 0, "industry": 0}
