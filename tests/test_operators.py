@@ -127,6 +127,8 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+    named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")
+    assert {(r["node"], r["label"]) for r in components(named, few=1000).collect()} == {(f"n{x:03}", f"n{find(x):03}") for x in linked}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions.text import bigrams, companies, event_type, jaccard, title_key
 from ..functions.urls import event_id, reliability_weight
-from .graph import components, durable
+from .graph import FEW_LINKS, components, durable
 from .similarity import distinct_sets, similar_sets
 
 
@@ -124,7 +124,7 @@ def cluster_components(articles: DataFrame, threshold: float = params.CLUSTER_TH
     key = title_key(F.col("title"))
     rows = articles.select("seq", key.alias("key"))
     titles = durable(distinct_sets(rows, F.col("key"), bigrams(F.col("key"), False)))
-    labels = components(similar_sets(titles, None, threshold).select("a", "b"))
+    labels = components(similar_sets(titles, None, threshold).select("a", "b"), few=FEW_LINKS)
     # titles without a letter or digit match nothing, not even each other
     own = F.when(F.col("key") == "", F.col("seq").cast("string"))
     named = rows.join(labels, F.col("key") == F.col("node"), "left").withColumn("group", F.concat(F.when(F.col("key") == "", "#").otherwise("="), F.coalesce(own, "label", "key")))

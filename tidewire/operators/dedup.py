@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions.text import bigrams, title_key
 from ..functions.urls import reliability_weight
-from .graph import components, durable
+from .graph import FEW_LINKS, components, durable
 from .similarity import distinct_sets, similar_sets
 
 
@@ -85,7 +85,7 @@ def dedup_by_title(articles: DataFrame, threshold: float = params.TITLE_THRESHOL
     )
     titles = durable(distinct_sets(rows, F.col("key"), bigrams(F.col("key"), True)))
     pairs = durable(similar_sets(titles, None, threshold).select("a", "b"))
-    labels = components(pairs)
+    labels = components(pairs, few=FEW_LINKS)
     named = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     many = named.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
     crowd = named.join(many, "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,44 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of links (a, b) by alternating large-star and small-star steps.
+#: Links up to this number are joined up in one task where a caller allows it.
+FEW_LINKS = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Components of a bounded number of links by union-find; smaller nodes stay roots."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        kind = edges_type
+        yield pa.record_batch([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "label"])
+
+    edges_type = pa.string() if dict(edges.dtypes)["u"] == "string" else pa.int64()
+    return edges.coalesce(1).mapInArrow(run, f"node {dict(edges.dtypes)['u']}, label {dict(edges.dtypes)['u']}")
+
+
+def components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
+    """Connected components of links (a, b), both bigint or string, by alternating large-star and small-star steps.
 
     Returns (node, label) for every node with a link to another one, label being the component's smallest
-    node. State stays in distributed tables and each round is checkpointed.
+    node. State stays in distributed tables and each round is checkpointed. Up to ``few`` links are joined up
+    in one task instead, with the same result.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if few and edges.count() <= few:
+        return _in_one_task(edges)
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     seen = None
