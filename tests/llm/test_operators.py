@@ -178,6 +178,20 @@ def test_roles(spark, seed):
     assert roles.repair_conversations(df.limit(0)).count() == 0
 
 
+def test_roles_of_costly_conversations(spark):
+    """Costs above 2^18 in one conversation, on one partition and across borders."""
+    auto, n = roles.Automaton(roles.COSTS), 270_000
+    out = list(roles.repaired(auto, [{"role": "user", "turn": k, "text": "x"} for k in range(n)]))
+    assert [x[6] for x in out] == ["keep"] + ["merge"] * (n - 1) and sum(x[7] for x in out) == n - 1
+    rng = random.Random(7)
+    rows = [(k % 2, k // 2, rng.choice(["user", "assistant", "system", None]), f"t{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = roles.repair_conversations(df).collect()
+    dear = roles.repair_conversations(df, costs={k: v * 100_000 for k, v in roles.COSTS.items()}).collect()
+    strip = lambda out, by: sorted(repr({**r.asDict(), "cost": r["cost"] * by}) for r in out)
+    assert strip(plain, 100_000) == strip(dear, 1)
+
+
 # --- 4 ---
 def test_mixing(spark):
     rng = random.Random(0)

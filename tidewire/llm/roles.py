@@ -6,7 +6,7 @@ before it, or preceded by inserted empty messages; each of these has a cost, and
 cheapest repair, among equals the one of fewest messages. The repaired messages are then rendered.
 
 The cost of a stretch of turns from one automaton state to another is a small matrix, and stretches combine by
-min-plus products. So conversations are dealt to partitions by ranges of (conversation, turn): a conversation
+min-plus products. Costs and numbers of messages are exact integers without a bound. So conversations are dealt to partitions by ranges of (conversation, turn): a conversation
 that holds a large part of all rows spans many partitions. Each partition returns the matrices of its first and
 last conversation only (two rows a partition, whatever the data), the driver chains them to find the state at
 each border, and a second pass repairs every partition by itself. A merged message may span partitions too, so
@@ -20,6 +20,7 @@ with a null conversation id form one conversation. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from itertools import groupby
 
@@ -35,9 +36,11 @@ START = len(ROLES)
 LEGAL = {"system": ("user",), "user": ("assistant",), "assistant": ("user",), None: ("system", "user")}
 FINAL = ("user", "assistant")
 COSTS = {"relabel": 2, "merge": 1, "insert": 3, "unknown": 1}
-#: Costs are scaled by this, so that the number of messages decides among equal costs.
-UNIT = 1 << 44
-FAR = 1 << 62
+#: Costs are scaled by this, so that the number of messages (a bigint) decides among equal costs. Sums are Python's
+#: integers and are never clipped.
+UNIT = 1 << 64
+#: The cost of a state that cannot be reached; above every integer.
+FAR = math.inf
 
 
 class Automaton:
@@ -61,7 +64,7 @@ class Automaton:
     def relabel(self, role: int | None, to: int) -> int:
         return 0 if role == to else self.costs["unknown"] if role is None else self.costs["relabel"]
 
-    def _step(self, role: int | None) -> list[list[tuple[int, bool]]]:
+    def _step(self, role: int | None) -> list[list[tuple[float, bool]]]:
         """[state before][state after] -> (scaled cost, is a merge)."""
         out = []
         for p in range(START + 1):
@@ -78,11 +81,11 @@ class Automaton:
             out.append(row)
         return out
 
-    def advance(self, costs: list[int], role: int | None) -> list[int]:
+    def advance(self, costs: list[float], role: int | None) -> list[float]:
         step = self.steps[role]
-        return [min(min(costs[p] + step[p][q][0] for p in range(START + 1)), FAR) for q in range(START + 1)]
+        return [min(costs[p] + step[p][q][0] for p in range(START + 1)) for q in range(START + 1)]
 
-    def matrix(self, roles: list[int | None]) -> list[int]:
+    def matrix(self, roles: list[int | None]) -> list[float]:
         """Costs of the whole stretch from every state (row) to every state (column)."""
         out = []
         for p in range(START + 1):
@@ -122,6 +125,16 @@ def _conversations(batches):
         yield conv, list(group)
 
 
+def split(matrix: list[float]) -> tuple[list[int | None], list[int | None]]:
+    """A matrix as two of plain integers: costs and numbers of messages, null where there is no way."""
+    return [None if x == FAR else x // UNIT for x in matrix], [None if x == FAR else x % UNIT for x in matrix]
+
+
+def joined(costs: list[int | None], messages: list[int | None]) -> list[float]:
+    """The matrix that ``split`` took apart."""
+    return [FAR if c is None else c * UNIT + m for c, m in zip(costs, messages, strict=True)]
+
+
 def _borders(costs: dict[str, int], key: pa.DataType):
     """The stretches at a partition's two borders: (part, last, conv_id, rows, matrix)."""
 
@@ -135,8 +148,8 @@ def _borders(costs: dict[str, int], key: pa.DataType):
             ends = [(0, first)] + ([(1, last)] if last is not first else [])
             yield pa.record_batch(
                 [pa.array([part] * len(ends), pa.int32()), pa.array([k for k, _ in ends], pa.int32()), pa.array([x[0] for _, x in ends], key),
-                 pa.array([len(x[1]) for _, x in ends], pa.int64()), pa.array([auto.matrix(x[1]) for _, x in ends], pa.list_(pa.int64()))],
-                names=["part", "last", "conv_id", "rows", "matrix"],
+                 pa.array([len(x[1]) for _, x in ends], pa.int64()), *(pa.array(m, pa.list_(pa.int64())) for m in zip(*(split(auto.matrix(x[1])) for _, x in ends), strict=True))],
+                names=["part", "last", "conv_id", "rows", "costs", "messages"],
             )
 
     return run
@@ -152,23 +165,23 @@ def chain(borders: list[dict], auto: Automaton) -> dict[tuple[int, int], tuple[i
         pieces = list(group)
         if len(pieces) < 2:
             continue
+        matrices = [joined(b["costs"], b["messages"]) for b in pieces]
         costs = [FAR] * n
         costs[START] = 0
         trail = [costs]
-        for b in pieces:
-            m = b["matrix"]
-            trail.append(costs := [min(min(costs[p] + m[p * n + q] for p in range(n)), FAR) for q in range(n)])
+        for m in matrices:
+            trail.append(costs := [min(costs[p] + m[p * n + q] for p in range(n)) for q in range(n)])
         q = min(final, key=lambda x: (costs[x], x))
         ways = []
-        for b, before in zip(reversed(pieces), reversed(trail[:-1]), strict=True):
-            p = min(range(n), key=lambda x: (before[x] + b["matrix"][x * n + q], x))
+        for m, before in zip(reversed(matrices), reversed(trail[:-1]), strict=True):
+            p = min(range(n), key=lambda x: (before[x] + m[x * n + q], x))
             ways.append((p, q))
             q = p
         rows = messages = 0
-        for k, (b, (p, q)) in enumerate(zip(pieces, reversed(ways), strict=True)):
+        for k, (b, m, (p, q)) in enumerate(zip(pieces, matrices, reversed(ways), strict=True)):
             out[b["part"], b["last"]] = (p, q, k == len(pieces) - 1, rows, messages)
             rows += b["rows"]
-            messages += b["matrix"][p * n + q] % UNIT
+            messages += m[p * n + q] % UNIT
     return out
 
 
@@ -262,7 +275,7 @@ def repair_conversations(
     types, example = dict(rows.dtypes), rows.limit(0).toArrow().schema
     key, turn = example.field("conv_id").type, example.field("turn").type
     # two rows for each partition at most
-    borders = dealt.mapInArrow(_borders(costs, key), f"part int, last int, conv_id {types['conv_id']}, rows bigint, matrix array<bigint>").collect()
+    borders = dealt.mapInArrow(_borders(costs, key), f"part int, last int, conv_id {types['conv_id']}, rows bigint, costs array<bigint>, messages array<bigint>").collect()
     plan = chain([b.asDict() for b in borders], Automaton(costs))
     shared = turns.sparkSession.sparkContext.broadcast(plan)
     schema = (
