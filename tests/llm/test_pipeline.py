@@ -2,15 +2,17 @@
 
 import importlib
 import os
+import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewire.llm import queries, stages
+from tidewire.llm import near_copies, queries, stages
 
-from .test_operators import brute_hits, brute_secrets, brute_simhash
+from .test_operators import brute_hits, brute_secrets, brute_simhash, low
 
 
 def table(rows):
@@ -48,6 +50,41 @@ def test_stages(spark, sf):
     assert mixed.columns == [*columns, "n_copies"] and mixed.where("n_copies < 1").count() == 0
 
 
+def brute_groups(rows):
+    """Groups of row numbers whose texts are linked by a similarity of 0.8 over five-word shingles."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    groups: list[list] = []
+    for k, s in enumerate(sets):
+        near = [g for g in groups if any(s == sets[j] or len(s & sets[j]) >= 0.8 * len(s | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in near] + [[k, *sum(near, [])]]
+    return groups
+
+
+def pipeline_near_stage():
+    return dict(corpus_pipeline.STAGES)["near_duplicates"]
+
+
+@pytest.mark.parametrize(("sample", "frequent"), [(64, 3), (1, 2)])
+def test_near_copies(spark, monkeypatch, sample, frequent):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    rng, rows = random.Random(4), []
+    for _ in range(60):
+        words = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.choice([1, 4, 6, 30, 200]))]
+        words[10:10] = ["a shared line of eight words or so"] * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 4)):
+            rows.append((len(rows), " ".join(words)))
+            words = words[:]
+            for _ in range(rng.randint(0, 1 + len(words) // 40)):
+                words[rng.randrange(len(words))] = "other"
+    rows += [(900, None), (901, " "), (902, "A\tb  c"), (903, "a b C")]
+    out = pipeline_near_stage()(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(rows[min(g)][0] for g in brute_groups(rows))
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
