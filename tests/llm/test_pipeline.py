@@ -85,6 +85,14 @@ def test_near_copies(spark, monkeypatch, sample, frequent):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(rows[min(g)][0] for g in brute_groups(rows))
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    """Rows are grouped by their own texts, whatever their ids, and one row of each group stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (2, c, "x"), (2, c, "x"), (None, c, "x"), (None, "only here", "x"), (None, "only here", "y")]
+    out = pipeline_near_stage()(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "only here"), (1, a), (1, b), (2, c)]
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
