@@ -412,6 +412,20 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_repeats_in_short_or_rewrapped_lines(spark):
+    """Passages in lines of up to four words, and wrapped at other places, go; a lone short line stays."""
+    rng = random.Random(18)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    short, wrapped = fresh(72), fresh(72)
+    rows = [(1, wrap(short, 3)), (2, wrap(fresh(20), 5) + "\n" + wrap(short, 3) + "\n" + wrap(fresh(20), 5)),
+            (3, wrap(wrapped, 9)), (4, wrap(fresh(20), 5) + "\n" + wrap(wrapped, 7) + "\n" + wrap(fresh(20), 5)), (5, " ".join(short[:3]))]
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    for doc, passage in ((2, short), (4, wrapped)):
+        assert len(got[doc]) >= 40 and len(set(passage) & set(got[doc])) < 0.3 * 72
+    assert got[1] == short and got[3] == wrapped and got[5] == short[:3]
+
+
 def test_cuts_do_not_depend_on_the_place():
     rng = random.Random(9)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)).encode()

@@ -2,13 +2,13 @@
 
 A text is cut into lines. A line's words are normalised (A-Z to a-z, digits, letters and all other characters
 of 0x80 and above; the rest separates) and hashed. Passages that repeat inside longer lines would escape line
-digests, so a line is also cut into pieces where the content says so: a piece starts at a word whose hash is
-the least of the nine around it. Such cuts depend on four words to either side, so a passage gets the same cuts
-wherever it stands. Digests are grouped over the whole corpus, the occurrence of the least (id, unit) is kept.
+digests, as do passages in lines of few words or wrapped at other places. So the whole text is also cut into pieces
+where the content says so, across line breaks: a piece starts at a word whose hash is the least of the nine around
+it. Such cuts depend on four words to either side, so a passage gets the same cuts wherever it stands. Digests are grouped over the whole corpus, the occurrence of the least (id, unit) is kept.
 
-A line of at least ``min_line_words`` words whose digest occurred before goes as a whole. Of other lines, runs
-of pieces that all occurred before go if they hold at least ``min_run_words`` words together, so that short
-common phrases stay. A run grows by the words beside it, eight to either side at most, that agree with those
+A line of at least ``min_line_words`` words whose digest occurred before goes as a whole. Runs of words, over any
+number of lines, all in lines or pieces that occurred before, go if they hold at least ``min_run_words`` words
+together, so that short common phrases stay. A run grows by the words beside it, eight to either side at most, that agree with those
 beside the first occurrence (by a byte of hash each), since cuts seldom fall on a passage's ends. Removed spans
 are kept as offsets (code points) into the original text.
 
@@ -22,6 +22,7 @@ returned unchanged. An empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -66,26 +67,17 @@ class Units:
         self.units: list[tuple[int, int, bool]] = []
         if not n:
             return
-        with np.errstate(over="ignore"):  # a word with its successor in the line, mixed
-            follows = np.concatenate((line[1:] == line[:-1], [False]))
-            h = (h * np.uint64(0x9E3779B97F4A7C15) + np.where(follows, np.concatenate((h[1:], h[:1])), np.uint64(0))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        with np.errstate(over="ignore"):  # a word with its successor, mixed
+            h = (h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0))) * np.uint64(0xC2B2AE3D27D4EB4F)
         h >>= np.uint64(1)
-        most = np.uint64(2**63 - 1)
-        cut = np.concatenate(([True], line[1:] != line[:-1]))
         least = np.ones(n, bool)
         for d in range(1, REACH + 1):
             if n > d:
-                same = line[d:] == line[:-d]
-                after = np.where(same, h[d:], most)
-                before = np.where(same, h[:-d], most)
-                least[:-d] &= h[:-d] < after
-                least[d:] &= h[d:] < before
-        # a cut close to the line's start or end would leave scraps
-        first = np.maximum.accumulate(np.where(cut, np.arange(n), 0))
-        stop = np.append(cut[1:], True)
-        last = np.minimum.accumulate(np.where(stop, np.arange(n), n)[::-1])[::-1]
+                least[:-d] &= h[:-d] < h[d:]
+                least[d:] &= h[d:] < h[:-d]
+        # a cut close to the text's start or end would leave scraps
         place = np.arange(n)
-        cut |= least & (place - first > REACH) & (last - place >= REACH)
+        cut = (place == 0) | (least & (place > REACH) & (n - 1 - place >= REACH))
         at = np.append(np.flatnonzero(cut), n)
         line_at = np.append(np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))), n)
         for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
@@ -136,14 +128,14 @@ def _unit_batches(min_line_words: int, with_context: bool):
 
 
 def grown(units: Units, a: int, b: int, before: bytes, after: bytes, floor: int) -> tuple[int, int]:
-    """The span a to b with the words beside it, in its line, that agree with the first occurrence's."""
-    line, marks = units.line, units.marks
+    """The span a to b with the words beside it that agree with the first occurrence's."""
+    marks = units.marks
     for k in range(CONTEXT):
-        if a <= floor or line[a - 1] != line[a] or marks[a - 1] != before[k]:
+        if a <= floor or marks[a - 1] != before[k]:
             break
         a -= 1
     for k in range(CONTEXT):
-        if b >= len(units.words) or line[b] != line[b - 1] or marks[b] != after[k]:
+        if b >= len(units.words) or marks[b] != after[k]:
             break
         b += 1
     return a, b
@@ -151,34 +143,31 @@ def grown(units: Units, a: int, b: int, before: bytes, after: bytes, floor: int)
 
 def removed_spans(units: Units, gone: dict[int, bytes], min_run_words: int) -> tuple[list[tuple[int, int]], int]:
     """Word spans to remove, and how many units they stand for; ``gone`` has the first occurrences' contexts."""
+    n = len(units.words)
+    covered = np.zeros(n + 2, np.int8)
+    for k in gone:
+        x, y, _ = units.units[k]
+        covered[x + 1 : y + 1] = 1
+    edges = np.diff(covered)
+    starts, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+    own = [(*units.units[k], k) for k in sorted(gone)]
+    before, after = {x: k for x, _, _, k in own}, {y: k for _, y, _, k in own}
     spans: list[tuple[int, int]] = []
-    count = covered = 0
-    run: list[tuple[int, int, int]] = []
-
-    def close():
-        nonlocal count
-        if run and run[-1][1] - run[0][0] >= min_run_words:
-            before, after = gone[run[0][2]][:CONTEXT], gone[run[-1][2]][CONTEXT:]
-            spans.append(grown(units, run[0][0], run[-1][1], before, after, spans[-1][1] if spans else 0))
-            count += len(run)
-        run.clear()
-
-    for n, (a, b, whole) in enumerate(units.units):
-        if whole:
-            close()
-            if n in gone:
-                spans.append((a, b))
-                count += 1
-                covered = b
-        elif a >= covered and b > (spans[-1][1] if spans else 0):
-            if run and (run[-1][1] != a or units.line[a] != units.line[run[-1][0]]):
-                close()
-            if n in gone:
-                run.append((a, b, n))
+    for a, b in zip(starts, ends, strict=True):
+        if b - a >= min_run_words:
+            a, b = grown(units, a, b, gone[before[a]][:CONTEXT], gone[after[b]][CONTEXT:], spans[-1][1] if spans else 0)
+            found = [(a, b)]
+        else:
+            found = [(x, y) for x, y, whole, _ in own if whole and a <= x and y <= b]
+        for x, y in found:
+            # a run may have grown into this one
+            if spans and x <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(y, spans[-1][1]))
             else:
-                close()
-    close()
-    return spans, count
+                spans.append((x, y))
+    stops = [y for _, y in spans]
+    inside = [bisect.bisect_left(stops, y) for _, y, _, _ in own]
+    return spans, sum(k < len(spans) and spans[k][0] <= x for k, (x, _, _, _) in zip(inside, own, strict=True))
 
 
 def _remove(min_line_words: int, min_run_words: int):
