@@ -426,6 +426,19 @@ def test_repeats_in_short_or_rewrapped_lines(spark):
     assert got[1] == short and got[3] == wrapped and got[5] == short[:3]
 
 
+def test_runs_grow_to_the_ends_of_passages(spark):
+    """All words of passages go, however far the cuts are from their ends, and no word beside them."""
+    rng = random.Random(28)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    rows, alone = [], {}
+    for k in range(60):
+        passage, a, b = fresh(rng.randint(51, 90)), fresh(30), fresh(30)
+        rows += [(2 * k, " ".join(fresh(30) + passage + fresh(30))), (2 * k + 1, " ".join(a + passage + b))]
+        alone[2 * k + 1] = a + b
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert {k: got[k] for k in alone} == alone
+
+
 def test_cuts_do_not_depend_on_the_place():
     rng = random.Random(9)
     fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)).encode()

@@ -8,9 +8,9 @@ it. Such cuts depend on four words to either side, so a passage gets the same cu
 
 A line of at least ``min_line_words`` words whose digest occurred before goes as a whole. Runs of words, over any
 number of lines, all in lines or pieces that occurred before, go if they hold at least ``min_run_words`` words
-together, so that short common phrases stay. A run grows by the words beside it, eight to either side at most, that agree with those
-beside the first occurrence (by a byte of hash each), since cuts seldom fall on a passage's ends. Removed spans
-are kept as offsets (code points) into the original text.
+together, so that short common phrases stay. A run grows by the words beside it that equal those beside the first occurrence, since cuts
+seldom fall on a passage's ends. They are compared as words, up to the first occurrence's next cut and the words
+behind it that decide the cut: were more words equal, the next piece would be equal too. Removed spans are kept as offsets (code points) into the original text.
 
 Digests have 128 bits. A hot line meets in partial aggregates and in a join that adaptive execution can
 split; only counts and first occurrences are gathered, never the members of a group.
@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, read
+from .common import WORD_BYTES, durable, read
 
 MIN_LINE_WORDS = 5
 MIN_RUN_WORDS = 10
 REACH = 4
-#: Words to either side of a unit whose hashes (one byte each) tell how far a repeat goes on.
-CONTEXT = 8
 
 
 class Units:
@@ -62,8 +60,7 @@ class Units:
             if x is None:
                 x = cache[w] = zlib.crc32(w)
             h[k] = x
-        self.marks = (h & np.uint64(0xFF)).astype(np.uint8).tobytes()
-        self.line = line
+        self.cuts = np.zeros(1, np.int64)
         self.units: list[tuple[int, int, bool]] = []
         if not n:
             return
@@ -78,7 +75,7 @@ class Units:
         # a cut close to the text's start or end would leave scraps
         place = np.arange(n)
         cut = (place == 0) | (least & (place > REACH) & (n - 1 - place >= REACH))
-        at = np.append(np.flatnonzero(cut), n)
+        self.cuts = at = np.append(np.flatnonzero(cut), n)
         line_at = np.append(np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))), n)
         for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
             if b - a >= min_line_words:
@@ -89,10 +86,11 @@ class Units:
                 self.units.append((a, b, False))
         self.units.sort(key=lambda u: (u[0], -u[1]))
 
-    def context(self, a: int, b: int) -> bytes:
-        """Marks of the words before a (nearest first), then of those from b on."""
-        before = self.marks[max(0, a - CONTEXT) : a][::-1]
-        return before.ljust(CONTEXT, b"\0") + self.marks[b : b + CONTEXT].ljust(CONTEXT, b"\0")
+    def context(self, a: int, b: int) -> tuple[bytes, bytes]:
+        """The words before a and those from b on, each to the next cut and the words that decide it."""
+        start = int(self.cuts[max(0, np.searchsorted(self.cuts, a) - 1)])
+        end = int(self.cuts[min(len(self.cuts) - 1, np.searchsorted(self.cuts, b, "right"))])
+        return b" ".join(self.words[max(0, start - REACH - 1) : a]), b" ".join(self.words[b : end + REACH + 2])
 
     def digests(self):
         """Two 64-bit integers for each unit."""
@@ -100,48 +98,63 @@ class Units:
             yield struct.unpack("<qq", hashlib.blake2b(b" ".join(self.words[a:b]), digest_size=16).digest())
 
 
-def _unit_batches(min_line_words: int, with_context: bool):
+def _unit_batches(min_line_words: int):
     def run(batches):
         cache: dict[bytes, int] = {}
         for batch in batches:
             ids = batch.column("doc_id")
-            at, unit, high, low, context = [], [], [], [], []
+            at, unit, high, low = [], [], [], []
             for k, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 if text:
-                    units = Units(text, cache, min_line_words)
-                    for n, (x, y) in enumerate(units.digests()):
+                    for n, (x, y) in enumerate(Units(text, cache, min_line_words).digests()):
                         at.append(k)
                         unit.append(n)
                         high.append(x)
                         low.append(y)
-                        if with_context:
-                            context.append(units.context(*units.units[n][:2]))
                 if len(at) >= 200_000 or k == batch.num_rows - 1:
                     yield pa.record_batch(
-                        [pa.array(high, pa.int64()), pa.array(low, pa.int64()), ids.take(pa.array(at, pa.int32())), pa.array(unit, pa.int32())]
-                        + ([pa.array(context, pa.binary())] if with_context else []),
-                        names=["d1", "d2", "doc_id", "unit"] + ["context"] * with_context,
+                        [pa.array(high, pa.int64()), pa.array(low, pa.int64()), ids.take(pa.array(at, pa.int32())), pa.array(unit, pa.int32())],
+                        names=["d1", "d2", "doc_id", "unit"],
                     )
-                    at, unit, high, low, context = [], [], [], [], []
+                    at, unit, high, low = [], [], [], []
+
+    return run
+
+
+def _contexts(min_line_words: int, key: pa.DataType):
+    """The words beside the units that are first occurrences; rows of one id may each have such a unit."""
+
+    def run(batches):
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist())
+            for i, text, wanted in zip(*columns, strict=True):
+                units = Units(text or b"", cache, min_line_words)
+                sums = list(units.digests())
+                out += [(i, n, *sums[n], *units.context(*units.units[n][:2])) for n in wanted if n < len(sums)]
+            kinds = [key, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            rows = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "unit", "d1", "d2", "before", "after"])
 
     return run
 
 
 def grown(units: Units, a: int, b: int, before: bytes, after: bytes, floor: int) -> tuple[int, int]:
-    """The span a to b with the words beside it that agree with the first occurrence's."""
-    marks = units.marks
-    for k in range(CONTEXT):
-        if a <= floor or marks[a - 1] != before[k]:
+    """The span a to b with the words beside it that equal the first occurrence's."""
+    words = units.words
+    for w in reversed(before.split()):
+        if a <= floor or words[a - 1] != w:
             break
         a -= 1
-    for k in range(CONTEXT):
-        if b >= len(units.words) or marks[b] != after[k]:
+    for w in after.split():
+        if b >= len(words) or words[b] != w:
             break
         b += 1
     return a, b
 
 
-def removed_spans(units: Units, gone: dict[int, bytes], min_run_words: int) -> tuple[list[tuple[int, int]], int]:
+def removed_spans(units: Units, gone: dict[int, tuple[bytes, bytes]], min_run_words: int) -> tuple[list[tuple[int, int]], int]:
     """Word spans to remove, and how many units they stand for; ``gone`` has the first occurrences' contexts."""
     n = len(units.words)
     covered = np.zeros(n + 2, np.int8)
@@ -155,7 +168,7 @@ def removed_spans(units: Units, gone: dict[int, bytes], min_run_words: int) -> t
     spans: list[tuple[int, int]] = []
     for a, b in zip(starts, ends, strict=True):
         if b - a >= min_run_words:
-            a, b = grown(units, a, b, gone[before[a]][:CONTEXT], gone[after[b]][CONTEXT:], spans[-1][1] if spans else 0)
+            a, b = grown(units, a, b, gone[before[a]][0], gone[after[b]][1], spans[-1][1] if spans else 0)
             found = [(a, b)]
         else:
             found = [(x, y) for x, y, whole, _ in own if whole and a <= x and y <= b]
@@ -179,7 +192,7 @@ def _remove(min_line_words: int, min_run_words: int):
             out: dict[str, list] = {k: [] for k in names[1:]}
             for text, gone in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 units = Units(text, cache, min_line_words) if text else None
-                spans, count = removed_spans(units, {g["unit"]: g["context"] for g in gone}, min_run_words) if units and gone else ([], 0)
+                spans, count = removed_spans(units, {g["unit"]: (g["before"] or b"", g["after"] or b"") for g in gone}, min_run_words) if units and gone else ([], 0)
                 offsets, keep, last = [], [], 0
                 if spans:
                     points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
@@ -220,23 +233,29 @@ def dedup_lines(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     key = dict(rows.dtypes)["doc_id"]
     named, schema = rows.where("doc_id IS NOT NULL"), f"d1 bigint, d2 bigint, doc_id {key}, unit int"
-    units = named.mapInArrow(_unit_batches(min_line_words, False), schema)
-    first = (
-        named.mapInArrow(_unit_batches(min_line_words, True), f"{schema}, context binary")
-        .groupBy("d1", "d2")
-        .agg(F.min(F.struct("doc_id", "unit", "context")).alias("first"), F.count("*").alias("n"))
+    units = named.mapInArrow(_unit_batches(min_line_words), schema)
+    first = durable(
+        units.groupBy("d1", "d2")
+        .agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.unit").alias("first_unit"), "first.context")
+        .select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.unit").alias("first_unit"))
     )
+    wanted = first.groupBy("first_id").agg(F.collect_list("first_unit").alias("wanted"))
+    kind = rows.limit(0).toArrow().schema.field("doc_id").type
+    beside = named.join(wanted, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "wanted")
+    beside = beside.mapInArrow(_contexts(min_line_words, kind), f"doc_id {key}, unit int, d1 bigint, d2 bigint, before binary, after binary")
+    # rows of one id may have the unit at one place with different neighbours
+    beside = beside.groupBy("d1", "d2", F.col("doc_id").alias("first_id"), F.col("unit").alias("first_unit")).agg(F.min(F.struct("before", "after")).alias("beside"))
+    first = durable(first.join(beside, ["d1", "d2", "first_id", "first_unit"], "left").select("d1", "d2", "first_id", "first_unit", "beside.before", "beside.after"))
     gone = (
         units.join(first, ["d1", "d2"])
         .where("doc_id <> first_id OR unit <> first_unit")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("unit", "context")).alias("gone"))
+        .agg(F.collect_list(F.struct("unit", "before", "after")).alias("gone"))
         .withColumnRenamed("doc_id", "gone_id")
     )
     work = rows.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(
-        "doc_id", "text", F.coalesce("gone", F.array().cast("array<struct<unit:int,context:binary>>")).alias("gone")
+        "doc_id", "text", F.coalesce("gone", F.array().cast("array<struct<unit:int,before:binary,after:binary>>")).alias("gone")
     )
     schema = f"doc_id {key}, n_units bigint, n_removed bigint, n_removed_chars bigint, removed array<bigint>, text string"
     return work.mapInArrow(_remove(min_line_words, min_run_words), schema)
