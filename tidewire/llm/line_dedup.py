@@ -1,222 +1,312 @@
-"""Substring dedup by hashing lines and the pieces of lines.
-
-A text is cut into lines. A line's words are normalised (A-Z to a-z, digits, letters and all other characters
-of 0x80 and above; the rest separates) and hashed. Passages that repeat inside longer lines would escape line
-digests, as do passages in lines of few words or wrapped at other places. So the whole text is also cut into pieces
-where the content says so, across line breaks: a piece starts at a word whose hash is the least of the nine around
-it. Such cuts depend on four words to either side, so a passage gets the same cuts wherever it stands. Digests are grouped over the whole corpus, the occurrence of the least (id, unit) is kept.
-
-A line of at least ``min_line_words`` words whose digest occurred before goes as a whole. Runs of words, over any
-number of lines, all in lines or pieces that occurred before, go if they hold at least ``min_run_words`` words
-together, so that short common phrases stay. A run grows by the words beside it that equal those beside the first occurrence, since cuts
-seldom fall on a passage's ends. They are compared as words, up to the first occurrence's next cut and the words
-behind it that decide the cut: were more words equal, the next piece would be equal too. Removed spans are kept as offsets (code points) into the original text.
-
-Digests have 128 bits. A hot line meets in partial aggregates and in a join that adaptive execution can
-split; only counts and first occurrences are gathered, never the members of a group.
-
-Edge cases: a null text is returned as null, an empty one as empty, with no units. Rows of one id are one
-document and do not remove units from each other at the same place. A row without an id takes no part and is
-returned unchanged. An empty table gives no rows. Other columns are ignored.
+"""Substring dedup by hashing lines and paragraphs that the content itself cuts.
+
+A text's words are normalised (A-Z to a-z, digits, letters and all other characters of 0x80 and above; the rest
+separates) and hashed. Two kinds of units are made of them: lines of ``min_line_words`` words or more, and
+paragraphs. A paragraph starts at each word whose hash (with its successor's) is the least of some ``reach`` words in a
+row (winnowing), so a passage has the same cuts wherever it stands, also inside longer lines or wrapped at other
+places, and no two cuts are further apart than ``reach`` words. Digests (128 bits) are grouped over the whole corpus;
+the occurrence of the least rank is kept. The rank is the id (null last), a hash of the text, then the place.
+
+A repeated line goes as a whole. Paragraphs in a row that all occurred before are a run. A run grows by the words
+beside it that equal those beside the first occurrence, compared as words, and goes if it then holds
+``min_run_words`` words. A passage of that length has 2 * ``reach`` words in which its cuts may differ at most, so at
+least ``min_run_words`` - 2 * ``reach`` of its words are in common paragraphs: shorter runs are left out early. The first
+occurrence's words are compared up to its next cut and the words that decide it: were more words equal, the next
+paragraph would be equal too. So growth has no bound. Removed spans are kept as offsets (code points) into the
+original text.
+
+Units are shuffled once. Each is compared with the first of its digest in a running window over sorted rows, which
+holds one row at a time. Digests that a sample of the texts shows to be frequent are salted by document, and the
+first of each salt meet in a small aggregate: the sample decides how work is dealt, never the result.
+
+Edge cases: a null text is returned as null, an empty one as empty, with no units. Rows of one id are documents of
+their own if their texts differ; rows equal in id and text are one document that is stored several times, and all of
+them are returned with its result. Rows without an id take part like any other. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
-import hashlib
-import struct
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, durable, read
 
 MIN_LINE_WORDS = 5
 MIN_RUN_WORDS = 10
-REACH = 4
-
-
-class Units:
-    """The units of one text: arrays over its words and a list of (first word, end word, is a whole line)."""
-
-    def __init__(self, text: bytes, cache: dict[bytes, int], min_line_words: int):
-        plain = text.translate(WORD_BYTES)
-        self.words = plain.split()
-        raw = np.frombuffer(text, np.uint8)
-        inside = np.concatenate(([False], np.frombuffer(plain, np.uint8) != 32, [False]))
-        self.starts = np.flatnonzero(inside[1:] & ~inside[:-1])
-        self.ends = np.flatnonzero(inside[:-1] & ~inside[1:])
-        breaks = np.flatnonzero(raw == 10)
-        line = np.searchsorted(breaks, self.starts)
-        n = len(self.words)
-        if len(cache) > 500_000:
-            cache.clear()
-        h = np.empty(n, np.uint64)
-        for k, w in enumerate(self.words):
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = zlib.crc32(w)
-            h[k] = x
-        self.cuts = np.zeros(1, np.int64)
-        self.units: list[tuple[int, int, bool]] = []
-        if not n:
+#: What the registered query removes: repeated lines of 20 words and repeated passages of 50.
+LONG_LINE, LONG_RUN = 20, 50
+#: One text in so many is read for frequent units: those found so often there, and as many of them at most.
+SAMPLE, FREQUENT, MOST_FREQUENT, SALTS = 64, 16, 4096, 64
+
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_DIGITS = np.uint64(30), np.uint64(0xBF58476D1CE4E5B9), np.uint64(27), np.uint64(0x94D049BB133111EB), np.uint64(31)
+
+
+def reach_of(min_run_words: int) -> int:
+    """Words in a row among which one is a cut."""
+    return max(2, 2 * min_run_words // 5)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    a, b, c, d, e = _DIGITS
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> a)) * b
+        x = (x ^ (x >> c)) * d
+    return x ^ (x >> e)
+
+
+class WordHashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, 42)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Powers:
+    """Powers of the two bases of sequence hashes."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, np.uint64) for _ in BASES]
+
+    def digests(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of each sequence of h[start:end]; sequences are in order and do not overlap."""
+        size = ends - starts
+        most = int(size.max())
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        out = []
+        with np.errstate(over="ignore"):
+            for k, base in enumerate(BASES):
+                if len(self.tables[k]) < most:
+                    self.tables[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * most, base, np.uint64))))
+                terms = (h if k == 0 else _mixed(h))[at] * self.tables[k][at - np.repeat(starts, size)]
+                out.append(np.add.reduceat(terms, np.cumsum(size) - size).view(np.int64))
+        return out
+
+
+class Cut:
+    """One text's words, their places in it, and the starts of its paragraphs (``cuts``, ending with the number of words)."""
+
+    def __init__(self, text: bytes, hashes: WordHashes, reach: int):
+        self.text, self.plain = text, text.translate(WORD_BYTES)
+        self.words = self.plain.split()
+        self.reach = reach
+        self.h = hashes.of(self.words)
+        n = len(self.h)
+        if n < reach:
+            self.cuts = np.array([0, n] if n else [0])
             return
-        with np.errstate(over="ignore"):  # a word with its successor, mixed
-            h = (h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h >>= np.uint64(1)
-        least = np.ones(n, bool)
-        for d in range(1, REACH + 1):
-            if n > d:
-                least[:-d] &= h[:-d] < h[d:]
-                least[d:] &= h[d:] < h[:-d]
-        # a cut close to the text's start or end would leave scraps
-        place = np.arange(n)
-        cut = (place == 0) | (least & (place > REACH) & (n - 1 - place >= REACH))
-        self.cuts = at = np.append(np.flatnonzero(cut), n)
-        line_at = np.append(np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))), n)
-        for a, b in zip(line_at[:-1].tolist(), line_at[1:].tolist(), strict=True):
-            if b - a >= min_line_words:
-                self.units.append((a, b, True))
-        lines = {(a, b) for a, b, _ in self.units}
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if (a, b) not in lines:
-                self.units.append((a, b, False))
-        self.units.sort(key=lambda u: (u[0], -u[1]))
-
-    def context(self, a: int, b: int) -> tuple[bytes, bytes]:
-        """The words before a and those from b on, each to the next cut and the words that decide it."""
-        start = int(self.cuts[max(0, np.searchsorted(self.cuts, a) - 1)])
-        end = int(self.cuts[min(len(self.cuts) - 1, np.searchsorted(self.cuts, b, "right"))])
-        return b" ".join(self.words[max(0, start - REACH - 1) : a]), b" ".join(self.words[b : end + REACH + 2])
-
-    def digests(self):
-        """Two 64-bit integers for each unit."""
-        for a, b, _ in self.units:
-            yield struct.unpack("<qq", hashlib.blake2b(b" ".join(self.words[a:b]), digest_size=16).digest())
-
-
-def _unit_batches(min_line_words: int):
+        value = _mixed(self.h + np.uint64(BASES[0] & 0xFFFF) * np.append(self.h[1:], np.uint64(0)))
+        least = np.lib.stride_tricks.sliding_window_view(value, reach).argmin(axis=1) + np.arange(n - reach + 1)
+        marked = np.zeros(n + 1, bool)
+        marked[least] = marked[0] = marked[n] = True
+        self.cuts = np.flatnonzero(marked)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of each word."""
+        inside = np.concatenate(([False], np.frombuffer(self.plain, np.uint8) != 32, [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return edges[::2], edges[1::2]
+
+    def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of each line of ``min_words`` words or more."""
+        if len(self.words) < min_words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        count = np.array([len(x.split()) for x in self.plain_lines()])
+        ends = np.cumsum(count)
+        long = count >= min_words
+        return (ends - count)[long], ends[long]
+
+    def plain_lines(self) -> list[bytes]:
+        return [x.translate(WORD_BYTES) for x in self.text.split(b"\n")]
+
+    def before(self, k: int) -> bytes:
+        """The words before paragraph k, to the cut before it and the words that decide that cut."""
+        a = int(self.cuts[k])
+        return b" ".join(self.words[max(0, int(self.cuts[max(0, k - 1)]) - self.reach - 1) : a])
+
+    def after(self, k: int) -> bytes:
+        """The words behind paragraph k, likewise."""
+        b = int(self.cuts[k + 1])
+        return b" ".join(self.words[b : int(self.cuts[min(len(self.cuts) - 1, k + 2)]) + self.reach + 2])
+
+
+def _units(min_line_words: int, reach: int):
+    """A row for each unit; paragraph k is unit 2k, line k is unit 2k + 1."""
+
     def run(batches):
-        cache: dict[bytes, int] = {}
+        hashes, powers = WordHashes(), Powers()
         for batch in batches:
-            ids = batch.column("doc_id")
-            at, unit, high, low = [], [], [], []
+            held: list[tuple] = []
+            rows = 0
             for k, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 if text:
-                    for n, (x, y) in enumerate(Units(text, cache, min_line_words).digests()):
-                        at.append(k)
-                        unit.append(n)
-                        high.append(x)
-                        low.append(y)
-                if len(at) >= 200_000 or k == batch.num_rows - 1:
-                    yield pa.record_batch(
-                        [pa.array(high, pa.int64()), pa.array(low, pa.int64()), ids.take(pa.array(at, pa.int32())), pa.array(unit, pa.int32())],
-                        names=["d1", "d2", "doc_id", "unit"],
-                    )
-                    at, unit, high, low = [], [], [], []
+                    cut = Cut(text, hashes, reach)
+                    lines = cut.lines(min_line_words)
+                    for kind, (a, b) in enumerate(((cut.cuts[:-1], cut.cuts[1:]), lines)):
+                        if len(a):
+                            d1, d2 = powers.digests(cut.h, a, b)
+                            # lines and paragraphs of the same words are not repeats of each other
+                            held.append((d1, ~d2 if kind else d2, np.full(len(a), k), 2 * np.arange(len(a)) + kind, b - a))
+                            rows += len(a)
+                if held and (rows >= 100_000 or k == batch.num_rows - 1):
+                    d1, d2, at, unit, words = (np.concatenate(x) for x in zip(*held, strict=True))
+                    keys = [batch.column(c).take(pa.array(at)) for c in ("doc_id", "th")]
+                    yield pa.record_batch([pa.array(d1), pa.array(d2), *keys, pa.array(unit.astype(np.int32)), pa.array(words.astype(np.int32))], names=["d1", "d2", "doc_id", "th", "unit", "words"])
+                    held, rows = [], 0
 
     return run
 
 
-def _contexts(min_line_words: int, key: pa.DataType):
-    """The words beside the units that are first occurrences; rows of one id may each have such a unit."""
+def _runs(core: int):
+    """Repeated units of a document as runs: from and to a unit, and the first occurrences of either end.
+
+    A line is a run of its own. ``gone`` has structs of unit, words and first.
+    """
 
     def run(batches):
-        cache: dict[bytes, int] = {}
         for batch in batches:
-            out: list[tuple] = []
-            columns = (batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist())
-            for i, text, wanted in zip(*columns, strict=True):
-                units = Units(text or b"", cache, min_line_words)
-                sums = list(units.digests())
-                out += [(i, n, *sums[n], *units.context(*units.units[n][:2])) for n in wanted if n < len(sums)]
-            kinds = [key, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            rows = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(rows, kinds, strict=True)], names=["doc_id", "unit", "d1", "d2", "before", "after"])
+            out: list[list] = []
+            for gone in batch.column("gone").to_pylist():
+                runs: list = []
+                gone.sort(key=lambda g: g["unit"])
+                for g in gone:
+                    u = g["unit"]
+                    if u & 1:
+                        continue
+                    if runs and runs[-1]["to"] == u - 2:
+                        runs[-1] |= {"to": u, "right": g["first"], "words": runs[-1]["words"] + g["words"]}
+                    else:
+                        runs.append({"from": u, "to": u, "words": g["words"], "left": g["first"], "right": g["first"]})
+                runs = [r for r in runs if r["words"] >= core]
+                runs += [{"from": g["unit"], "to": g["unit"], "words": g["words"], "left": None, "right": None} for g in gone if g["unit"] & 1]
+                out.append(runs)
+            yield pa.record_batch([batch.column("k"), batch.column("th"), pa.array(out, run_type(batch))], names=["k", "th", "runs"])
+
+    def run_type(batch):
+        first = batch.schema.field("gone").type.value_type.field("first").type
+        return pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32()), ("words", pa.int32()), ("left", first), ("right", first)]))
 
     return run
 
 
-def grown(units: Units, a: int, b: int, before: bytes, after: bytes, floor: int) -> tuple[int, int]:
-    """The span a to b with the words beside it that equal the first occurrence's."""
-    words = units.words
-    for w in reversed(before.split()):
-        if a <= floor or words[a - 1] != w:
-            break
-        a -= 1
-    for w in after.split():
-        if b >= len(words) or words[b] != w:
-            break
-        b += 1
-    return a, b
-
-
-def removed_spans(units: Units, gone: dict[int, tuple[bytes, bytes]], min_run_words: int) -> tuple[list[tuple[int, int]], int]:
-    """Word spans to remove, and how many units they stand for; ``gone`` has the first occurrences' contexts."""
-    n = len(units.words)
-    covered = np.zeros(n + 2, np.int8)
-    for k in gone:
-        x, y, _ = units.units[k]
-        covered[x + 1 : y + 1] = 1
-    edges = np.diff(covered)
-    starts, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
-    own = [(*units.units[k], k) for k in sorted(gone)]
-    before, after = {x: k for x, _, _, k in own}, {y: k for _, y, _, k in own}
-    spans: list[tuple[int, int]] = []
-    for a, b in zip(starts, ends, strict=True):
+def _contexts(reach: int):
+    """The words before (side 0) and behind (side 1) the wanted units of a document."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            at, unit, side, words = [], [], [], []
+            for k, (text, wanted) in enumerate(zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                cut = Cut(text, hashes, reach)
+                for w in wanted:
+                    at.append(k)
+                    unit.append(w["unit"])
+                    side.append(w["side"])
+                    words.append((cut.after if w["side"] else cut.before)(w["unit"] // 2))
+            keys = [batch.column(c).take(pa.array(at, pa.int32())) for c in ("k", "th")]
+            yield pa.record_batch([*keys, pa.array(unit, pa.int32()), pa.array(side, pa.int32()), pa.array(words, pa.binary())], names=["k", "th", "unit", "side", "beside"])
+
+    return run
+
+
+def removed_spans(cut: Cut, runs: list[dict], min_line_words: int, min_run_words: int) -> list[tuple[int, int]]:
+    """Word spans to remove; runs have from, to and the words beside the first occurrences (before, after)."""
+    lines = cut.lines(min_line_words) if any(r["from"] & 1 for r in runs) else None
+    found = []
+    for r in runs:
+        if r["from"] & 1:
+            found.append((int(lines[0][r["from"] // 2]), int(lines[1][r["from"] // 2])))
+            continue
+        a, b = int(cut.cuts[r["from"] // 2]), int(cut.cuts[r["to"] // 2 + 1])
+        for w in reversed((r["before"] or b"").split()):
+            if not a or cut.words[a - 1] != w:
+                break
+            a -= 1
+        for w in (r["after"] or b"").split():
+            if b >= len(cut.words) or cut.words[b] != w:
+                break
+            b += 1
         if b - a >= min_run_words:
-            a, b = grown(units, a, b, gone[before[a]][0], gone[after[b]][1], spans[-1][1] if spans else 0)
-            found = [(a, b)]
+            found.append((a, b))
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
         else:
-            found = [(x, y) for x, y, whole, _ in own if whole and a <= x and y <= b]
-        for x, y in found:
-            # a run may have grown into this one
-            if spans and x <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(y, spans[-1][1]))
-            else:
-                spans.append((x, y))
-    stops = [y for _, y in spans]
-    inside = [bisect.bisect_left(stops, y) for _, y, _, _ in own]
-    return spans, sum(k < len(spans) and spans[k][0] <= x for k, (x, _, _, _) in zip(inside, own, strict=True))
-
+            spans.append((a, b))
+    return spans
 
-def _remove(min_line_words: int, min_run_words: int):
-    names = ["doc_id", "n_units", "n_removed", "n_removed_chars", "removed", "text"]
 
+def _remove(min_line_words: int, min_run_words: int, reach: int):
     def run(batches):
-        cache: dict[bytes, int] = {}
+        hashes = WordHashes()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in names[1:]}
-            for text, gone in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                units = Units(text, cache, min_line_words) if text else None
-                spans, count = removed_spans(units, {g["unit"]: (g["before"] or b"", g["after"] or b"") for g in gone}, min_run_words) if units and gone else ([], 0)
-                offsets, keep, last = [], [], 0
-                if spans:
-                    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
-                    for a, b in spans:
-                        s = int(units.starts[a])
-                        # up to the next word, or to the end of the line
-                        e = int(units.starts[b]) if b < len(units.words) else len(text)
-                        newline = text.find(b"\n", int(units.ends[b - 1]), e)
-                        e = newline + 1 if newline >= 0 else e
-                        offsets += [int(points[s]), int(points[e])]
-                        keep.append(text[last:s])
-                        last = e
-                    keep.append(text[last:])
-                out["n_units"].append(len(units.units) if units else 0)
-                out["n_removed"].append(count)
-                out["n_removed_chars"].append(sum(offsets[1::2]) - sum(offsets[::2]))
-                out["removed"].append(offsets)
-                out["text"].append((b"".join(keep) if spans else text or b"").decode() if text is not None else None)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-            yield pa.record_batch([batch.column("doc_id"), *[pa.array(out[k], t) for k, t in zip(names[1:], kinds, strict=True)]], names=names)
+            offsets, left = [], []
+            for text, runs in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                at: list[int] = []
+                if text and runs:
+                    cut = Cut(text, hashes, reach)
+                    if spans := removed_spans(cut, runs, min_line_words, min_run_words):
+                        starts, ends = cut.places()
+                        points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+                        keep, last = [], 0
+                        for a, b in spans:
+                            s = int(starts[a])
+                            # up to the next word, or to the end of the line
+                            e = int(starts[b]) if b < len(starts) else len(text)
+                            newline = text.find(b"\n", int(ends[b - 1]), e)
+                            e = newline + 1 if newline >= 0 else e
+                            at += [int(points[s]), int(points[e])]
+                            keep.append(text[last:s])
+                            last = e
+                        text = b"".join([*keep, text[last:]])
+                offsets.append(at)
+                left.append(None if text is None else text.decode())
+            sizes = [sum(x[1::2]) - sum(x[::2]) for x in offsets]
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array([len(x) // 2 for x in offsets], pa.int64()), pa.array(sizes, pa.int64()), pa.array(offsets, pa.list_(pa.int64())), pa.array(left, pa.string())],
+                names=["doc_id", "n_removed", "n_removed_chars", "removed", "text"],
+            )
 
     return run
 
 
+def _repeats(rows: DataFrame, min_line_words: int, reach: int) -> DataFrame:
+    """Units that are not the first of their digest: document (k, th), unit, words and the first's (fk, fth, funit)."""
+    key = dict(rows.dtypes)["doc_id"]
+    schema = f"d1 bigint, d2 bigint, doc_id {key}, th bigint, unit int, words int"
+    some = rows.where(F.pmod(F.xxhash64("th"), F.lit(SAMPLE)) == 0).mapInArrow(_units(min_line_words, reach), schema)
+    often = some.groupBy("d1", "d2").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "d1", "d2").limit(MOST_FREQUENT).collect()
+    hot = rows.sparkSession.createDataFrame([(r["d1"], r["d2"]) for r in often], "h1 bigint, h2 bigint")
+    units = rows.mapInArrow(_units(min_line_words, reach), schema)
+    # MOST_FREQUENT rows at most
+    salted = units.join(F.broadcast(hot), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")), "left")
+    salt = F.when(F.col("h1").isNotNull(), F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    order = Window.partitionBy("d1", "d2", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "th", "unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.first(F.struct("doc_id", "th", "unit")).over(order)
+    met = salted.withColumn("salt", salt).withColumn("first", first).select("d1", "d2", "salt", "doc_id", "th", "unit", "words", "first")
+    own = (F.col("first.unit") == F.col("unit")) & (F.col("first.th") == F.col("th")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
+    met = durable(met.where((F.col("salt") > 0) | ~own))
+    rank = F.struct(F.col("first.doc_id").isNull(), "first.doc_id", "first.th", "first.unit")
+    least = met.where("salt > 0").groupBy("d1", "d2").agg(F.min(rank).alias("least"))
+    # MOST_FREQUENT rows at most
+    both = met.join(F.broadcast(least.withColumnsRenamed({"d1": "h1", "d2": "h2"})), (F.col("d1") == F.col("h1")) & (F.col("d2") == F.col("h2")), "left")
+    of = lambda c: F.when(F.col("least").isNull(), F.col(f"first.{c}")).otherwise(F.col(f"least.{c}"))
+    out = both.select(F.xxhash64("doc_id").alias("k"), "th", "unit", "words", F.xxhash64(of("doc_id")).alias("fk"), of("th").alias("fth"), of("unit").alias("funit"))
+    return out.where((F.col("unit") != F.col("funit")) | (F.col("th") != F.col("fth")) | (F.col("k") != F.col("fk")))
+
+
 def dedup_lines(
     docs: DataFrame,
     *,
@@ -225,41 +315,36 @@ def dedup_lines(
     min_line_words: int = MIN_LINE_WORDS,
     min_run_words: int = MIN_RUN_WORDS,
 ) -> DataFrame:
-    """One row per input row: doc_id, n_units, n_removed, n_removed_chars, removed and the remaining text.
+    """One row per input row: doc_id, n_removed, n_removed_chars, removed and the remaining text.
 
-    ``removed`` holds start and end offsets (code points, end exclusive) into the original text. See the
-    module for the rules and edge cases.
+    ``removed`` holds start and end offsets (code points, end exclusive) of the ``n_removed`` spans in the original
+    text. See the module for the rules and edge cases.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = dict(rows.dtypes)["doc_id"]
-    named, schema = rows.where("doc_id IS NOT NULL"), f"d1 bigint, d2 bigint, doc_id {key}, unit int"
-    units = named.mapInArrow(_unit_batches(min_line_words), schema)
-    first = durable(
-        units.groupBy("d1", "d2")
-        .agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("d1", "d2", F.col("first.doc_id").alias("first_id"), F.col("first.unit").alias("first_unit"))
-    )
-    wanted = first.groupBy("first_id").agg(F.collect_list("first_unit").alias("wanted"))
-    kind = rows.limit(0).toArrow().schema.field("doc_id").type
-    beside = named.join(wanted, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "wanted")
-    beside = beside.mapInArrow(_contexts(min_line_words, kind), f"doc_id {key}, unit int, d1 bigint, d2 bigint, before binary, after binary")
-    # rows of one id may have the unit at one place with different neighbours
-    beside = beside.groupBy("d1", "d2", F.col("doc_id").alias("first_id"), F.col("unit").alias("first_unit")).agg(F.min(F.struct("before", "after")).alias("beside"))
-    first = durable(first.join(beside, ["d1", "d2", "first_id", "first_unit"], "left").select("d1", "d2", "first_id", "first_unit", "beside.before", "beside.after"))
-    gone = (
-        units.join(first, ["d1", "d2"])
-        .where("doc_id <> first_id OR unit <> first_unit")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("unit", "before", "after")).alias("gone"))
-        .withColumnRenamed("doc_id", "gone_id")
-    )
-    work = rows.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select(
-        "doc_id", "text", F.coalesce("gone", F.array().cast("array<struct<unit:int,before:binary,after:binary>>")).alias("gone")
-    )
-    schema = f"doc_id {key}, n_units bigint, n_removed bigint, n_removed_chars bigint, removed array<bigint>, text string"
-    return work.mapInArrow(_remove(min_line_words, min_run_words), schema)
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("th"))
+    reach = reach_of(min_run_words)
+    first = "struct<k:bigint,th:bigint,unit:int>"
+    # sets, since rows stored several times have their units several times
+    place = F.struct(F.col("fk").alias("k"), F.col("fth").alias("th"), F.col("funit").alias("unit"))
+    gone = _repeats(rows, min_line_words, reach).groupBy("k", "th").agg(F.collect_set(F.struct("unit", "words", place.alias("first"))).alias("gone"))
+    schema = f"k bigint, th bigint, runs array<struct<from:int,to:int,words:int,left:{first},right:{first}>>"
+    runs = durable(gone.mapInArrow(_runs(min_run_words - 2 * reach), schema).where(F.size("runs") > 0))
+
+    run = runs.select(F.col("k").alias("tk"), F.col("th").alias("tth"), F.explode("runs").alias("run")).where("run.left IS NOT NULL")
+    ends = run.select("tk", "tth", F.col("run.from").alias("from"), F.posexplode(F.array("run.left", "run.right")).alias("side", "first")).select("tk", "tth", "from", "side", "first.*")
+    wanted = ends.groupBy(F.col("k").alias("wk"), F.col("th").alias("wth")).agg(F.collect_set(F.struct("unit", "side")).alias("wanted"))
+    # doc_id is read so that this and the last join share one exchange of the texts
+    sources = rows.join(wanted, (F.col("k") == F.col("wk")) & (F.col("th") == F.col("wth"))).select("doc_id", "k", "th", "text", "wanted")
+    place = ["k", "th", "unit", "side"]
+    beside = sources.mapInArrow(_contexts(reach), "k bigint, th bigint, unit int, side int, beside binary").groupBy(*place).agg(F.min("beside").alias("beside"))
+    grown = ends.join(beside, place).groupBy("tk", "tth").agg(F.collect_set(F.struct("from", "side", "beside")).alias("ends"))
+    beside_of = lambda r, side: F.try_element_at(F.filter("ends", lambda e: (e["from"] == r["from"]) & (e["side"] == side)), F.lit(1))["beside"]
+    spans = F.transform("runs", lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), beside_of(r, 0).alias("before"), beside_of(r, 1).alias("after")))
+    full = runs.withColumnsRenamed({"k": "tk", "th": "tth"}).join(grown, ["tk", "tth"], "left").select("tk", "tth", spans.alias("runs"))
+    work = rows.join(full, (F.col("k") == F.col("tk")) & (F.col("th") == F.col("tth")), "left").select("doc_id", "k", "th", "text", "runs")
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, n_removed bigint, n_removed_chars bigint, removed array<bigint>, text string"
+    return work.mapInArrow(_remove(min_line_words, min_run_words, reach), schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents"))
+    return dedup_lines(read(spark, sf_dir, "documents"), min_line_words=LONG_LINE, min_run_words=LONG_RUN)
