@@ -85,6 +85,35 @@ def test_near_copies(spark, monkeypatch, sample, frequent):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(rows[min(g)][0] for g in brute_groups(rows))
 
 
+@pytest.mark.parametrize("radius", [0, 12, 64])
+def test_chains_of_near_copies(spark, radius):
+    """Each text is linked to the next alone, so most edges of the trees are no links and the second round finds the rest."""
+    rng, rows = random.Random(14), []
+    fresh = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for _ in range(3):
+        words = [fresh() for _ in range(64)]
+        places = rng.sample(range(4, 60), 14)
+        chain = []
+        for k, p in enumerate(places):
+            words = [*words[:p], f"new{k}", *words[p + 1 :]]
+            chain.append(" ".join(words))
+        rows += chain + [chain[3], chain[3].upper(), " ".join(words[:40]) + " gone"]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("k1", "K2", "number", "__n")})
+    out = near_copies.without_near_copies(df, radius=radius)
+    assert out.columns == df.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(rows[min(g)][0] for g in brute_groups(rows))
+
+
+def test_bitmap(spark):
+    rng = random.Random(2)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(500)]
+    marks = near_copies.bitmap(spark.createDataFrame([(x,) for x in ids], "d long"), 20)
+    at = {x & (2**20 - 1) for x in ids}
+    assert {k for k in range(2**20) if marks[k >> 3] >> (k & 7) & 1} == at
+
+
 def test_rows_of_one_id_and_of_none(spark):
     """Rows are grouped by their own texts, whatever their ids, and one row of each group stays."""
     a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")

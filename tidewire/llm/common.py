@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable
 
-__all__ = ["WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "local_roots", "read", "spaced_words", "texts"]
+__all__ = ["WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "local_roots", "read", "spaced_words", "texts"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -48,6 +48,17 @@ def filter_by_text(df: DataFrame, text_col: str, predicate) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z only) words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
     return text.translate(WORD_BYTES).split()

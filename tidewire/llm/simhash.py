@@ -81,6 +81,8 @@ class BKForest:
         roots = np.flatnonzero(first)
         self.root = roots[np.cumsum(first) - 1]
         keys, children = [], []
+        #: The parent of each value, -1 for roots.
+        self.parent = np.full(n, -1)
         item = np.flatnonzero(~first)
         parent = self.root[item]
         while len(item):
@@ -89,6 +91,7 @@ class BKForest:
             item, key = item[order], key[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
             child = item[new]
+            self.parent[child] = key[new] >> 7
             keys.append(key[new])
             children.append(child)
             parent, item = child[np.cumsum(new) - 1][~new], item[~new]
