@@ -121,6 +121,26 @@ def test_embeddings(spark, kind, tile):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dims", "budget", "block"), [(8, 0.005, 10**6), (2, 0.01, 50), (5, 0.05, 1000), (1, 0.001, 10**6)])
+def test_near_pairs_are_all_pairs(dims, budget, block):
+    rng = np.random.default_rng(5)
+    y = rng.standard_normal((400, dims)) * 0.125
+    y[300:] = y[:100] + rng.standard_normal((100, dims)) * 0.01
+    y[350:360] = y[0]
+    got = [(min(a, b), max(a, b)) for i, j in embedding_dedup.near_pairs(y, budget, block) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    d = ((y[:, None] - y) ** 2).sum(-1)
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(400) for j in range(i + 1, 400) if d[i, j] <= budget}
+    assert not list(embedding_dedup.near_pairs(y[:1], budget)) and not list(embedding_dedup.near_pairs(y[:0], budget))
+
+
+def test_budgets_prune_before_any_cosine():
+    """Of random vectors of one label, under one pair in a thousand keeps the budget of a block."""
+    y = embedding_dedup.rotated(np.random.default_rng(6).standard_normal((2000, 64)))
+    plan = embedding_dedup.block_plan(64, embedding_dedup.BLOCKS, embedding_dedup.THRESHOLD)
+    found = sum(len(i) for a, b, budget in plan for i, _ in embedding_dedup.near_pairs(y[:, a:b], budget))
+    assert found < 0.001 * 2000 * 1999 / 2
+
+
 # --- 3 ---
 def cheapest(turns):
     """Least cost of a legal repair by plain recursion over (turn, last role)."""
