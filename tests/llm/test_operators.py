@@ -142,23 +142,23 @@ def test_budgets_prune_before_any_cosine():
 
 
 # --- 3 ---
-def cheapest(turns):
-    """Least cost of a legal repair by plain recursion over (turn, last role)."""
+def cheapest(turns, costs=roles.COSTS):
+    """Least (cost, messages) of a legal repair by plain recursion over (turn, last role)."""
     follow = {None: ["system", "user"], "system": ["user"], "user": ["assistant"], "assistant": ["user"]}
-    best = {None: 0}
+    best = {None: (0, 0)}
     for r in turns:
         r = (r or "").strip().lower()
         new = {}
-        for last, cost in best.items():
-            relabel = lambda x, r=r: 0 if x == r else (2 if r in ("system", "user", "assistant") else 1)
-            options = [(last, 1 + relabel(last))] if last else []
+        for last, (cost, n) in best.items():
+            relabel = lambda x, r=r: 0 if x == r else costs["relabel" if r in ("system", "user", "assistant") else "unknown"]
+            options = [(last, costs["merge"] + relabel(last), 0)] if last else []
             frontier = [(x, 0) for x in follow[last]]
             for x, k in frontier:
-                options.append((x, 3 * k + relabel(x)))
+                options.append((x, costs["insert"] * k + relabel(x), k + 1))
                 if k < 3:
                     frontier += [(y, k + 1) for y in follow[x]]
-            for x, c in options:
-                new[x] = min(new.get(x, 10**9), cost + c)
+            for x, c, m in options:
+                new[x] = min(new.get(x, (10**9, 0)), (cost + c, n + m))
         best = new
     return min(c for x, c in best.items() if x in ("user", "assistant"))
 
@@ -175,7 +175,7 @@ def check_conversations(rows, out):
         pieces = got[conv]
         assert [p["position"] for p in pieces if p["action"] != "insert"] == list(range(len(turns)))
         ordered = [p["source_role"] for p in pieces if p["action"] != "insert"]
-        assert sum(p["cost"] for p in pieces) == cheapest(ordered)
+        assert (sum(p["cost"] for p in pieces), sum(p["action"] != "merge" for p in pieces)) == cheapest(ordered)
         sequence = [p["role"] for p in pieces if p["action"] != "merge"]
         assert [p["message"] for p in pieces if p["action"] != "merge"] == list(range(len(sequence)))
         assert all(b in {"system": ("user",), "user": ("assistant",), "assistant": ("user",)}[a] for a, b in zip(sequence, sequence[1:], strict=False))
@@ -198,6 +198,54 @@ def test_roles(spark, seed):
     assert roles.repair_conversations(df.limit(0)).count() == 0
 
 
+def test_all_actions_occur():
+    """All sequences of up to six turns: each repair costs as little as plain recursion finds, and every action is taken somewhere."""
+    import itertools
+
+    auto, seen = roles.Automaton(roles.COSTS), Counter()
+    for n in range(1, 7):
+        for turns in itertools.product(["system", "user", "assistant", "tool"], repeat=n):
+            out = list(roles.repaired(auto, [{"role": r, "turn": k, "text": "x"} for k, r in enumerate(turns)]))
+            seen.update(x[6] for x in out)
+            assert (sum(x[7] for x in out), sum(x[6] != "merge" for x in out)) == cheapest(turns)
+    assert {"keep", "merge", "relabel", "insert"} == set(seen) and min(seen.values()) > 1000
+    actions = lambda *turns: [x[6] for x in roles.repaired(auto, [{"role": r, "turn": 0, "text": ""} for r in turns])]
+    assert actions("assistant", "user", "assistant") == ["insert", "keep", "keep", "keep"]
+    assert actions("user", "user", "assistant") == ["keep", "merge", "keep"] and actions("user", "system", "user") == ["keep", "relabel", "keep"]
+
+
+def test_rendered_conversations(spark):
+    rng = random.Random(3)
+    rows = [(c, k, rng.choice(["system", "user", "assistant", None]), rng.choice(["hi", None, "", "a\nb"])) for c in range(30) for k in range(rng.randint(1, 9))] + [(None, 0, "user", "x")] * 2
+    pieces = roles.repair_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    by = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["position"], r["step"])):
+        by.setdefault(r["conv_id"], []).append(r)
+    for part in (4096, 2):
+        got = {}
+        for r in sorted(roles.render(pieces, part=part).collect(), key=lambda r: r["part"]):
+            assert r["n_turns"] <= part
+            got.setdefault(r["conv_id"], []).append(r)
+        assert {k: "".join(r["text"] for r in v) for k, v in got.items()} == {k: "".join(p["rendered"] for p in v) for k, v in by.items()}
+        total = lambda k: sum(r[k] for v in got.values() for r in v)
+        assert total("n_turns") == len(rows) and total("cost") == sum(p["cost"] for v in by.values() for p in v)
+
+
+def test_role_sql_of_disordered_roles(spark):
+    """The registered SQL over conversations that need every kind of repair."""
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(c, k, rng.choice(["system", "user", "assistant", "User ", None, "tool"]), rng.choice(["hi", None, "", "yo\nyo"]) if k % 2 else f"t{k}") for c in range(80) for k in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    conversations = df.toPandas()  # noqa: F841  read by DuckDB
+    want = duckdb.sql(roles.role_sql()).df()
+    got = roles.render(roles.repair_conversations(df)).toPandas()
+    columns = sorted(want.columns)
+    a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert columns == sorted(got.columns) and a.equals(b) and want["n_inserted"].sum() > 10
+
+
 def test_roles_of_costly_conversations(spark):
     """Costs above 2^18 in one conversation, on one partition and across borders."""
     auto, n = roles.Automaton(roles.COSTS), 270_000

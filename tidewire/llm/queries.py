@@ -12,7 +12,7 @@ from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .line_dedup import op8_line_dedup
 from .mixing import mixing_sql, op4_mixing
 from .quality import op10_quality
-from .roles import op3_role_repair
+from .roles import op3_role_repair, role_sql
 from .secrets import op9_secrets
 from .simhash import op7_simhash_dedup
 from .toxicity import op5_toxicity
@@ -33,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op4_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_role_repair": role_sql(), "op4_mixing": mixing_sql()}

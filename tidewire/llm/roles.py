@@ -10,11 +10,12 @@ min-plus products. Costs and numbers of messages are exact integers without a bo
 that holds a large part of all rows spans many partitions. Each partition returns the matrices of its first and
 last conversation only (two rows a partition, whatever the data), the driver chains them to find the state at
 each border, and a second pass repairs every partition by itself. A merged message may span partitions too, so
-the output has one row for each source turn or inserted message, with its piece of the rendering; the pieces of
-a conversation, joined in order of (position, step), are its rendered text.
+the repair has one row for each source turn or inserted message, with its piece of the rendering. ``render`` joins the
+pieces in order of (position, step): a conversation of up to ``part`` turns is one row, a longer one has a row for
+each ``part`` turns, whose texts joined in order are its rendering. So no task holds more than a part.
 
 Edge cases: a null or unknown role can take any role at the cost of ``unknown``. A null text renders as empty.
-Turns are ordered by turn (null first), role and a hash of the text; repeated rows are turns of their own. Rows
+Turns are ordered by turn (null first), role and the MD5 of the text; repeated rows are turns of their own. Rows
 with a null conversation id form one conversation. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -35,7 +36,10 @@ START = len(ROLES)
 #: The legal turns: what may follow each role, and the start.
 LEGAL = {"system": ("user",), "user": ("assistant",), "assistant": ("user",), None: ("system", "user")}
 FINAL = ("user", "assistant")
-COSTS = {"relabel": 2, "merge": 1, "insert": 3, "unknown": 1}
+#: A message under another role misleads most, an empty one less, and a merge keeps every word where it was said.
+COSTS = {"relabel": 3, "merge": 1, "insert": 2, "unknown": 1}
+#: Turns of a conversation in one row of rendered text.
+PART = 4096
 #: Costs are scaled by this, so that the number of messages (a bigint) decides among equal costs. Sums are Python's
 #: integers and are never clipped.
 UNIT = 1 << 64
@@ -270,7 +274,7 @@ def repair_conversations(
         F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
     )
     order = ["conv_id", "turn", "role", "tie"]
-    dealt = durable(rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)).drop("tie")
+    dealt = durable(rows.withColumn("tie", F.md5(F.col("text").cast("binary"))).repartitionByRange(*order).sortWithinPartitions(*order)).drop("tie")
     dealt = dealt.withColumn("part", F.spark_partition_id())
     types, example = dict(rows.dtypes), rows.limit(0).toArrow().schema
     key, turn = example.field("conv_id").type, example.field("turn").type
@@ -284,5 +288,62 @@ def repair_conversations(
     return dealt.mapInArrow(_repair(costs, shared, key, turn), schema)
 
 
+def render(repaired: DataFrame, *, part: int = PART) -> DataFrame:
+    """One row for each ``part`` turns of a repaired conversation.
+
+    Columns: conv_id, part (from 0), n_turns, n_messages (begun in this part), n_relabelled, n_merged, n_inserted, cost
+    and text, the rendering.
+    """
+    count = lambda *actions: F.count_if(F.col("action").isin(*actions))
+    pieces = F.array_sort(F.collect_list(F.struct("position", "step", "rendered")))
+    return repaired.groupBy("conv_id", F.floor(F.col("position") / part).alias("part")).agg(
+        count("keep", "relabel", "merge").alias("n_turns"), count("keep", "relabel", "insert").alias("n_messages"), count("relabel").alias("n_relabelled"),
+        count("merge").alias("n_merged"), count("insert").alias("n_inserted"), F.sum("cost").alias("cost"), F.array_join(F.transform(pieces, lambda p: p["rendered"]), "").alias("text"),
+    )
+
+
 def op3_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_conversations(read(spark, sf_dir, "conversations"))
+    return render(repair_conversations(read(spark, sf_dir, "conversations")))
+
+
+def role_sql(costs: dict[str, int] | None = None) -> str:
+    """DuckDB SQL of the query, for conversations of up to PART turns: the dynamic program goes turn by turn."""
+    auto = Automaton(COSTS | (costs or {}))
+    start, end = "<|im_start|>", "<|im_end|>"
+    steps = []
+    for r in (*range(START), None):
+        for p in range(START + 1):
+            for q in range(START):
+                best, merge = auto.steps[r][p][q]
+                if best == FAR:
+                    continue
+                path = auto.paths.get((p, q), [])
+                opened = "\n" if merge else "".join(f"{end}\n" * (k > 0 or p != START) + f"{start}{ROLES[x]}\n" for k, x in enumerate(path))
+                relabelled = int(not merge and path[-1] != r)
+                steps.append(f"({-1 if r is None else r}, {p}, {q}, {best // UNIT}, {best % UNIT}, {int(merge)}, {relabelled}, {0 if merge else len(path) - 1}, '{opened}')")
+    known = " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(ROLES))
+    final = ", ".join(str(ROLES.index(x)) for x in FINAL)
+    return f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS k,
+         CASE lower(trim(role)) {known} ELSE -1 END AS r, coalesce(text, '') AS text
+  FROM conversations
+), steps(r, p, q, cost, messages, merged, relabelled, inserted, opened) AS (VALUES {", ".join(steps)}),
+way AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, {START} AS q, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS messages, CAST(0 AS BIGINT) AS relabelled,
+         CAST(0 AS BIGINT) AS merged, CAST(0 AS BIGINT) AS inserted, '' AS text
+  FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, k, q, cost, messages, relabelled, merged, inserted, text FROM (
+    SELECT w.conv_id, t.k, s.q, w.cost + s.cost AS cost, w.messages + s.messages AS messages, w.relabelled + s.relabelled AS relabelled,
+           w.merged + s.merged AS merged, w.inserted + s.inserted AS inserted, w.text || s.opened || t.text AS text,
+           row_number() OVER (PARTITION BY w.conv_id, s.q ORDER BY w.cost + s.cost, w.messages + s.messages, s.p) AS place
+    FROM way AS w JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1 JOIN steps AS s ON s.r = t.r AND s.p = w.q
+  ) WHERE place = 1
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC, cost, messages, q) AS place FROM way WHERE q IN ({final})
+)
+SELECT conv_id, CAST(0 AS BIGINT) AS part, k AS n_turns, messages AS n_messages, relabelled AS n_relabelled, merged AS n_merged, inserted AS n_inserted, cost,
+       text || '{end}' || chr(10) AS text
+FROM best WHERE place = 1
+"""
