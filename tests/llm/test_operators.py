@@ -331,6 +331,53 @@ def test_quality(spark):
     assert quality.fit(df, labels.limit(0)) is None and {r["score"] for r in quality.score(df, None).collect()} == {0.5}
 
 
+def test_ftrl_is_the_published_update():
+    """Against a plain per-coordinate loop over dictionaries."""
+    rng = random.Random(3)
+    data = [(sorted(rng.sample(range(40), rng.randint(1, 8))), rng.randint(0, 1)) for _ in range(400)]
+    m = toxicity.FTRL(40, alpha=0.5, beta=1.0, l1=0.7, l2=0.3)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == 40 else 0.7
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.3)
+
+    for slots, label in data:
+        m.learn(np.array(slots), label)
+        w = {i: weight(i) for i in [*slots, 40]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in w:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+            n[i] += g * g
+    at, w = m.sparse()
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in range(41) if weight(i)})
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = [(1, f"text {k}") for k in range(200)] + [(k, "x") for k in range(2, 60)]
+    marks = spark.createDataFrame([(k, int(k % 2)) for k in range(1, 60)], "doc_id long, toxic int")
+    sample, counts = toxicity.labelled_sample(docs(spark, rows), marks, target="toxic", id_col="doc_id", text_col="text", train=(3, 1), max_per_class=9)
+    assert Counter(r["label"] for r in sample.collect()) == {0: 9, 1: 9} and sum(counts.values()) == sum(not held(k) for k in range(1, 60))
+
+
+def test_quality_scores_by_plain_sizes(spark):
+    """A model's scores are those of its dictionaries' sizes alone, computed plainly."""
+    import zstandard as zs
+
+    df, labels, _ = labelled(spark, random.Random(2), 600, ["!!BUY!!", "###@@@"], "toxic")
+    model = quality.fit(df, labels.select("doc_id", (1 - F.col("toxic")).alias("quality")))
+    sizes = {}
+    for kind in ("good", "bad"):
+        c = zs.ZstdCompressor(level=3, dict_data=zs.ZstdCompressionDict(bytes(model[kind])), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[kind] = lambda t, c=c: sum(len(c.compress(t[k : k + 1024])) for k in range(0, len(t), 1024))
+    for r in quality.score(df.select("text", F.col("text").alias("doc_id")), model).collect():
+        t = (r["doc_id"] or "").encode()
+        g, b = sizes["good"](t), sizes["bad"](t)
+        d = (b - g) / max(1, b + g)
+        z = model["slopes"][0] * d + model["slopes"][1] * d * math.log1p(len(t)) + model["intercept"]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # --- 6 ---
 def test_brown(spark):
     rng = random.Random(4)

@@ -3,13 +3,13 @@
 One dictionary is built from texts labelled good, one from texts labelled bad. A text is cut into pieces of
 ``piece`` bytes (all of it), each is compressed with either dictionary, and the sizes are added up. The
 difference of the two sums over their sum is turned into a probability by a logistic curve fitted on other
-labelled texts (Platt scaling). The curve depends on the text's length, since the difference of a short text
-means less, and on the share of its size that compression leaves, which is small for monotonous texts.
+labelled texts (Platt scaling). Nothing but that difference enters the score; the text's length scales its slope, since
+the difference of a short text means less.
 
-Fitting uses a bounded sample of the labelled rows: up to ``max_per_class`` documents of each label, those
-whose id has the smallest hash, whole texts. Half of them feed the dictionaries (of their pieces the
+Fitting uses a bounded sample of the labelled rows: up to ``max_per_class`` rows of each label, those whose id (then
+text) has the smallest hash, whole texts. Half of them feed the dictionaries (of their pieces the
 ``max_pieces`` of smallest hash for each label), half the curve. They stream through one task in a fixed
-order; the result is two dictionaries of ``dictionary_bytes`` and five numbers.
+order; the result is two dictionaries of ``dictionary_bytes`` and three numbers.
 
 Edge cases: a null or empty text has features of 0 and is scored as such. A document whose training
 labels disagree, or are null, is not learned from. With too few labels of one kind every score is 0.5.
@@ -49,17 +49,15 @@ class Sizes:
         self.bad = zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(bad), **plain)
         self.piece = piece
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
-        """(bad - good) / (bad + good), above 0 if the good dictionary fits better; the same times the logarithm
-        of the length, that logarithm, and the logarithm of the compressed share.
-        """
+    def features(self, text: bytes) -> tuple[float, float]:
+        """(bad - good) / (bad + good), above 0 if the good dictionary fits better, and the same times the logarithm of the length."""
         g = b = 0
         for k in range(0, len(text), self.piece):
             x = text[k : k + self.piece]
             g += len(self.good.compress(x))
             b += len(self.bad.compress(x))
-        difference, length = (b - g) / max(1, b + g), math.log1p(len(text))
-        return difference, difference * length, length, math.log((g + b + 1) / (2 * len(text) + 1))
+        difference = (b - g) / max(1, b + g)
+        return difference, difference * math.log1p(len(text))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -4,9 +4,10 @@ A text's features are its distinct hashed words, word pairs and pairs with one w
 learner keeps a rate for each coordinate and drives most weights to exactly zero, so what is broadcast for
 scoring is a short list of (index, weight), bounded by the number of hash slots.
 
-Training uses a bounded sample of the labelled rows: up to ``max_per_class`` documents of each label, those
-whose id has the smallest hash, whole texts, in ``epochs`` passes. They stream through one task in a fixed
-order. The intercept is shifted to the share of label 1 in all training labels. Scoring covers every row.
+Training uses a bounded sample of the labelled rows: up to ``max_per_class`` rows of each label, those whose id (then
+text) has the smallest hash, whole texts. They meet once in one task, which keeps their slots and goes over them in a fixed
+order: in three passes over a full sample, in more over a smaller one, so that the learner takes about ``EXAMPLES`` steps (in
+``MAX_PASSES`` at most). The intercept is shifted to the share of label 1 in all training labels. Scoring covers every row.
 
 Edge cases: a null or empty text has no features and gets the intercept's score. A document whose training
 labels disagree, or are null, is not learned from. With no labels of one kind every score is that of a
@@ -28,7 +29,8 @@ from .common import alnum_words, crc_mod, read, texts
 
 SLOTS_BITS = 20
 MAX_PER_CLASS = 8000
-EPOCHS = 3
+#: Steps of a fit, and the least and most passes over the sample.
+EXAMPLES, MIN_PASSES, MAX_PASSES = 48_000, 3, 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 
 
@@ -65,7 +67,8 @@ class FTRL:
         return np.where(np.abs(z) <= l1, 0.0, w)
 
     def learn(self, features: np.ndarray, label: int) -> None:
-        at = np.append(np.unique(features), self.size)
+        """One step over distinct slots."""
+        at = np.append(features, self.size)
         w = self.weights(at)
         g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
         n = self.n[at]
@@ -94,32 +97,37 @@ def labelled_sample(
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     kept = [marks.where(F.col("label") == k).orderBy("rank", "doc_id").limit(max_per_class) for k in (0, 1)]
     texts_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # two times max_per_class ids at most
-    sample = texts_.join(F.broadcast(kept[0].union(kept[1])), "doc_id").select("rank", "label", "text")
-    return sample, {k: counts.get(k, 0) for k in (0, 1)}
+    # two times max_per_class ids at most; an id may have many rows
+    rows = texts_.join(F.broadcast(kept[0].union(kept[1])), "doc_id").select("rank", "label", "text", F.xxhash64("text").alias("th"))
+    sample = rows.where("label = 0").orderBy("rank", "th").limit(max_per_class).union(rows.where("label = 1").orderBy("rank", "th").limit(max_per_class))
+    return sample.select("rank", "label", "text"), {k: counts.get(k, 0) for k in (0, 1)}
 
 
 def _train(bits: int):
     def run(batches):
-        model, cache, seen = FTRL(1 << bits), {}, [0, 0]
+        cache, held, seen = {}, [], [0, 0]
         for batch in batches:
             for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-                model.learn(slots(text, cache, bits), label)
+                held.append((np.unique(slots(text, cache, bits)).astype(np.int32), label))
                 seen[label] += 1
-        if min(seen):
-            at, w = model.sparse()
-            at, w = np.append(at, -1), np.append(w, math.log(seen[1] / seen[0]))
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(w)], names=["slot", "weight"])
+        if not min(seen):
+            return
+        model = FTRL(1 << bits)
+        for _ in range(max(MIN_PASSES, min(MAX_PASSES, round(EXAMPLES / len(held))))):
+            for at, label in held:
+                model.learn(at, label)
+        at, w = model.sparse()
+        at, w = np.append(at, -1), np.append(w, math.log(seen[1] / seen[0]))
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(w)], names=["slot", "weight"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        train: tuple[int, int] = (3, 1), max_per_class: int = MAX_PER_CLASS, epochs: int = EPOCHS, bits: int = SLOTS_BITS) -> dict:
+        train: tuple[int, int] = (3, 1), max_per_class: int = MAX_PER_CLASS, bits: int = SLOTS_BITS) -> dict:
     """Sparse weights learned from rows whose crc32(id) modulo train[0] is not train[1]."""
     sample, counts = labelled_sample(docs, labels, target=target, id_col=id_col, text_col=text_col, train=train, max_per_class=max_per_class)
-    passes = sample.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    ordered = passes.repartition(1).sortWithinPartitions("epoch", "rank", "label", "text").select("label", "text")
+    ordered = sample.repartition(1).sortWithinPartitions("rank", "label", "text").select("label", "text")
     found = ordered.mapInArrow(_train(bits), "slot bigint, weight double").toArrow()
     model = dict(zip(found["slot"].to_pylist(), found["weight"].to_pylist(), strict=True))
     odds = model.pop(-1, 0.0)
