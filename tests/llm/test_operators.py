@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import brown, decontaminate, embedding_dedup, line_dedup, mixing, quality, roles, secrets, simhash, toxicity
+from tidewire.llm import brown, common, decontaminate, embedding_dedup, line_dedup, mixing, quality, roles, secrets, simhash, toxicity
 
 DOCS = "doc_id bigint, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -39,6 +39,23 @@ def docs(spark, rows, extra=True):
 EDGES = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (None, "alpha beta"), (5, "word " * 30_000), (6, "Z😀é\x00 　x")]
 
 
+@pytest.mark.parametrize("segment", [1 << 20, 40])
+def test_hashed_words(monkeypatch, segment):
+    """The same words as by splitting, equal words of equal hashes, whatever stands beside them."""
+    monkeypatch.setattr(common, "SEGMENT", segment)
+    rng, seen = random.Random(1), {}
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b", "B", "é", "\x00", " ", "  ", "\n", "longerword", "x" * 70]) for _ in range(rng.randint(0, 60))).encode()
+        for table in (common.WORD_BYTES, common.SPACED_BYTES):
+            plain = text.translate(table)
+            h, starts, ends = common.hashed_words(plain)
+            assert [plain[a:b] for a, b in zip(starts, ends, strict=True)] == plain.split()
+            for w, x in zip(plain.split(), h.tolist(), strict=True):
+                assert seen.setdefault(w, x) == x
+        assert text.translate(common.SPACED_BYTES).split() == common.spaced_words(text)
+    assert len(set(seen.values())) == len(seen) > 900
+
+
 # --- 1 ---
 def brute_hits(text, items, window):
     words = WORD.findall(low(text))
@@ -369,12 +386,11 @@ def test_quality_scores_by_plain_sizes(spark):
     sizes = {}
     for kind in ("good", "bad"):
         c = zs.ZstdCompressor(level=3, dict_data=zs.ZstdCompressionDict(bytes(model[kind])), write_content_size=False, write_checksum=False, write_dict_id=False)
-        sizes[kind] = lambda t, c=c: sum(len(c.compress(t[k : k + 1024])) for k in range(0, len(t), 1024))
+        sizes[kind] = lambda t, c=c: sum(len(c.compress(t[k : k + 256])) for k in range(0, len(t), 256))
     for r in quality.score(df.select("text", F.col("text").alias("doc_id")), model).collect():
         t = (r["doc_id"] or "").encode()
         g, b = sizes["good"](t), sizes["bad"](t)
-        d = (b - g) / max(1, b + g)
-        z = model["slopes"][0] * d + model["slopes"][1] * d * math.log1p(len(t)) + model["intercept"]
+        z = model["slopes"][0] * (b - g) / max(1, b + g) + model["slopes"][1] * (b - g) / max(1, len(t)) + model["intercept"]
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
@@ -556,15 +572,13 @@ def test_runs_grow_to_the_ends_of_passages(spark):
 
 def brute_lines(rows, min_line, min_run):
     """What is left of each text by a plain version of the rules: tuples of words instead of digests, nested loops."""
-    from xxhash import xxh64_intdigest
-
     reach, texts = max(2, 2 * min_run // 5), sorted({(i is None, i or 0, t) for i, t in rows if t}, key=lambda x: (x[0], x[1], line_hash(x[2])))
     first, of = {}, {}
-    mix = lambda x: int(line_dedup._mixed(np.array([x % 2**64], np.uint64))[0])
+    mix = lambda x: int(common.mixed(np.array([x % 2**64], np.uint64))[0])
     for d, (_, _, t) in enumerate(texts):
         lines = [[w.encode() for w in WORD.findall(low(x))] for x in t.split("\n")]
         words = [w for x in lines for w in x]
-        h = [xxh64_intdigest(w, 42) for w in words] + [0]
+        h = [int(common.hashed_words(w)[0][0]) for w in words] + [0]
         value = [mix(h[k] + 0x7C15 * h[k + 1]) for k in range(len(words))]
         cuts = {0, len(words)} | {min(range(k, k + reach), key=lambda j: (value[j], j)) for k in range(len(words) - reach + 1)}
         cuts = sorted(cuts)
@@ -635,8 +649,8 @@ def test_cuts_do_not_depend_on_the_place():
         for _ in range(200):
             passage, units = fresh(least + 1), []
             for _ in range(2):
-                u = line_dedup.Cut(fresh(33) + b" " + passage + b"\n" + fresh(21), line_dedup.WordHashes(), reach)
-                units.append({tuple(u.words[a:b]) for a, b in zip(u.cuts[:-1], u.cuts[1:], strict=True)})
+                u = line_dedup.Cut(fresh(33) + b" " + passage + b"\n" + fresh(21), reach)
+                units.append({tuple(u.words(a, b)) for a, b in zip(u.cuts[:-1], u.cuts[1:], strict=True)})
                 assert max(np.diff(u.cuts)) <= reach + 1
             assert sum(map(len, units[0] & units[1])) >= least - 2 * reach
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable
 
-__all__ = ["WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "local_roots", "read", "spaced_words", "texts"]
+__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "spaced_words", "texts"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -17,6 +17,10 @@ WORD_BYTES = bytes(
 )
 
 
+#: Maps A-Z to a-z and the bytes 0x09 to 0x0D to a space.
+SPACED_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -59,6 +63,51 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Base of the polynomial hash of a word's bytes, and how many bytes of a text are hashed at once.
+BASE, SEGMENT = 0x9E3779B97F4A7C15, 1 << 20
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers after which every bit depends on all."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, first bytes and ends of the words of a text whose separators are spaces; no step is taken word by word."""
+    if len(plain) > SEGMENT and (cut := plain.rfind(b" ", 0, SEGMENT) + 1 or plain.find(b" ", SEGMENT) + 1):
+        parts, at = [], 0
+        while at < len(plain):
+            end = len(plain) if len(plain) - at <= SEGMENT else plain.rfind(b" ", at, at + SEGMENT) + 1 or plain.find(b" ", at + SEGMENT) + 1 or len(plain)
+            h, starts, ends = _hashed(plain[at:end])
+            parts.append((h, starts + at, ends + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _hashed(plain)
+
+
+def _hashed(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(plain, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = raw != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    size = ends - starts
+    begins = np.cumsum(size) - size
+    most = int(size.max())
+    if len(_POWERS[0]) < most:
+        with np.errstate(over="ignore"):
+            _POWERS[0] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * most, BASE, np.uint64))))
+    with np.errstate(over="ignore"):
+        terms = (raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)) * _POWERS[0][np.arange(begins[-1] + size[-1]) - np.repeat(begins, size)]
+        return mixed(np.add.reduceat(terms, begins)), starts, ends
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z only) words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
     return text.translate(WORD_BYTES).split()

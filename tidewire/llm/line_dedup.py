@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, durable, read
+from .common import WORD_BYTES, durable, hashed_words, mixed, read
 
 MIN_LINE_WORDS = 5
 MIN_RUN_WORDS = 10
@@ -42,7 +42,6 @@ LONG_LINE, LONG_RUN = 20, 50
 SAMPLE, FREQUENT, MOST_FREQUENT, SALTS = 64, 16, 4096, 64
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_DIGITS = np.uint64(30), np.uint64(0xBF58476D1CE4E5B9), np.uint64(27), np.uint64(0x94D049BB133111EB), np.uint64(31)
 
 
 def reach_of(min_run_words: int) -> int:
@@ -50,29 +49,6 @@ def reach_of(min_run_words: int) -> int:
     return max(2, 2 * min_run_words // 5)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    a, b, c, d, e = _DIGITS
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> a)) * b
-        x = (x ^ (x >> c)) * d
-    return x ^ (x >> e)
-
-
-class WordHashes(dict):
-    """Hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, 42)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 class Powers:
     """Powers of the two bases of sequence hashes."""
 
@@ -89,7 +65,7 @@ class Powers:
             for k, base in enumerate(BASES):
                 if len(self.tables[k]) < most:
                     self.tables[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * most, base, np.uint64))))
-                terms = (h if k == 0 else _mixed(h))[at] * self.tables[k][at - np.repeat(starts, size)]
+                terms = (h if k == 0 else mixed(h))[at] * self.tables[k][at - np.repeat(starts, size)]
                 out.append(np.add.reduceat(terms, np.cumsum(size) - size).view(np.int64))
         return out
 
@@ -97,61 +73,53 @@ class Powers:
 class Cut:
     """One text's words, their places in it, and the starts of its paragraphs (``cuts``, ending with the number of words)."""
 
-    def __init__(self, text: bytes, hashes: WordHashes, reach: int):
-        self.text, self.plain = text, text.translate(WORD_BYTES)
-        self.words = self.plain.split()
-        self.reach = reach
-        self.h = hashes.of(self.words)
+    def __init__(self, text: bytes, reach: int):
+        self.text, self.plain, self.reach = text, text.translate(WORD_BYTES), reach
+        self.h, self.starts, self.ends = hashed_words(self.plain)
         n = len(self.h)
         if n < reach:
             self.cuts = np.array([0, n] if n else [0])
             return
-        value = _mixed(self.h + np.uint64(BASES[0] & 0xFFFF) * np.append(self.h[1:], np.uint64(0)))
+        value = mixed(self.h + np.uint64(BASES[0] & 0xFFFF) * np.append(self.h[1:], np.uint64(0)))
         least = np.lib.stride_tricks.sliding_window_view(value, reach).argmin(axis=1) + np.arange(n - reach + 1)
         marked = np.zeros(n + 1, bool)
         marked[least] = marked[0] = marked[n] = True
         self.cuts = np.flatnonzero(marked)
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and end of each word."""
-        inside = np.concatenate(([False], np.frombuffer(self.plain, np.uint8) != 32, [False]))
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        return edges[::2], edges[1::2]
+    def words(self, a: int, b: int) -> list[bytes]:
+        """The words from a to b."""
+        return self.plain[self.starts[a] : self.ends[min(b, len(self.ends)) - 1]].split() if a < min(b, len(self.ends)) else []
 
     def lines(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and end of each line of ``min_words`` words or more."""
-        if len(self.words) < min_words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count = np.array([len(x.split()) for x in self.plain_lines()])
-        ends = np.cumsum(count)
-        long = count >= min_words
-        return (ends - count)[long], ends[long]
-
-    def plain_lines(self) -> list[bytes]:
-        return [x.translate(WORD_BYTES) for x in self.text.split(b"\n")]
+        breaks = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 10)
+        ends = np.unique(np.append(np.searchsorted(self.starts, breaks), len(self.starts)))
+        starts = np.concatenate(([0], ends[:-1]))
+        long = ends - starts >= min_words
+        return starts[long], ends[long]
 
     def before(self, k: int) -> bytes:
         """The words before paragraph k, to the cut before it and the words that decide that cut."""
         a = int(self.cuts[k])
-        return b" ".join(self.words[max(0, int(self.cuts[max(0, k - 1)]) - self.reach - 1) : a])
+        return b" ".join(self.words(max(0, int(self.cuts[max(0, k - 1)]) - self.reach - 1), a))
 
     def after(self, k: int) -> bytes:
         """The words behind paragraph k, likewise."""
         b = int(self.cuts[k + 1])
-        return b" ".join(self.words[b : int(self.cuts[min(len(self.cuts) - 1, k + 2)]) + self.reach + 2])
+        return b" ".join(self.words(b, int(self.cuts[min(len(self.cuts) - 1, k + 2)]) + self.reach + 2))
 
 
 def _units(min_line_words: int, reach: int):
     """A row for each unit; paragraph k is unit 2k, line k is unit 2k + 1."""
 
     def run(batches):
-        hashes, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
             held: list[tuple] = []
             rows = 0
             for k, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 if text:
-                    cut = Cut(text, hashes, reach)
+                    cut = Cut(text, reach)
                     lines = cut.lines(min_line_words)
                     for kind, (a, b) in enumerate(((cut.cuts[:-1], cut.cuts[1:]), lines)):
                         if len(a):
@@ -204,11 +172,10 @@ def _contexts(reach: int):
     """The words before (side 0) and behind (side 1) the wanted units of a document."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             at, unit, side, words = [], [], [], []
             for k, (text, wanted) in enumerate(zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
-                cut = Cut(text, hashes, reach)
+                cut = Cut(text, reach)
                 for w in wanted:
                     at.append(k)
                     unit.append(w["unit"])
@@ -220,6 +187,16 @@ def _contexts(reach: int):
     return run
 
 
+def _alike(x, y) -> int:
+    """How many first elements are equal."""
+    n = 0
+    for a, b in zip(x, y, strict=False):
+        if a != b:
+            break
+        n += 1
+    return n
+
+
 def removed_spans(cut: Cut, runs: list[dict], min_line_words: int, min_run_words: int) -> list[tuple[int, int]]:
     """Word spans to remove; runs have from, to and the words beside the first occurrences (before, after)."""
     lines = cut.lines(min_line_words) if any(r["from"] & 1 for r in runs) else None
@@ -229,14 +206,9 @@ def removed_spans(cut: Cut, runs: list[dict], min_line_words: int, min_run_words
             found.append((int(lines[0][r["from"] // 2]), int(lines[1][r["from"] // 2])))
             continue
         a, b = int(cut.cuts[r["from"] // 2]), int(cut.cuts[r["to"] // 2 + 1])
-        for w in reversed((r["before"] or b"").split()):
-            if not a or cut.words[a - 1] != w:
-                break
-            a -= 1
-        for w in (r["after"] or b"").split():
-            if b >= len(cut.words) or cut.words[b] != w:
-                break
-            b += 1
+        before, after = (r["before"] or b"").split(), (r["after"] or b"").split()
+        a -= _alike(reversed(before), reversed(cut.words(max(0, a - len(before)), a)))
+        b += _alike(after, cut.words(b, b + len(after)))
         if b - a >= min_run_words:
             found.append((a, b))
     spans: list[tuple[int, int]] = []
@@ -250,15 +222,14 @@ def removed_spans(cut: Cut, runs: list[dict], min_line_words: int, min_run_words
 
 def _remove(min_line_words: int, min_run_words: int, reach: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             offsets, left = [], []
             for text, runs in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 at: list[int] = []
                 if text and runs:
-                    cut = Cut(text, hashes, reach)
+                    cut = Cut(text, reach)
                     if spans := removed_spans(cut, runs, min_line_words, min_run_words):
-                        starts, ends = cut.places()
+                        starts, ends = cut.starts, cut.ends
                         points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
                         keep, last = [], 0
                         for a, b in spans:

@@ -2,9 +2,8 @@
 
 One dictionary is built from texts labelled good, one from texts labelled bad. A text is cut into pieces of
 ``piece`` bytes (all of it), each is compressed with either dictionary, and the sizes are added up. The
-difference of the two sums over their sum is turned into a probability by a logistic curve fitted on other
-labelled texts (Platt scaling). Nothing but that difference enters the score; the text's length scales its slope, since
-the difference of a short text means less.
+difference of the two sums, normalised by their sum and by the text's length, is turned into a probability by a logistic
+curve fitted on other labelled texts (Platt scaling). Nothing but that difference enters the score.
 
 Fitting uses a bounded sample of the labelled rows: up to ``max_per_class`` rows of each label, those whose id (then
 text) has the smallest hash, whole texts. Half of them feed the dictionaries (of their pieces the
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import filter_by_text, read, texts
 from .toxicity import labelled_sample, with_held_out
 
-PIECE = 1024
+PIECE = 256
 DICTIONARY_BYTES = 65536
 MAX_PER_CLASS = 3000
 MAX_PIECES = 16384
@@ -50,14 +49,13 @@ class Sizes:
         self.piece = piece
 
     def features(self, text: bytes) -> tuple[float, float]:
-        """(bad - good) / (bad + good), above 0 if the good dictionary fits better, and the same times the logarithm of the length."""
+        """The difference bad - good, above 0 if the good dictionary fits better, over their sum and over the text's bytes."""
         g = b = 0
         for k in range(0, len(text), self.piece):
             x = text[k : k + self.piece]
             g += len(self.good.compress(x))
             b += len(self.bad.compress(x))
-        difference = (b - g) / max(1, b + g)
-        return difference, difference * math.log1p(len(text))
+        return (b - g) / max(1, b + g), (b - g) / max(1, len(text))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -18,14 +18,13 @@ as not held out. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, crc_mod, read, texts
+from .common import WORD_BYTES, crc_mod, hashed_words, read, texts
 
 SLOTS_BITS = 20
 MAX_PER_CLASS = 8000
@@ -34,19 +33,9 @@ EXAMPLES, MIN_PASSES, MAX_PASSES = 48_000, 3, 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 1.0
 
 
-def slots(text: bytes, cache: dict[bytes, int], bits: int = SLOTS_BITS) -> np.ndarray:
+def slots(text: bytes, bits: int = SLOTS_BITS) -> np.ndarray:
     """Hash slots of all word 1-grams, 2-grams and 1-skip-2-grams, repeats included."""
-    words = alnum_words(text)
-    if not words:
-        return np.zeros(0, np.int64)
-    if len(cache) > 500_000:
-        cache.clear()
-    h = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        x = cache.get(w)
-        if x is None:
-            x = cache[w] = zlib.crc32(w)
-        h[k] = x
+    h, _, _ = hashed_words(text.translate(WORD_BYTES))
     a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     with np.errstate(over="ignore"):
         mixed = np.concatenate((h * a, (h[:-1] * a + h[1:]) * b, (h[:-2] * b + h[2:]) * c))
@@ -105,10 +94,10 @@ def labelled_sample(
 
 def _train(bits: int):
     def run(batches):
-        cache, held, seen = {}, [], [0, 0]
+        held, seen = [], [0, 0]
         for batch in batches:
             for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-                held.append((np.unique(slots(text, cache, bits)).astype(np.int32), label))
+                held.append((np.unique(slots(text, bits)).astype(np.int32), label))
                 seen[label] += 1
         if not min(seen):
             return
@@ -142,11 +131,11 @@ def _score(shared, threshold: float):
         m = shared.value
         weights = np.zeros(1 << m["bits"])
         weights[m["slots"]] = m["weights"]
-        used, cache = weights != 0, {}
+        used = weights != 0
         for batch in batches:
             score = np.empty(batch.num_rows)
             for k, text in enumerate(texts(batch)):
-                at = slots(text, cache, m["bits"])
+                at = slots(text, m["bits"])
                 w = weights[np.unique(at[used[at]])].sum() + m["intercept"]
                 score[k] = 1 / (1 + math.exp(-max(-35.0, min(35.0, w))))
             yield pa.record_batch(
