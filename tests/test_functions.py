@@ -146,3 +146,45 @@ def test_scoring(spark):
     assert one(spark, scoring.importance(parts)) == pytest.approx(90)
     assert one(spark, scoring.importance({"global_impact": F.lit(100)})) == pytest.approx(30)
     assert [one(spark, scoring.grade(F.lit(s))) for s in (95, 94.9, 85, 80, 10)] == ["S", "A+", "A", "B+", "C"]
+
+
+def test_json_objects_agree_with_the_model_reader(spark):
+    """The column function and the model reader find the same object, or none."""
+    import json
+
+    from tidewire.sources.models import json_object
+
+    answers = [
+        '{"a": 1}', 'Sure: {"a": "}{ \\" {"} and then {b}', '{"a": {"b": [1, 2,],},} tail }', '```JSON\n{"a": 2}\n``` and {"c": 3}', "no object", "{broken", '{"a": 1} {"b": 2}', "", "} {", '```json\nnothing\n``` {"a": 1}',
+        '{"a": "\\\\"} {', '{"é😀": "x"} }',
+    ]
+    df = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, t string")
+    got = {r["k"]: r["j"] for r in df.select("k", jsontext.extract_json(F.col("t")).alias("j")).collect()}
+    for k, a in enumerate(answers):
+        try:
+            want = json_object(a)
+        except ValueError:
+            want = None
+        assert (None if got[k] is None else json.loads(__import__("re").sub(r",(\s*[}\]])", r"\1", got[k]))) == want, a
+
+
+def test_components_in_one_task(spark):
+    from tidewire.operators.graph import components
+
+    for kind, f in (("long", lambda x: x), ("string", str)):
+        links = spark.createDataFrame([(f(a), f(b)) for a, b in [(5, 3), (3, 9), (7, 7), (20, 21), (21, 22), (9, 5)]], f"a {kind}, b {kind}")
+        rows = lambda few: sorted((r["node"], r["label"]) for r in components(links, few=few).collect())
+        assert rows(100) == rows(0) and len(rows(0)) == 6
+        assert components(links.limit(0), few=100).count() == 0
+
+
+def test_shared_folder(spark):
+    from tidewire.operators import graph
+
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "hdfs://w"}
+        sparkContext = type("C", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})
+
+    assert graph.shared_folder(Session) == "hdfs://w/tidewire-checkpoints"
+    Session.conf["spark.checkpoint.dir"] = "hdfs://c"
+    assert graph.shared_folder(Session) == "hdfs://c"

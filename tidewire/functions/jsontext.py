@@ -18,6 +18,23 @@ def _braces(text: Column) -> Column:
     return F.when((start > 0) & (F.locate("}", text) > 0) & (end > start), F.substring(text, start, end - start + 1))
 
 
+def _first_object(text: Column) -> Column:
+    """From the first brace to the one that closes it; braces in strings do not count. Null without such."""
+    chars = F.split(F.substring(text, F.locate("{", text), F.length(text)), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        opens, closes = ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        quoted = F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
+        at = s["at"] + 1
+        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), at.alias("at"), F.when(closes & (depth == 0), at).otherwise(0).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(moved)
+
+    end = F.aggregate(chars, start, step, lambda s: s["end"])
+    return F.when((F.locate("{", text) > 0) & (end > 0), F.substring(text, F.locate("{", text), end))
+
+
 def extract_json_strict(text: Column) -> Column:
     """The whole text, else the body of the first json fence, else first to last brace; null if that is no JSON."""
     t = F.trim(text)
@@ -26,12 +43,14 @@ def extract_json_strict(text: Column) -> Column:
 
 
 def extract_json(text: Column) -> Column:
-    """As above, but the fence in any case, braces within it, and trailing commas repaired."""
+    """As above, but the fence in any case, braces within it, trailing commas repaired; of several objects the first."""
     t = F.trim(text)
     fence = r"(?is)```json\s*(.*?)\s*```"
     t = F.when(F.rlike(t, F.lit(fence)), F.trim(F.regexp_extract(t, fence, 1))).otherwise(t)
-    t = F.coalesce(_braces(t), t)
-    return F.coalesce(_valid(t), _valid(F.regexp_replace(t, r",(\s*[}\]])", "$1")))
+    whole, first = F.coalesce(_braces(t), t), _first_object(t)
+    repaired = lambda x: _valid(F.regexp_replace(x, r",(\s*[}\]])", "$1"))
+    # the parser does not mind what follows a value, so the first object goes first
+    return F.coalesce(_valid(first), repaired(first), _valid(whole), repaired(whole))
 
 
 def is_grounded(value: Column, text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -83,10 +83,10 @@ def roll_up(articles: DataFrame, clusters: DataFrame, as_of: Column | None = Non
         "__names": companies(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))), dictionary),
         "__grams": bigrams(title_key(F.col("title")), False),
     })
-    # sets by domain and company are bounded by their number; members carry ids and, for five of them, bigrams
+    # sets by domain and company are bounded by their number; members carry ids, and five of them bigrams
     member = F.struct((-F.col("__w")).alias("w"), (-F.length(F.coalesce("title", F.lit("")))).alias("l"), "seq", "article_id", "title", "snippet")
     base = named.groupBy("__bucket", "__cluster").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("__w")).alias("w"), (-F.length(F.coalesce("title", F.lit("")))).alias("l"), "seq", "article_id", "__grams"))).alias("members"),
+        F.sort_array(F.collect_list(F.struct((-F.col("__w")).alias("w"), (-F.length(F.coalesce("title", F.lit("")))).alias("l"), "seq", "article_id"))).alias("members"),
         F.min(member).alias("head"),
         F.count("*").cast("int").alias("article_count"),
         F.min("published_at").alias("earliest_published_at"),
@@ -95,12 +95,15 @@ def roll_up(articles: DataFrame, clusters: DataFrame, as_of: Column | None = Non
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("__names")))).alias("companies_mentioned"),
         F.min("seq").alias("seq"),
     )
-    return base.select(
+    of_cluster = Window.partitionBy("__bucket", "__cluster").orderBy(F.desc("__w"), F.desc(F.length(F.coalesce("title", F.lit("")))), "seq")
+    five = named.select("__bucket", "__cluster", "__grams", F.row_number().over(of_cluster).alias("__n")).where("__n <= 5")
+    five = five.groupBy("__bucket", "__cluster").agg(F.sort_array(F.collect_list(F.struct("__n", "__grams"))).alias("__five"))
+    return base.join(five, ["__bucket", "__cluster"]).select(
         "seq", event_id(F.col("head.title")).alias("event_id"), F.col("head.title").alias("canonical_title"),
         F.transform("members", lambda m: m["article_id"]).alias("article_ids"), "article_count",
         event_type(F.coalesce("head.title", F.lit("")), F.coalesce("head.snippet", F.lit("")), rules).alias("event_type_guess"),
         "earliest_published_at", "latest_published_at", "source_domains", "companies_mentioned",
-        pair_score(F.transform(F.slice("members", 1, 5), lambda m: m["__grams"])).alias("cluster_score"),
+        pair_score(F.transform("__five", lambda m: m["__grams"])).alias("cluster_score"),
         (as_of if as_of is not None else F.current_timestamp()).alias("created_at"),
     )
 

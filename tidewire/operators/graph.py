@@ -4,48 +4,71 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with an eager checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
 
-    A temporary folder is used only where spark.checkpoint.dir is unset, as in tests.
+    Only a session whose tasks all run in this process may use a temporary folder, as in tests.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="tidewire-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/tidewire-checkpoints"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with an eager checkpoint in the shared folder of the session."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and links a[i]-b[i], the smallest node of each node's component."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while True:
+            jumped = new[new]
+            if np.array_equal(jumped, new):
+                break
+            new = jumped
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 #: Links up to this number are joined up in one task where a caller allows it.
 FEW_LINKS = 200_000
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Components of a bounded number of links by union-find; smaller nodes stay roots."""
+    """Components of a bounded number of links."""
 
     def run(batches):
-        parent: dict = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                a, b = find(u), find(v)
-                parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        kind = edges_type
-        yield pa.record_batch([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "label"])
-
-    edges_type = pa.string() if dict(edges.dtypes)["u"] == "string" else pa.int64()
-    return edges.coalesce(1).mapInArrow(run, f"node {dict(edges.dtypes)['u']}, label {dict(edges.dtypes)['u']}")
+        columns = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")] for batch in batches]
+        if not columns:
+            return
+        u, v = (np.concatenate(c) for c in zip(*columns, strict=True))
+        nodes, code = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root = local_roots(len(nodes), code[: len(u)], code[len(u) :])
+        yield pa.record_batch([pa.array(nodes, kind), pa.array(nodes[root], kind)], names=["node", "label"])
+
+    name = dict(edges.dtypes)["u"]
+    kind = pa.string() if name == "string" else pa.int64()
+    return edges.coalesce(1).mapInArrow(run, f"node {name}, label {name}")
 
 
 def components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:

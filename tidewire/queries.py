@@ -160,7 +160,17 @@ def dedup_url(spark, sf):
     return d.select("article_id", "seq", "category", "snippet", "content", "search_query", F.col("result_count").cast("long").alias("result_count"))
 
 
-@registered()
+#: Row by row; a list of removed rows is carried along.
+@registered(f"""WITH RECURSIVE {ARTICLES}, {KEYS}, p AS MATERIALIZED (SELECT a, b FROM ({pairs_sql(params.TITLE_THRESHOLD)}) UNION SELECT x.seq, y.seq FROM grams x JOIN grams y ON x.k = '' AND y.k = '' AND x.seq < y.seq),
+near AS MATERIALIZED (SELECT p.a, p.b, y.weight > x.weight OR (y.weight = x.weight AND length(y.snippet) > length(x.snippet)) AS heavier FROM p JOIN articles x ON x.seq = p.a JOIN articles y ON y.seq = p.b),
+starts AS MATERIALIZED (SELECT a, row_number() OVER (ORDER BY a) AS n FROM (SELECT DISTINCT a FROM near)),
+scan(n, dead) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n, list_concat(dead, list_concat(list_filter(later, lambda b: stop IS NULL OR b < stop), CASE WHEN stop IS NULL THEN [] ELSE [a] END))
+  FROM (SELECT scan.n + 1 AS n, any_value(scan.dead) AS dead, any_value(starts.a) AS a, coalesce(list(near.b ORDER BY near.b) FILTER (near.b IS NOT NULL), []) AS later, min(near.b) FILTER (near.heavier) AS stop
+    FROM scan JOIN starts ON starts.n = scan.n + 1 LEFT JOIN near ON near.a = starts.a AND NOT list_contains(scan.dead, near.a) AND NOT list_contains(scan.dead, near.b) GROUP BY scan.n))
+SELECT seq, title, source_reliability FROM articles WHERE NOT list_contains((SELECT arg_max(dead, n) FROM scan), seq)""")
 def dedup_title(spark, sf):
     return dedup.dedup_by_title(articles(spark, sf)).select("seq", "title", "source_reliability")
 
@@ -174,9 +184,41 @@ def article_rank(spark, sf):
     return best.select("seq", "title", F.row_number().over(Window.orderBy(*select.article_order())).cast("long").alias("rank"))
 
 
-@registered()
+_EVENT_NAMES = (("the", "The"), ("and", "And"))
+
+
+def _named(column: str, names) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(lower({column}), '{k}') THEN '{v}' END" for k, v in names) + "], lambda x: x IS NOT NULL)"
+
+
+#: The share of common bigrams of a cluster x and an article.
+_ALIKE = "len(list_intersect(x.g, g))::DOUBLE / (len(x.g) + len(g) - len(list_intersect(x.g, g)))"
+
+
+#: Article by article of each day; the list of clusters is carried along.
+@registered(f"""WITH RECURSIVE {ARTICLES}, {KEYS},
+due AS MATERIALIZED (SELECT a.seq, coalesce(strftime(published_at, '%Y-%m-%d'), '') AS bucket, g, {_named("coalesce(a.title, '')", _EVENT_NAMES)} AS c,
+  row_number() OVER (PARTITION BY coalesce(strftime(published_at, '%Y-%m-%d'), '') ORDER BY a.seq) AS k FROM articles a JOIN grams USING (seq)),
+scan(bucket, k, clusters) AS (
+  SELECT DISTINCT bucket, CAST(0 AS BIGINT), CAST([] AS STRUCT(g VARCHAR[], c VARCHAR[], m BIGINT[])[]) FROM due
+  UNION ALL
+  SELECT bucket, k, CASE WHEN best IS NULL THEN list_append(clusters, {{'g': g, 'c': c, 'm': [seq]}})
+    ELSE list_transform(clusters, lambda x, i: CASE WHEN i = best THEN {{'g': list_distinct(list_concat(x.g, g)), 'c': list_distinct(list_concat(x.c, c)), 'm': list_append(x.m, seq)}} ELSE x END) END
+  FROM (SELECT *, CASE WHEN list_max(sims) > 0 THEN list_position(sims, list_max(sims)) END AS best FROM (
+    SELECT scan.bucket, due.k, clusters, g, c, seq, list_transform(clusters, lambda x: CASE WHEN len(list_intersect(x.g, g)) = 0 THEN 0.0::DOUBLE
+        WHEN {_ALIKE} >= CASE WHEN len(list_intersect(x.c, c)) > 0 THEN {max(params.COMPANY_FLOOR, params.CLUSTER_THRESHOLD - params.COMPANY_RELAXATION)} ELSE {params.CLUSTER_THRESHOLD} END THEN {_ALIKE} ELSE 0.0::DOUBLE END) AS sims
+    FROM scan JOIN due ON due.bucket = scan.bucket AND due.k = scan.k + 1))),
+final AS (SELECT bucket, arg_max(clusters, k) AS clusters FROM scan GROUP BY bucket),
+member AS (SELECT bucket, i, unnest(clusters[i].m) AS seq FROM final, unnest(range(1, len(clusters) + 1)) AS t(i)),
+ranked AS MATERIALIZED (SELECT bucket, i, a.*, g, row_number() OVER (PARTITION BY bucket, i ORDER BY weight DESC, length(title) DESC, seq) AS r FROM member JOIN articles a USING (seq) JOIN grams USING (seq)),
+score AS (SELECT x.bucket, x.i, round_even(sum(CASE WHEN len(x.g) = 0 OR len(y.g) = 0 THEN 0 ELSE len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) END) / count(*), 3) AS s
+  FROM ranked x JOIN ranked y ON x.bucket = y.bucket AND x.i = y.i AND x.r < y.r AND y.r <= 5 GROUP BY x.bucket, x.i),
+id AS (SELECT *, 'art_' || substr(sha256({NORMALIZED}), 1, 12) AS article_id FROM (SELECT *, url AS u FROM ranked)),
+event AS (SELECT bucket, i, min(seq) AS seq, arg_min(title, r) AS canonical_title, string_agg(article_id, '|' ORDER BY r) AS article_ids, count(*) AS article_count, array_to_string(list_sort(list(DISTINCT source_domain)), '|') AS source_domains,
+  array_to_string(list_sort(list_distinct(flatten(list({_named("title || ' ' || snippet", _EVENT_NAMES)})))), '|') AS companies FROM id GROUP BY bucket, i)
+SELECT seq, 'evt_' || substr(sha256(lower(substr(canonical_title, 1, 50))), 1, 10) AS event_id, canonical_title, article_ids, article_count, source_domains, companies, coalesce(s, 1.0) AS cluster_score FROM event LEFT JOIN score USING (bucket, i)""")
 def event_clusters(spark, sf):
-    e = cluster.cluster_articles(articles(spark, sf).withColumn("day", F.to_date("published_at")), by="day", as_of=as_of(), dictionary=(("the", "The"), ("and", "And")))
+    e = cluster.cluster_articles(articles(spark, sf).withColumn("day", F.to_date("published_at")), by="day", as_of=as_of(), dictionary=_EVENT_NAMES)
     return e.select(
         "seq", "event_id", "canonical_title", F.array_join("article_ids", "|").alias("article_ids"), F.col("article_count").cast("long").alias("article_count"),
         F.array_join("source_domains", "|").alias("source_domains"), F.array_join("companies_mentioned", "|").alias("companies"), "cluster_score",
@@ -259,9 +301,39 @@ def balanced_select(spark, sf):
     return chosen.select(F.col("seq").alias("user_id"), "category", F.col("rank").cast("long").alias("rank"))
 
 
-@registered(f"WITH {ARTICLES}, w(category) AS (VALUES ('funding'), ('policy'), ('sports'), ('research')) SELECT w.category, CAST(count(a.seq) AS BIGINT) AS n FROM w LEFT JOIN articles a ON a.category = w.category AND a.seq % 3 <> 0 GROUP BY w.category HAVING count(a.seq) < 60")
+_CHOSEN = f"""{_MAJORITY}, e AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS nd, any_value(category) AS category FROM events JOIN majority USING (user_id) GROUP BY user_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, nd DESC, user_id) AS rn, list_position(['click', 'purchase', 'view'], category) AS c FROM e),
+f AS (SELECT * FROM k WHERE c IS NOT NULL AND rn <= 2 ORDER BY c, rn LIMIT 18),
+u AS (SELECT user_id, 0 AS phase, c, rn, n, nd FROM f UNION ALL SELECT user_id, 1, 0, 0, n, nd FROM e WHERE user_id NOT IN (SELECT user_id FROM f)),
+chosen AS (SELECT user_id FROM u QUALIFY row_number() OVER (ORDER BY phase, c, rn, n DESC, nd DESC, user_id) <= 18)"""
+
+
+@registered(f"WITH {_CHOSEN} SELECT user_id, category FROM e WHERE user_id NOT IN (SELECT user_id FROM chosen)")
+def events_unselected(spark, sf):
+    events, members = user_events(spark, sf)
+    named = durable(select.majority_category(events, members))
+    left = select.unselected(named, select.balanced(named, 18, ("click", "purchase", "view")))
+    return left.select(F.col("seq").alias("user_id"), "category")
+
+
+@registered("SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, count(DISTINCT event_type) DESC, user_id) AS rank FROM events GROUP BY user_id QUALIFY rank <= 10")
+def hottest_events(spark, sf):
+    from pyspark.sql import Window
+
+    events, _ = user_events(spark, sf)
+    best = events.orderBy(*cluster.by_heat()).limit(10)
+    # the window ranks ten rows
+    return best.select(F.col("seq").alias("user_id"), F.col("article_count").cast("long").alias("n"), F.row_number().over(Window.orderBy(*cluster.by_heat())).cast("long").alias("rank"))
+
+
+@registered("SELECT count(*) AS events, count(*) FILTER (n > 1) AS multi_source FROM (SELECT count(*) AS n FROM events GROUP BY user_id)")
+def event_stats(spark, sf):
+    return stats.event_stats(user_events(spark, sf)[0])
+
+
+@registered(f"WITH {ARTICLES}, w(category) AS (VALUES ('funding'), ('policy'), ('sports'), ('research')) SELECT w.category, CAST(count(a.seq) AS BIGINT) AS n FROM w LEFT JOIN articles a ON a.category = w.category GROUP BY w.category HAVING count(a.seq) < 60")
 def backfill_deficit(spark, sf):
-    return backfill.deficits(articles(spark, sf).where("seq % 3 <> 0"), ("funding", "policy", "sports", "research"), 60)
+    return backfill.deficits(articles(spark, sf), ("funding", "policy", "sports", "research"), 60)
 
 
 @registered(f"WITH {ARTICLES} SELECT category, count(*) AS n FROM articles GROUP BY category")
@@ -299,6 +371,31 @@ def batch_summary(spark, sf):
     return querygen.batch_summary(querygen.generate(*_strategy(spark, sf)))
 
 
+@registered(f"WITH {_MATRIX} SELECT batch_id, pos, query, category, max_results FROM q QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY pos) <= 3")
+def per_batch_limit(spark, sf):
+    return querygen.generate(*_strategy(spark, sf), max_per_batch=3).select("batch_id", F.col("pos").cast("long").alias("pos"), "query", "category", "max_results")
+
+
+@registered(f"""WITH q AS (SELECT p_partkey AS seq, p_name AS query, p_partkey // {params.SEARCH_BATCH} AS batch_no, p_size FROM part)
+SELECT seq, query, batch_no, CASE WHEN p_size % 4 <> 0 THEN 'found ' || query END AS markdown, CASE WHEN p_size % 4 = 0 THEN 'No result in batch response' END AS error FROM q""")
+def batch_match(spark, sf):
+    p = read(spark, sf, "part")
+    seq = F.col("p_partkey").cast("long")
+    queries = p.select(seq.alias("seq"), F.col("p_name").alias("query"))
+    blocks = p.where("p_size % 4 <> 0").select(F.floor(seq / params.SEARCH_BATCH).cast("long").alias("batch_no"), (seq % params.SEARCH_BATCH).cast("int").alias("pos"), F.concat(F.lit("found "), "p_name").alias("markdown"))
+    return search.match_batches(queries, blocks).select("seq", "query", "batch_no", "markdown", "error")
+
+
+@registered(f"""WITH {ARTICLES}, r AS (SELECT * REPLACE (trim(snippet, ' ' || chr(9) || chr(10) || chr(13)) AS snippet), url AS u, CASE WHEN seq % 3 = 0 THEN 'Body ' || seq WHEN seq % 3 = 1 THEN '' END AS content FROM articles)
+SELECT seq, 'art_' || substr(sha256({NORMALIZED}), 1, 12) AS article_id, trim(title) AS title, coalesce(nullif(content, ''), snippet) AS content, snippet, category, 'en' AS language,
+  CASE WHEN regexp_matches(source_domain, '[.](gov|gov[.]cn|gov[.]uk|gov[.]au|europa[.]eu)$') THEN 'high' ELSE 'unknown' END AS source_reliability, 1 AS result_count FROM r""")
+def result_normalize(spark, sf):
+    a = articles(spark, sf)
+    content = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Body "), F.col("seq").cast("string"))).when(F.col("seq") % 3 == 1, F.lit(""))
+    results = a.select("seq", F.concat(F.lit(" "), "title", F.lit("\n")).alias("title"), "url", "source_domain", content.alias("content"), F.concat("snippet", F.lit(" ")).alias("snippet"), "category", "published_at")
+    return search.to_articles(results).select("seq", "article_id", "title", "content", "snippet", "category", "language", "source_reliability", "result_count")
+
+
 _PAGE_FIELDS = "page_id, url, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, trim(substr(regexp_replace(html, '<[^>]*>|[ \\n\\t]+', ' ', 'g'), 300, 80)) AS body FROM pages"
 
 
@@ -353,6 +450,22 @@ def key_data_grounding(spark, sf):
     return rows.select("doc_id", F.size(jsontext.grounded(F.col("kd"), F.col("text"))).cast("long").alias("n_kept"), F.size(jsontext.ungrounded(F.col("kd"), F.col("text"))).cast("long").alias("n_dropped"))
 
 
+_LOST = "CASE WHEN regexp_matches(k.v, '[0-9]') THEN regexp_extract(k.v, '[0-9]+(?:[.,][0-9]+)*') ELSE trim(k.v) END"
+
+
+@registered(f"""WITH v AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') || ' item' AS title, [{{'l': 'a', 'v': n_chars::VARCHAR || ' chars'}}, {{'l': 'b', 'v': 'none'}}, {{'l': 'c', 'v': ''}}, {{'l': 'd', 'v': 'about ' || (n_chars % 7)}}] AS kd FROM documents),
+c AS (SELECT *, list_filter(kd, lambda k: NOT ({_LOST} <> '' AND contains(text, {_LOST}))) AS lost FROM v)
+SELECT doc_id AS seq, CASE WHEN len(lost) > 0 THEN 'key_data 无来源剔除 [' || substr(title, 1, 25) || ']: [' || chr(39) || array_to_string(list_transform(lost, lambda k: k.l || '=' || k.v), chr(39) || ', ' || chr(39)) || chr(39) || ']' END AS flag, CAST(len(kd) - len(lost) AS BIGINT) AS n_kept FROM c""")
+def quality_flags(spark, sf):
+    d = read(spark, sf, "documents")
+    entry = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
+    n = F.col("n_chars")
+    kd = F.array(entry("a", F.concat(n.cast("string"), F.lit(" chars"))), entry("b", F.lit("none")), entry("c", F.lit("")), entry("d", F.concat(F.lit("about "), (n % 7).cast("string"))))
+    analyses = d.select(F.col("doc_id").alias("seq"), F.concat(F.coalesce("source", F.lit("")), F.lit(" item")).alias("title"), kd.alias("key_data"))
+    out = report.ground_analyses(analyses, d.select(F.col("doc_id").alias("seq"), F.col("text").alias("source_text")))
+    return out.select("seq", "flag", F.size("key_data").cast("long").alias("n_kept"))
+
+
 @registered("SELECT event_id, props AS json, json_extract_string(props, '$.k') AS k FROM events")
 def llm_json_extract(spark, sf):
     e = read(spark, sf, "events").select("event_id", "props")
@@ -395,6 +508,39 @@ def report_totals(spark, sf):
     return items.groupBy("section_id").agg(F.count("*").alias("n_items"), F.sum(F.length("title")).cast("long").alias("n_chars"))
 
 
+@registered(f"""WITH o AS (SELECT o_orderkey AS seq, o_orderpriority AS title, CAST((o_orderkey * 37) % 101 AS DOUBLE) AS score, o_orderkey % 4 <> 0 AS has_text, o_orderkey % 3 = 0 AS corrected, o_orderkey % 2 = 0 AS claimed FROM orders),
+d AS (SELECT *, score >= {params.RECHECK_SCORE} AND has_text AS due FROM o)
+SELECT seq, CASE WHEN due AND corrected THEN 'better' ELSE 'plain' END AS details,
+  array_to_string(list_concat(CASE WHEN due AND corrected THEN ['复核修订 details [' || substr(title, 1, 25) || ']'] ELSE [] END, CASE WHEN due AND claimed THEN ['无依据表述 [' || substr(title, 1, 25) || ']: claim ' || seq] ELSE [] END), '|') AS flags FROM d""")
+def rechecks(spark, sf):
+    key = F.col("seq")
+    a = _analyses(spark, sf).withColumns({"details": F.lit("plain"), "source_text": F.when(key % 4 != 0, F.lit("text")).otherwise("")})
+    checks = a.select("seq", F.when(key % 3 == 0, F.lit("better")).otherwise("").alias("corrected_details"), F.when(key % 2 == 0, F.array(F.concat(F.lit("claim "), key.cast("string")))).alias("unsupported_claims"))
+    return report.apply_checks(a, checks).select("seq", "details", F.array_join("check_flags", "|").alias("flags"))
+
+
+@registered(f"""WITH {_ANALYSES}, i AS (SELECT 'top_news' AS section_id, title FROM top UNION ALL SELECT section_id, title FROM s), n AS (SELECT section_id, count(*) AS n FROM i GROUP BY section_id)
+SELECT 'daily_20240110' AS report_id, '2024-01-10' AS report_date, '2024-01-09 16:00:00' AS window_start, CAST(count(*) AS BIGINT) AS total_items, CAST(sum(length(title)) AS BIGINT) AS total_word_count, repeat('s', {params.SUMMARY_CHARS}) AS editor_summary,
+  (SELECT string_agg(x || ':' || coalesce(n, 0), '|' ORDER BY k) FROM (SELECT unnest({[x for x, _ in params.SECTIONS]}) AS x, unnest(range({len(params.SECTIONS)})) AS k) LEFT JOIN n ON n.section_id = x) AS sections FROM i""")
+def report_document(spark, sf):
+    text = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    a = durable(_analyses(spark, sf).select("*", text("lead"), text("details"), text("summary"), text("analysis"), text("key_data", "array<struct<label:string,value:string>>")))
+    items = report.section_items(a, durable(report.top_news(a)))
+    none = a.select("seq", F.lit(None).cast("array<struct<name:string,url:string,is_official:boolean>>").alias("sources"))
+    r = report.daily_report(report.report_items(items, none), dates.report_date(as_of()), as_of(), F.lit("s" * 400))
+    parts = F.array_join(F.transform("sections", lambda x: F.concat(x["section_id"], F.lit(":"), x["item_count"].cast("string"))), "|")
+    return r.select(
+        "report_id", "report_date", F.date_format("time_window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.col("total_items").cast("long").alias("total_items"),
+        F.col("total_word_count").cast("long").alias("total_word_count"), "editor_summary", parts.alias("sections"),
+    )
+
+
+@registered(f"WITH {_ANALYSES} SELECT seq, category FROM a WHERE seq NOT IN (SELECT seq FROM top) AND seq NOT IN (SELECT seq FROM s)")
+def analyses_left_out(spark, sf):
+    a = durable(_analyses(spark, sf))
+    return report.left_out(a, report.section_items(a, durable(report.top_news(a)))).select("seq", "category")
+
+
 def _domain_events(spark, sf):
     """Pages of a category and a hundred as one event."""
     a = articles(spark, sf).withColumn("group", F.floor(F.col("seq") / 10).cast("long"))
@@ -412,6 +558,11 @@ def source_list(spark, sf):
     return out.select("seq", F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["name"], s["url"], s["is_official"].cast("string"))), "|").alias("sources"))
 
 
+@registered(f"""WITH {ARTICLES}, m AS (SELECT seq // 10 AS g, row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) AS i, snippet FROM articles QUALIFY i <= {params.CONTEXT_ARTICLES}) SELECT g AS seq, string_agg(snippet, chr(10) ORDER BY i) AS source_text FROM m GROUP BY g""")
+def grounding_text(spark, sf):
+    return report.source_texts(*_domain_events(spark, sf))
+
+
 @registered("SELECT l_returnflag AS batch_id, count(*) AS total_queries, count(*) FILTER (l_linenumber <> 7) AS success_queries, count(*) FILTER (l_linenumber = 7) AS failed_queries, count(*) AS total_results, count(DISTINCT l_partkey) AS unique_results FROM lineitem GROUP BY l_returnflag")
 def batch_stats(spark, sf):
     li = read(spark, sf, "lineitem")
@@ -427,13 +578,13 @@ def result_query_join(spark, sf):
     return search.with_queries(results, queries)
 
 
-@registered(f"""WITH {ARTICLES}, m AS (SELECT seq // 10 AS g, row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) AS i, seq, source_domain, url FROM articles QUALIFY i <= 2), t AS (SELECT m.*, substr(trim(text), 1, 50) AS ft FROM m JOIN documents ON doc_id = seq)
+@registered(f"""WITH {ARTICLES}, m AS (SELECT seq // 10 AS g, row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) AS i, seq, source_domain, url FROM articles QUALIFY i <= 2), t AS (SELECT m.*, substr(trim(text), 1, {params.FULLTEXT_CHARS}) AS ft FROM m JOIN documents ON doc_id = seq)
 SELECT g AS seq, string_agg(source_domain || ' ' || ft, '|' ORDER BY i) AS texts FROM t WHERE ft <> '' GROUP BY g""")
 def full_texts(spark, sf):
     events, members = _domain_events(spark, sf)
     texts = members.select("seq", F.concat(F.col("url"), F.lit("#"), F.col("seq").cast("string")).alias("url")).join(read(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text"), "seq").select("url", "text")
     unique = members.withColumn("url", F.concat(F.col("url"), F.lit("#"), F.col("seq").cast("string")))
-    out = report.full_texts(events, unique, texts, chars=50)
+    out = report.full_texts(events, unique, texts)
     return out.select("seq", F.array_join(F.transform("fulltexts", lambda x: F.concat_ws(" ", x["domain"], x["fulltext"])), "|").alias("texts"))
 
 

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,26 +22,17 @@ ANALYSIS_COLUMNS = (
 CHECK_COLUMNS = "seq bigint, verified boolean, corrected_details string, unsupported_claims array<string>"
 
 
+_FENCE = re.compile(r"```json\s*(.*?)\s*```", re.S | re.I)
+
+
 def json_object(text: str) -> dict:
-    """The object in a model's answer: fenced or bare, trailing commas repaired, else the first complete one."""
-    body = text.strip()
-    fence = re.search(r"```json\s*(.*?)\s*```", body, re.S | re.I)
-    if fence:
-        body = fence[1].strip()
-    start, end = body.find("{"), body.rfind("}")
-    if 0 <= start < end:
-        body = body[start : end + 1]
-    for attempt in (body, re.sub(r",(\s*[}\]])", r"\1", body)):
-        try:
-            return json.loads(attempt)
-        except ValueError:
-            continue
-    try:
-        found, _ = json.JSONDecoder().raw_decode(body)
-    except ValueError:
-        found = None
-    if isinstance(found, dict):
-        return found
+    """The object that starts at the first brace of an answer or of its fence, whatever follows it; trailing commas are forgiven."""
+    fenced = _FENCE.search(text)
+    body = fenced[1] if fenced else text
+    if (brace := body.find("{")) >= 0:
+        for tried in (body[brace:], re.sub(r",(\s*[}\]])", r"\1", body[brace:])):
+            with suppress(ValueError):
+                return json.JSONDecoder().raw_decode(tried)[0]
     raise ValueError(f"no JSON object: {text[:200]}")
 
 
