@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, durable
+from ..operators.graph import components, durable, local_roots
 
 __all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "spaced_words", "texts"]
 
@@ -121,21 +121,3 @@ def spaced_words(text: bytes) -> list[bytes]:
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; null stays null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
-
-
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links a[i]-b[i], the smallest node of each node's component."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        if np.array_equal(new, root):
-            return root
-        root = new
