@@ -134,6 +134,18 @@ def test_empty_stages(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def test_clashing_columns(spark, sf):
+    """Columns that are named like helpers of the stages come out as they went in."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    names = "__id __n __k1 k1 number own row c_source c_lang __tokens __source __lang __topic __draw __rate __expected __copies __base __assign __random __spans fp d s label node th unit words".split()
+    odd = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for f in [f for _, f in corpus_pipeline.STAGES] + [stages.near_duplicate_stage]:
+        out = f(spark, odd, sf)
+        assert out.columns[: len(odd.columns)] == odd.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}:{r['doc_id']}" for n in names)
+
+
 def test_null_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
     docs = docs.select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])

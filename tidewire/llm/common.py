@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable, local_roots
 
-__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "spaced_words", "texts"]
+__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "spaced_words", "texts", "whole_row"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -63,6 +63,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as the one column ``row``."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 #: Base of the polynomial hash of a word's bytes, and how many bytes of a text are hashed at once.
 BASE, SEGMENT = 0x9E3779B97F4A7C15, 1 << 20
 _POWERS = [np.ones(1, np.uint64)]

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import durable, read, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics in order of precedence and the words that show them.
@@ -187,9 +187,7 @@ def mix(
     """
     text = F.col(text_col).cast("string")
     slim = durable(
-        docs.withColumns(_marks(docs, text, source_col, lang_col) | {"__draw": uniform(F.col(id_col), text, seed)}).select(
-            F.col(id_col).alias("doc_id"), "__source", "__lang", "__topic", "__tokens", "__draw"
-        )
+        docs.select(F.col(id_col).alias("doc_id"), *[v.alias(k) for k, v in (_marks(docs, text, source_col, lang_col) | {"__draw": uniform(F.col(id_col), text, seed)}).items()])
     )
     cells, few = cell_weights(slim, targets=targets, temper=temper)
     out = _drawn(slim, cells, few, budget, F.col("__draw"))
@@ -205,10 +203,12 @@ def sample(
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all columns and n_copies, how often each is taken (a column of that name is replaced)."""
     text = F.col(text_col).cast("string")
-    marked = docs.withColumns(_marks(docs, text, source_col, lang_col))
+    # the columns of docs stand in one of their own, so that none is mistaken for a helper
+    marks = _marks(docs, text, source_col, lang_col) | {"__draw": uniform(F.col(id_col), text, seed)}
+    marked = docs.select(whole_row(docs), *[v.alias(k) for k, v in marks.items()])
     cells, few = cell_weights(marked.select("__source", "__lang", "__topic", "__tokens"), targets=targets, temper=temper)
-    out = _drawn(marked, cells, few, budget, uniform(F.col(id_col), text, seed))
-    return out.where("__copies > 0").select(*[c for c in docs.columns if c.lower() != "n_copies"], F.col("__copies").alias("n_copies"))
+    out = _drawn(marked, cells, few, budget, F.col("__draw"))
+    return out.where("__copies > 0").select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "n_copies"], F.col("__copies").alias("n_copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

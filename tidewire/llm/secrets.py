@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, whole_row
 
 #: The base patterns; fixed values.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -235,9 +235,11 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def redacted(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, min_random: float = MIN_RANDOM, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span in ``text_col`` replaced by ``mark``; overlapping spans share one mark."""
-    found = with_spans(docs, text_col=text_col, fdr=fdr, min_random=min_random)
+    # the columns of docs stand in one of their own, so that none is mistaken for a helper
+    inner = docs.select(whole_row(docs), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = with_spans(inner, fdr=fdr, min_random=min_random)
     spans = F.array_sort(F.concat("__base", "__random"))
-    text = F.col(text_col).cast("string")
+    text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -249,7 +251,7 @@ def redacted(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR, min_r
         return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
 
     clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", zero, step, finish)).otherwise(text)
-    return found.withColumn("__spans", spans).withColumn(text_col, clean).select(*docs.columns)
+    return found.withColumn("__spans", spans).select(*[clean.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
