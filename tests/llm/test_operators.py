@@ -401,7 +401,7 @@ def test_brown(spark):
     text = lambda n: " ".join(f"the {rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(n))
     rows = [(k, text(rng.randint(1, 30)).upper() + (f" rare{k}" if k % 4 == 0 else "")) for k in range(300)] + EDGES
     out = lambda df, **kw: brown.score(df, brown.fit(df, **kw)).collect()
-    small = {"unit_words": 50, "endings": 8, "classes": 8, "count_words": 60}
+    small = {"unit_words": 50, "classes": 8, "vocabulary": 60}
     got = out(docs(spark, rows), **small)
     test = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     counts = Counter()
@@ -421,24 +421,65 @@ def test_brown(spark):
     assert brown.score(docs(spark, []), brown.fit(docs(spark, rows), **small)).count() == 0
 
 
-def test_brown_model_is_a_distribution(spark):
+@pytest.mark.parametrize(("unit_words", "vocabulary", "rounds"), [(4, 6, 2), (3, 8, 1), (50, 50, 2), (4, 4, 2), (2, 3, 0)])
+def test_brown_model_is_a_distribution(spark, unit_words, vocabulary, rounds):
     rng = random.Random(5)
-    rows = [(k, prose(rng, rng.randint(0, 12), tuple("abcdefgh"))) for k in range(200)]
-    m = brown.fit(docs(spark, rows), unit_words=4, endings=3, classes=4, count_words=5)
-    words = {r["word"]: r["n"] for r in m["counts"].collect()}
-    own = {w: k + 1 for k, w in enumerate(m["words"][: m["own"]])} | {brown.END: 0}
+    rows = [(k, prose(rng, rng.randint(0, 12), tuple("abcdefgh")) + (f" once{k}" if k % 9 == 0 else "")) for k in range(200)]
+    m = brown.fit(docs(spark, rows), unit_words=unit_words, classes=5, vocabulary=vocabulary, rounds=rounds)
+    counts = {r["h"]: r["n"] for r in m["counts"].collect()}
+    place = {h: k for k, h in enumerate(m["words"].tolist())}
     for c in range(len(m["transition"])):
         assert (10 ** m["transition"][c]).sum() == pytest.approx(1)
-    mass = Counter()
-    for w, n in words.items():
-        w = bytes(w)
-        u = own.get(w, m["own"] + 1 + brown.ending(w, 3))
-        inside = 0 if w in own else m["known"][brown.ending(w, 3)] + math.log10(n)
-        mass[m["class"][u]] += 10 ** (m["emission"][u] + inside)
-    for e in range(3):
-        u = m["own"] + 1 + e
-        mass[m["class"][u]] += 10 ** (m["emission"][u] + m["unknown"][e])
+    mass = Counter({brown.END_CLASS: 1.0, brown.RARE_CLASS: 10 ** m["unknown"]})
+    for h, n in counts.items():
+        if h in place:
+            mass[m["class"][place[h]]] += 10 ** m["emission"][place[h]]
+        elif h != brown.END:
+            mass[brown.RARE_CLASS] += 10 ** (m["known"] + math.log10(n))
     assert all(x == pytest.approx(1) for x in mass.values())
+    if rounds:
+        assert (m["class"] >= brown.FIXED).all()
+
+
+def test_brown_scores_by_hand(spark):
+    """Scores of whole texts from the model's own tables, word by word."""
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.randint(0, 15), tuple("abcdefgh")) + (f" x{k % 50}" if k % 3 else "")) for k in range(150)] + [(k + 1000, t) for k, (_, t) in enumerate(EDGES[:6])]
+    m = brown.fit(docs(spark, rows), unit_words=5, classes=5, vocabulary=7)
+    counts = {r["h"]: r["n"] for r in m["counts"].collect()}
+    place = {h: k for k, h in enumerate(m["words"].tolist())}
+    for r in brown.score(docs(spark, rows), m).collect():
+        text, last, want = dict(rows)[r["doc_id"]], brown.END_CLASS, 0.0
+        for h in [*brown.tokens((text or "").encode()).tolist(), brown.END]:
+            c = brown.END_CLASS if h == brown.END else m["class"][place[h]] if h in place else brown.RARE_CLASS
+            want += m["transition"][last, c]
+            want += 0 if h == brown.END else m["emission"][place[h]] if h in place else m["known"] + math.log10(counts[h]) if h in counts else m["unknown"]
+            last = c
+        assert r["score"] == pytest.approx(want)
+
+
+def test_words_join_the_class_of_their_neighbours(spark):
+    """Words beyond the units, of two kinds by what stands beside them, are told apart by their neighbours' classes."""
+    rng = random.Random(6)
+    fruit, tools = [f"fruit{k}" for k in range(40)], [f"tool{k}" for k in range(40)]
+    text = lambda: " ".join(f"eat {rng.choice(fruit)} now" if rng.random() < 0.5 else f"grip {rng.choice(tools)} firmly" for _ in range(30))
+    m = brown.fit(docs(spark, [(k, text()) for k in range(200)], False), unit_words=26, classes=12, vocabulary=100)
+    klass = dict(zip(m["words"].tolist(), m["class"].tolist(), strict=True))
+    of = lambda words: Counter(klass[int(brown.tokens(w.encode())[0])] for w in words)
+    a, b = of(fruit), of(tools)
+    assert a.most_common(1)[0][1] >= 20 and not set(a) & set(b)
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 5000))
+    keys[:50] = (keys[:50] >> 20 << 20) | 7  # many of one remainder
+    keys = np.unique(keys)
+    rng.shuffle(keys)
+    other = rng.integers(-(2**63), 2**63 - 1, 5000)
+    find = brown.Lookup(keys)
+    assert find(keys).tolist() == list(range(len(keys))) and (find(np.setdiff1d(other, keys)) == -1).all()
+    assert brown.Lookup(keys[:0])(keys[:3]).tolist() == [-1] * 3
 
 
 def test_exchange_raises_the_likelihood():

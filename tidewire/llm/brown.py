@@ -1,20 +1,22 @@
 """Language-model scores from Brown's class-based bigrams.
 
-Training counts every token of every training text. The ``unit_words`` most frequent words are units of their
-own; all other words share units by their ending (a hash of the last four bytes), so every word of the corpus
-takes part. Bigrams of units are counted over the whole training corpus, and exchange clustering moves units
-between classes while that raises the likelihood of the class bigrams. A text's probability is the product of
-class transitions (Witten-Bell, backing off to class frequencies) and of emissions: the unit within its class,
-then the word within its unit.
-
-Unknown words of one ending are one event, whose probability is the share of words seen once among that
-ending's tokens (Good and Turing's estimate); it is taken from the known words of that ending. The base score
-likewise treats all unknown words as one event.
-
-What is broadcast or gathered on the driver is bounded by parameters: the ``count_words`` most frequent words
-of up to 64 bytes with their counts, and the bigram matrix of ``unit_words + endings`` units. Counts of all
-other words stay in a distributed table, joined to the tokens of each text; one text's words meet again in an
-aggregate by row.
+Training counts every token of every training text. The ``vocabulary`` most frequent words that occur twice or more have
+classes:
+
+* Bigrams of the ``unit_words`` most frequent ones are counted over the whole training corpus, and exchange clustering
+  moves each of them between classes while that raises the likelihood of the class bigrams.
+* Every other word of the vocabulary then goes to the class that gains most from its neighbours' classes, counted over
+  all its occurrences. This is done ``rounds`` times, with the classes of the round before, and class bigrams are counted anew
+  after each round.
+
+All rarer words are one class, whose unknown words have the share that words seen once have in it (Good and Turing). A
+text's probability is the product of class transitions (Witten-Bell, backing off to class frequencies) and of
+emissions, a word within its class. The base score treats all unknown words as one event.
+
+Words are known by 64-bit hashes of their bytes (two of a billion words share one with a chance of one in 37), and
+no step is taken word by word. What is broadcast or gathered on the driver is bounded by parameters: hash, count and class of
+the vocabulary, the bigram matrix of ``unit_words`` and class bigrams. Counts of rarer words stay in a distributed table,
+joined to the tokens of each text; one text's words meet again in an aggregate by row.
 
 Edge cases: a null text counts as empty, and an empty one has one token, the end. A null id is scored and
 learned from, and is not held out. Repeated rows are learned from and scored as often as they occur. With no
@@ -25,92 +27,113 @@ ignored.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, durable, read, spaced_words, texts
+from .common import SPACED_BYTES, crc_mod, durable, hashed_words, mixed, read, texts
 
 UNIT_WORDS = 1024
-ENDINGS = 256
 CLASSES = 64
-COUNT_WORDS = 131_072
-LONGEST_WORD = 64
-#: The end of a text as a token; no word holds a space.
-END = b" "
-
-
-def ending(word: bytes, endings: int) -> int:
-    return zlib.crc32(word[-4:]) % endings
+VOCABULARY = 131_072
+ROUNDS = 2
+#: The end of a text as a token, which also stands before its first word; in place of a hash.
+END = 0
+#: Classes of the end and of rare words; no other word is in them.
+END_CLASS, RARE_CLASS, FIXED = 0, 1, 2
+#: Tokens that are worked on at once.
+CHUNK = 1_000_000
+
+
+class Lookup:
+    """Places of 64-bit keys by open addressing; -1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.asarray(keys, np.int64)
+        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys)), self.keys & self.mask
+        while len(left):
+            free = np.flatnonzero(self.table[at] < 0)
+            place, first = np.unique(at[free], return_index=True)
+            self.table[place] = left[free[first]]
+            left, at = (x[self.table[at] != left] for x in (left, at))
+            at = (at + 1) & self.mask
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        if not len(self.keys):
+            return out
+        todo, at = np.arange(len(h)), h & self.mask
+        while len(todo):
+            found = self.table[at]
+            hit = (found >= 0) & (self.keys[found] == h[todo])
+            out[todo[hit]] = found[hit]
+            on = (found >= 0) & ~hit
+            todo, at = todo[on], (at[on] + 1) & self.mask
+        return out
+
+
+def tokens(text: bytes) -> np.ndarray:
+    """Hashes of a text's words."""
+    return hashed_words(text.translate(SPACED_BYTES))[0].view(np.int64)
+
+
+def _chunks(batches):
+    """(batch, first row, hashes of each of some texts) with about CHUNK tokens."""
+    for batch in batches:
+        held, size, first = [], 0, 0
+        for k, text in enumerate(texts(batch)):
+            held.append(tokens(text))
+            size += len(held[-1]) + 1
+            if size >= CHUNK or k == batch.num_rows - 1:
+                yield batch, first, held
+                held, size, first = [], 0, k + 1
 
 
-def _count_words(batches):
-    counts: Counter = Counter()
+def _flat(held: list[np.ndarray]) -> np.ndarray:
+    """The end, then each text's words and the end."""
+    end = np.array([END], np.int64)
+    return np.concatenate([end, *(x for h in held for x in (h, end))])
 
-    def flush():
-        words = list(counts)
-        for k in range(0, len(words), 100_000):
-            part = words[k : k + 100_000]
-            yield pa.record_batch([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
-        counts.clear()
 
-    for batch in batches:
-        for text in texts(batch):
-            counts.update(spaced_words(text))
-            if len(counts) > 400_000:
-                yield from flush()
-        counts[END] += batch.num_rows
-    yield from flush()
+def _count(batches):
+    for _, _, held in _chunks(batches):
+        h, n = np.unique(_flat(held)[1:], return_counts=True)
+        yield pa.record_batch([pa.array(h), pa.array(n)], names=["h", "n"])
 
 
-def _count_pairs(shared, endings: int):
-    """(a, b, n): bigrams of units; unit 0 is the end, which also stands before the first word."""
+def _count_pairs(shared, kind: str):
+    """(a, b, n): bigrams of units (words of own count, all others being one), or of classes."""
 
     def run(batches):
-        ids, words_, size = shared.value["unit"], shared.value["units"], shared.value["units"] + endings
+        m = shared.value
+        find = Lookup(m["words"])
+        # places in the vocabulary to numbers; the last is that of all other words
+        number = np.append(m[kind], RARE_CLASS)
+        size = int(number.max(initial=RARE_CLASS)) + 1
         total = np.zeros(size * size, np.int64)
-        cache: dict[bytes, int] = {}
-        for batch in batches:
-            codes = []
-            for text in texts(batch):
-                row = [0]
-                for w in spaced_words(text):
-                    u = ids.get(w)
-                    if u is None:
-                        u = cache.get(w)
-                        if u is None:
-                            if len(cache) > 400_000:
-                                cache.clear()
-                            u = cache[w] = words_ + ending(w, endings)
-                    row.append(u)
-                row.append(0)
-                r = np.array(row, np.int64)
-                codes.append(r[:-1] * size + r[1:])
-                if len(codes) >= 2000:
-                    total += np.bincount(np.concatenate(codes), minlength=size * size)
-                    codes = []
-            if codes:
-                total += np.bincount(np.concatenate(codes), minlength=size * size)
+        for _, _, held in _chunks(batches):
+            flat = _flat(held)
+            c = np.where(flat == END, END_CLASS, number[find(flat)])
+            total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
         at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            x = at[k : k + 100_000]
-            yield pa.record_batch([pa.array((x // size).astype(np.int32)), pa.array((x % size).astype(np.int32)), pa.array(total[x])], names=["a", "b", "n"])
+        yield pa.record_batch([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], names=["a", "b", "n"])
 
     return run
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
-    """Classes of units by exchange: unit 0 keeps class 0, others move to raise the class bigrams' likelihood."""
+def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8, fixed: int = 1) -> np.ndarray:
+    """Classes of units by exchange: the first ``fixed`` units keep classes of their own, others move to raise the class bigrams' likelihood."""
     n = len(pairs)
-    classes = max(2, min(classes, n))
+    classes = max(fixed + 1, min(classes, n))
     pairs = pairs.astype(float)
     order = np.argsort(-(pairs.sum(0) + pairs.sum(1)), kind="stable")
-    of = np.zeros(n, np.int64)
-    of[[u for u in order if u]] = 1 + np.arange(n - 1) % (classes - 1)
+    order = order[order >= fixed]
+    of = np.arange(n)
+    of[order] = fixed + np.arange(len(order)) % (classes - fixed)
     hot = np.eye(classes)[of]
     right, left = pairs @ hot, pairs.T @ hot
     big = hot.T @ right
@@ -122,7 +145,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     for _ in range(sweeps):
         moved = 0
         for w in order:
-            if not w or not (pairs[w].any() or pairs[:, w].any()):
+            if not (pairs[w].any() or pairs[:, w].any()):
                 continue
             a, own = of[w], pairs[w, w]
             r, q = right[w].copy(), left[w].copy()
@@ -140,7 +163,7 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             nl, nr = big.sum(1), big.sum(0)
             gain = rows.sum(1) + columns.sum(0) + h(both + r + q + own) - h(both)
             gain -= h(nl + r.sum() + own) - h(nl) + h(nr + q.sum() + own) - h(nr)
-            gain[0] = -np.inf
+            gain[:fixed] = -np.inf
             b = int(gain.argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -159,6 +182,59 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
+def _neighbours(shared):
+    """(w, codes, counts): how often a vocabulary word that is no unit has each class to its left (code c) and right (code classes + c)."""
+
+    def run(batches):
+        m = shared.value
+        find, size = Lookup(m["words"]), 2 * m["classes"]
+        number = np.append(m["class"], RARE_CLASS)
+        for _, _, held in _chunks(batches):
+            flat = _flat(held)
+            w = find(flat)
+            c = np.where(flat == END, END_CLASS, number[w])
+            at = np.flatnonzero(w >= m["own"])
+            x = w[at].astype(np.int64) * size
+            code, n = np.unique(np.concatenate((x + c[at - 1], x + size // 2 + c[at + 1])), return_counts=True)
+            word = code // size
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+            ends = np.append(first, len(word)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in ((code % size).astype(np.int16), n.astype(np.int32))]
+            yield pa.record_batch([pa.array(word[first].astype(np.int32)), *lists], names=["w", "codes", "counts"])
+
+    return run
+
+
+def _best_class(shared):
+    """(w, c): the class of the greatest gain in the mutual information of neighbouring classes, to the first order."""
+
+    def run(batches):
+        gain, size = shared.value, 2 * len(shared.value[0])
+        parts = []
+        for batch in batches:
+            lists = batch.column("codes")
+            parts.append((np.repeat(batch.column("w").to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column("counts").flatten().to_numpy()))
+        if not parts:
+            return
+        w, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        words, place = np.unique(w, return_inverse=True)
+        for k in range(0, len(words), 4096):  # a block of words at a time
+            some = (place >= k) & (place < k + 4096)
+            rows = min(4096, len(words) - k)
+            seen = np.bincount((place[some] - k) * size + code[some], n[some], minlength=rows * size).reshape(rows, size)
+            score = seen[:, : size // 2] @ gain[0] + seen[:, size // 2 :] @ gain[1]
+            best = FIXED + score[:, FIXED:].argmax(axis=1)
+            yield pa.record_batch([pa.array(words[k : k + rows]), pa.array(best.astype(np.int32))], names=["w", "c"])
+
+    return run
+
+
+def _information(big: np.ndarray) -> np.ndarray:
+    """Pointwise mutual information of neighbouring classes, smoothed."""
+    expected = np.outer(big.sum(1), big.sum(0)) / max(1.0, big.sum())
+    return np.log((big + 0.5) / (expected + 0.5))
+
+
 def _least_count(counts: DataFrame, wanted: int) -> int:
     """A count that at least ``wanted`` words reach, and few more, from a histogram of some hundred bins.
 
@@ -173,113 +249,97 @@ def _least_count(counts: DataFrame, wanted: int) -> int:
     return 0
 
 
+def _pairs(learned: DataFrame, shared, kind: str, size: int) -> np.ndarray:
+    found = learned.mapInArrow(_count_pairs(shared, kind), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size, size), np.int64)
+    out[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train: tuple[int, int] = (7, 2),
-        unit_words: int = UNIT_WORDS, endings: int = ENDINGS, classes: int = CLASSES, count_words: int = COUNT_WORDS) -> dict:
+        unit_words: int = UNIT_WORDS, classes: int = CLASSES, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> dict:
     """A model learned from rows whose crc32(id) modulo train[0] is not train[1]."""
+    share = docs.sparkSession.sparkContext.broadcast
     learned = docs.where(F.coalesce(crc_mod(F.col(id_col), train[0]) != train[1], F.lit(True))).select(F.col(text_col).cast("string").alias("text"))
-    counts = durable(learned.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    tokens, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = (F.length("word") <= LONGEST_WORD) & (F.col("word") != F.lit(END))
-    top = counts.where(short & (F.col("n") >= _least_count(counts.where(short), count_words))).orderBy(F.desc("n"), "word").limit(count_words).toArrow()
-    words, numbers = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
-    ends = counts.where(F.col("word") == F.lit(END)).select("n").first()
-    own = min(unit_words - 1, len(words))
-    unit = {w: k + 1 for k, w in enumerate(words[:own])}
-    size = own + 1 + endings
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast({"unit": unit, "units": own + 1})
-    found = learned.mapInArrow(_count_pairs(shared, endings), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((size, size), np.int64)
-    pairs[found["a"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
-    of = exchange(pairs, classes)
-    # counts and words seen once, by ending, among words that are no unit of their own
-    in_unit = F.lit(False) if not own else short & (
-        (F.col("n") > F.lit(int(numbers[own - 1]))) | ((F.col("n") == F.lit(int(numbers[own - 1]))) & (F.col("word") <= F.lit(words[own - 1])))
-    )
-    shape = F.pmod(F.crc32(F.expr("substring(word, -4, 4)")), F.lit(endings)).cast("int")
-    rest = counts.where((F.col("word") != F.lit(END)) & ~in_unit).groupBy(shape.alias("s")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect()
-    in_ending, once = np.zeros(endings), np.zeros(endings)
-    for r in rest:
-        in_ending[r["s"]], once[r["s"]] = r["n"], r["once"]
-    unit_count = np.concatenate(([ends["n"] if ends else 0], numbers[:own], in_ending)) + 0.5
-    k = int(of.max()) + 1
+    counts = durable(learned.mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")))
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # words seen once stand for the unknown ones and have no class of their own
+    some = counts.where((F.col("h") != END) & (F.col("n") > 1))
+    top = some.where(F.col("n") >= _least_count(some, vocabulary)).orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()
+    words, numbers = top["h"].to_numpy(), top["n"].to_numpy().astype(np.int64)
+    end = counts.where(F.col("h") == END).select("n").first()
+    ends = int(end["n"]) if end else 0
+    own = min(max(0, unit_words - FIXED), len(words))
+    unit = np.where(np.arange(len(words)) < own, np.arange(len(words)) + FIXED, RARE_CLASS)
+    pairs = _pairs(learned, share({"words": words, "unit": unit}), "unit", own + FIXED)
+    of = exchange(pairs, classes, fixed=FIXED)
+    k = int(of.max(initial=RARE_CLASS)) + 1
     hot = np.eye(k)[of]
-    class_count = hot.T @ unit_count
     big = hot.T @ pairs @ hot
-    out, kinds = big.sum(1), (big > 0).sum(1)
-    keep = np.divide(out, out + kinds, out=np.zeros(k), where=out > 0)
-    frequency = class_count / class_count.sum()
-    conditional = np.divide(big, out[:, None], out=np.zeros_like(big), where=out[:, None] > 0)
-    with np.errstate(divide="ignore"):  # a class may have lost all its units
-        transition = np.log10(keep[:, None] * conditional + (1 - keep)[:, None] * frequency)
-    unknown = np.where(in_ending > 0, (once + 0.5) / (in_ending + 1), 1.0)
+    # other words stand in the class of rare words until they have one of their own
+    klass = np.where(unit == RARE_CLASS, RARE_CLASS, of[unit] if len(of) else RARE_CLASS)
+    for _ in range(rounds if own < len(words) and k > FIXED else 0):
+        near = learned.mapInArrow(_neighbours(share({"words": words, "class": klass, "own": own, "classes": k})), "w int, codes array<smallint>, counts array<int>")
+        gain = _information(big)
+        best = near.repartition("w").mapInArrow(_best_class(share((gain, gain.T))), "w int, c int").toArrow()
+        klass = klass.copy()
+        klass[best["w"].to_numpy()] = best["c"].to_numpy()
+        big = _pairs(learned, share({"words": words, "class": klass}), "class", k).astype(float)
+    # the class of rare words holds the rest of the vocabulary's counts
+    rare, rare_once = counts.where(F.col("h") != END).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    rare -= int(numbers.sum())
+    class_count = np.bincount(klass, numbers + 0.5, minlength=k) if len(words) else np.zeros(k)
+    class_count[END_CLASS] += ends + 0.5
+    class_count[RARE_CLASS] += rare + 0.5
+    unknown = (rare_once + 0.5) / (rare + 1) if rare else 1.0
+    share_of_rare = math.log10((rare + 0.5) / class_count[RARE_CLASS])
+    out, kinds_after = big.sum(1), (big > 0).sum(1)
+    keep = np.divide(out, out + kinds_after, out=np.zeros(k), where=out > 0)
+    conditional = np.divide(big, out[:, None], out=np.zeros_like(big, float), where=out[:, None] > 0)
+    with np.errstate(divide="ignore"):  # a class may have lost all its words
+        transition = np.log10(keep[:, None] * conditional + (1 - keep)[:, None] * (class_count / class_count.sum()))
     return {
-        "tokens": int(tokens), "vocabulary": int(vocabulary), "counts": counts, "words": words, "numbers": numbers, "ends": int(ends["n"]) if ends else 0,
-        "own": own, "endings": endings, "class": of, "transition": transition, "emission": np.log10(unit_count / class_count[of]),
-        "known": np.log10(np.where(in_ending > 0, (1 - unknown) / np.maximum(in_ending, 1), 1.0)), "unknown": np.log10(unknown),
+        "tokens": int(total), "vocabulary": int(kinds), "counts": counts, "words": words, "numbers": numbers, "ends": ends, "own": own, "class": klass,
+        "transition": transition, "emission": np.log10((numbers + 0.5) / class_count[klass]) if len(words) else np.zeros(0),
+        "known": share_of_rare + (math.log10((1 - unknown) / rare) if rare and unknown < 1 else 0.0), "unknown": share_of_rare + math.log10(unknown),
     }
 
 
 def _score(shared):
-    """For each row one summary, and its words that are no count word, with their number."""
+    """For each row one summary, and its words that are not in the vocabulary, with their number."""
 
     def run(batches):
         m = shared.value
-        index = {w: k for k, w in enumerate(m["words"])}
-        own, endings, of = m["own"], m["endings"], m["class"]
-        total = m["tokens"] + m["vocabulary"] + 1
-        shapes = np.fromiter((ending(w, endings) for w in m["words"]), np.int64, len(m["words"]))
-        units = np.where(np.arange(len(index)) < own, np.arange(len(index)) + 1, own + 1 + shapes)
-        log_count = np.log10(np.maximum(m["numbers"], 1))
-        base = np.log10((m["numbers"] + 1) / total)
-        within = np.where(np.arange(len(index)) < own, 0.0, log_count + m["known"][shapes] if len(index) else 0.0)
-        base_end = math.log10((m["ends"] + 1) / total)
-        cache: dict[bytes, int] = {}
-        get = index.get
-        names = ["rid", "row", "word", "n", "ending", "tokens", "known", "base", "score"]
-        for batch in batches:
-            rids, ids = batch.column("rid").to_pylist(), batch.column("doc_id")
-            out: dict[str, list] = {k: [] for k in names}
-
-            def add(*values, out=out):
-                for k, v in zip(names, values, strict=True):
-                    out[k].append(v)
-
-            def record(out=out, ids=ids):
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                columns = {k: pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)}
-                columns["row"] = ids.take(columns["row"])  # the id stands in the summary alone
-                return pa.record_batch(list(columns.values()), names=["doc_id" if k == "row" else k for k in names])
-
-            for row, (rid, text) in enumerate(zip(rids, texts(batch), strict=True)):
-                words = spaced_words(text)
-                at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                lone = np.flatnonzero(at < 0)
-                unit = np.zeros(len(words) + 2, np.int64)
-                if len(words):
-                    unit[1:-1] = units[at] if len(index) else 0
-                rare: Counter = Counter()
-                for k in lone.tolist():
-                    w = words[k]
-                    e = cache.get(w)
-                    if e is None:
-                        if len(cache) > 400_000:
-                            cache.clear()
-                        e = cache[w] = ending(w, endings)
-                    unit[k + 1] = own + 1 + e
-                    rare[w] += 1
-                seen = at[at >= 0]
-                c = of[unit]
-                score = m["transition"][c[:-1], c[1:]].sum() + m["emission"][unit[1:]].sum() + within[seen].sum()
-                add(rid, row, b" %d" % rid, 0, 0, len(words) + 1, len(seen) + (m["ends"] > 0), base[seen].sum() + base_end, score)
-                for w, n in rare.items():
-                    add(rid, None, w, n, cache.get(w, ending(w, endings)), 0, 0, 0.0, 0.0)
-                if len(out["rid"]) > 100_000:
-                    yield record()
-                    for v in out.values():
-                        v.clear()
-            if out["rid"]:
-                yield record()
+        find, all_ = Lookup(m["words"]), m["tokens"] + m["vocabulary"] + 1
+        number = np.append(m["class"], RARE_CLASS)
+        # values of words in the vocabulary, then of all others (0) and of the end
+        emission = np.concatenate((m["emission"], [0.0, 0.0]))
+        base = np.concatenate((np.log10((m["numbers"] + 1) / all_), [0.0, math.log10((m["ends"] + 1) / all_)]))
+        known = np.concatenate((np.ones(len(m["words"]), np.int64), [0, int(m["ends"] > 0)]))
+        names = ["rid", "doc_id", "h", "n", "tokens", "known", "base", "score"]
+        for batch, first, held in _chunks(batches):
+            rid, ids = batch.column("rid").to_numpy()[first : first + len(held)], batch.column("doc_id").slice(first, len(held))
+            flat = _flat(held)
+            w, end = find(flat), flat == END
+            c = np.where(end, END_CLASS, number[w])
+            at = np.where(end, len(m["words"]) + 1, np.where(w < 0, len(m["words"]), w))[1:]
+            starts = np.cumsum([0] + [len(h) + 1 for h in held[:-1]])
+            sums = [np.add.reduceat(v, starts) for v in (m["transition"][c[:-1], c[1:]] + emission[at], base[at], known[at])]
+            # the summary's key is met by no word, and would add nothing if it were
+            none = np.zeros(len(held), np.int64)
+            size = np.array([len(h) + 1 for h in held], np.int64)
+            yield pa.record_batch([pa.array(v) for v in (rid, ids, mixed(rid.astype(np.uint64)).view(np.int64), none, size, sums[2], sums[1], sums[0])], names=names)
+            lone = np.flatnonzero((w[1:] < 0) & ~end[1:])
+            if len(lone):
+                row, h = np.repeat(np.arange(len(held)), size)[lone], flat[1:][lone]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+                zero, nothing = np.zeros(len(new), np.int64), np.zeros(len(new))
+                yield pa.record_batch(
+                    [pa.array(rid[row[new]]), pa.nulls(len(new), ids.type), pa.array(h[new]), pa.array(np.diff(np.append(new, len(h)))), pa.array(zero), pa.array(zero), pa.array(nothing), pa.array(nothing)],
+                    names=names,
+                )
 
     return run
 
@@ -288,19 +348,18 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "counts"})
-    schema = f"rid bigint, doc_id {dict(rows.dtypes)['doc_id']}, word binary, n int, ending int, tokens bigint, known bigint, base double, score double"
-    parts = rows.mapInArrow(_score(shared), schema)
-    total = model["tokens"] + model["vocabulary"] + 1
-    known, unknown = (F.array(*[F.lit(float(x)) for x in model[k]])[F.col("ending")] for k in ("known", "unknown"))
-    counts = model["counts"].withColumnsRenamed({"word": "counted", "n": "c"})
-    met = parts.join(counts, F.col("word") == F.col("counted"), "left")
+    parts = rows.mapInArrow(_score(shared), f"rid bigint, doc_id {dict(rows.dtypes)['doc_id']}, h bigint, n bigint, tokens bigint, known bigint, base double, score double")
+    total = float(model["tokens"] + model["vocabulary"] + 1)
+    counts = model["counts"].withColumnsRenamed({"h": "counted", "n": "c"})
+    met = parts.join(counts, F.col("h") == F.col("counted"), "left")
     is_known = F.col("c").isNotNull()
+    rare = F.when(is_known, F.lit(float(model["known"])) + F.log10(F.col("c").cast("double"))).otherwise(F.lit(float(model["unknown"])))
     sums = met.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(is_known, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total)))).alias("base_score"),
-        F.sum(F.col("score") + F.col("n") * F.when(is_known, known + F.log10(F.col("c").cast("double"))).otherwise(unknown)).alias("score"),
+        F.sum(F.col("base") + F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(total))).alias("base_score"),
+        F.sum(F.col("score") + F.col("n") * rare).alias("score"),
     )
     return sums.select(
         "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
