@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,17 @@ def test_chains_of_near_copies(spark, radius):
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(rows[min(g)][0] for g in brute_groups(rows))
 
 
+def test_folds_and_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 2000):
+        x = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        y = np.union1d(x[: 4 * n // 5], rng.integers(-(2**63), 2**63 - 1, n // 4))
+        real = len(np.setxor1d(x, y))
+        bits = int(np.bitwise_count((near_copies.folds(x) ^ near_copies.folds(y)).view(np.uint64)).sum())
+        assert 0 <= bits <= real and near_copies.differ(near_copies.parity(x), near_copies.parity(y)) <= real
+        assert (bits - real) % 2 == 0 and near_copies.folds(x[:0]).tolist() == [0] * 4
+
+
 def test_bitmap(spark):
     rng = random.Random(2)
     ids = [rng.randrange(-(2**63), 2**63) for _ in range(500)]
