@@ -87,6 +87,22 @@ def test_decontaminate(spark, seed, block):
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t in rows if not brute_hits(t, items, 4)[1])
 
 
+def test_one_block_of_the_benchmark_is_alive(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    rng, live, most = random.Random(4), set(), []
+    drop, make = Broadcast.unpersist, decontaminate.tables
+    monkeypatch.setattr(Broadcast, "unpersist", lambda self, *a: (live.clear(), drop(self, *a))[1])
+    monkeypatch.setattr(decontaminate, "tables", lambda *a: (live.add(len(most)), most.append(len(live)), make(*a))[2])
+    items = spark.createDataFrame([(k, prose(rng, 12)) for k in range(20)], "item_id bigint, text string")
+    df = docs(spark, [(k, prose(rng, 30)) for k in range(5)])
+    for f in (decontaminate.find_contamination, decontaminate.uncontaminated):
+        most.clear()
+        live.clear()
+        f(df, items, block_chars=300).count()
+        assert len(most) >= 4 and set(most) == {1}
+
+
 def test_decontaminate_without_rows(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert {r["contaminated"] for r in decontaminate.find_contamination(docs(spark, EDGES), none).collect()} == {False}

@@ -7,7 +7,8 @@ a direct comparison of the words confirms an occurrence.
 
 The tables are broadcast. Their size follows the benchmark, not the corpus, and it is bounded: a
 benchmark above ``block_chars`` characters is split into blocks by a hash of its rows, and the documents
-pass one block's tables after the other.
+pass one block's tables after the other. In between they are checkpointed and the block's tables are dropped, so that
+no task and no executor holds more than one block.
 
 Edge cases: a null or empty text has no words, so its counts are 0 and it is not contaminated. A null or
 empty benchmark text has no window. A null item id marks words but is not listed as an item. Items or
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, filter_by_text, read, texts
+from .common import alnum_words, durable, filter_by_text, read, texts
 
 BLOCK_CHARS = 8_000_000
 
@@ -127,16 +128,16 @@ def _search_block(shared, last: bool, carries: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_chars: int) -> list:
-    """Broadcast search tables, each for about ``block_chars`` characters of the benchmark; one at least."""
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_chars: int):
+    """(broadcast search tables, is the last) for each block of about ``block_chars`` characters; one at least, made when it is due."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / block_chars))
-    out = []
+    if n > 1:
+        bench = durable(bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
     for k in range(n):
-        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window)))
-    return out
+        part = bench.where(F.col("block") == k).select("item", "text") if n > 1 else bench
+        yield benchmark.sparkSession.sparkContext.broadcast(tables([tuple(r) for r in part.collect()], window)), k == n - 1
 
 
 def find_contamination(
@@ -156,17 +157,18 @@ def find_contamination(
     items_sha256 (of the sorted, comma-joined item ids), contaminated (n_hit > 0), items (the sorted ids)
     and spans (flat start, end word positions of the occurrences). See the module for edge cases.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_chars)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
+    key, carries = dict(df.dtypes)["doc_id"], False
+    for shared, last in _blocks(benchmark, item_col, item_text_col, window, block_chars):
         schema = (
             f"doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<bigint>"
             if last
             else f"doc_id {key}, text string, items array<string>, spans array<bigint>"
         )
-        df = df.mapInArrow(_search_block(shared, last, k > 0), schema)
+        df = df.mapInArrow(_search_block(shared, last, carries), schema)
+        if not last:
+            df, carries = durable(df), True
+            shared.unpersist()
     return df
 
 
@@ -193,8 +195,11 @@ def uncontaminated(
 
         return predicate
 
-    for shared in _blocks(benchmark, item_col, item_text_col, window, block_chars):
+    for shared, last in _blocks(benchmark, item_col, item_text_col, window, block_chars):
         docs = filter_by_text(docs, text_col, clean(shared))
+        if not last:
+            docs = durable(docs)
+            shared.unpersist()
     return docs
 
 
