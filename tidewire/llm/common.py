@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable, local_roots
 
-__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "spaced_words", "texts", "whole_row"]
+__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "slices", "spaced_words", "texts", "whole_row"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -26,6 +26,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in parts of few rows, so that what is made of texts at once is small; memory goes back at the end."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def texts(batch) -> list[bytes]:
     """The column ``text`` of an Arrow batch as UTF-8 bytes; null counts as empty."""
     import pyarrow as pa
