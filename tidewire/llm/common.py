@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable, local_roots
 
-__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "slices", "spaced_words", "texts", "whole_row"]
+__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "batches_of", "byte_sizes", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "slices", "spaced_words", "texts", "whole_row"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -44,6 +44,25 @@ def texts(batch) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def byte_sizes(column) -> list[int]:
+    """Bytes of each value of a large_binary column without nulls."""
+    if not len(column):
+        return []
+    return np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]).tolist()
+
+
+def batches_of(sizes: list[int], most: int):
+    """Ranges (first, end) of items in a row that hold ``most`` bytes at most, or one item."""
+    first = total = 0
+    for k, size in enumerate(sizes):
+        if k > first and total + size > most:
+            yield first, k
+            first, total = k, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def filter_by_text(df: DataFrame, text_col: str, predicate) -> DataFrame:
     """Rows of ``df`` for whose texts ``predicate()`` holds; all columns pass through unchanged.
 

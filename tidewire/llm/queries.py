@@ -11,10 +11,13 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .line_dedup import op8_line_dedup
 from .mixing import mixing_sql, op4_mixing
+from .periodic import op11_periodic_runs
 from .quality import op10_quality
 from .roles import op3_role_repair, role_sql
 from .secrets import op9_secrets
 from .simhash import op7_simhash_dedup
+from .structure import op13_structure_repair
+from .token_counts import op12_token_counts
 from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_secrets,
         op10_quality,
+        op11_periodic_runs,
+        op12_token_counts,
+        op13_structure_repair,
     )
 }
 
