@@ -168,15 +168,6 @@ def test_json_objects_agree_with_the_model_reader(spark):
         assert (None if got[k] is None else json.loads(__import__("re").sub(r",(\s*[}\]])", r"\1", got[k]))) == want, a
 
 
-def test_components_in_one_task(spark):
-    from tidewire.operators.graph import components
-
-    for kind, f in (("long", lambda x: x), ("string", str)):
-        links = spark.createDataFrame([(f(a), f(b)) for a, b in [(5, 3), (3, 9), (7, 7), (20, 21), (21, 22), (9, 5)]], f"a {kind}, b {kind}")
-        rows = lambda few: sorted((r["node"], r["label"]) for r in components(links, few=few).collect())
-        assert rows(100) == rows(0) and len(rows(0)) == 6
-        assert components(links.limit(0), few=100).count() == 0
-
 
 def test_shared_folder(spark):
     from tidewire.operators import graph
@@ -185,6 +176,7 @@ def test_shared_folder(spark):
         conf = {"spark.sql.warehouse.dir": "hdfs://w"}
         sparkContext = type("C", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})
 
-    assert graph.shared_folder(Session) == "hdfs://w/tidewire-checkpoints"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        graph.shared_folder(Session)
     Session.conf["spark.checkpoint.dir"] = "hdfs://c"
     assert graph.shared_folder(Session) == "hdfs://c"

@@ -79,10 +79,32 @@ def test_title_dedup_matches_the_model(spark, seed):
     assert {r["seq"] for r in dedup.dedup_by_title(df, 0.7).collect()} == model_title_dedup(rows, 0.7)
 
 
+def test_title_dedup_in_pieces(spark):
+    """Components in pieces of a few rows, by rounds, give what the model gives."""
+    rng = random.Random(9)
+    rows = [(k, t, "s" * rng.randint(0, 3), rng.choice(GRADES)) for k, t in enumerate(random_titles(rng, 90))]
+    df = table(spark, [article(s, t, snippet=x, reliability=g) for s, t, x, g in rows])
+    assert {r["seq"] for r in dedup.dedup_by_title(df, 0.7, piece=20).collect()} == model_title_dedup(rows, 0.7)
+
+
+def test_title_dedup_of_a_chain(spark):
+    """Ten thousand titles each alike to the next only: every other one survives. Copies of one title never form a group."""
+    n = 10_000
+    codes = [chr(0x4E00 + k) for k in range(n + 12)]
+    links = spark.range(n - 1).selectExpr("lpad(id, 5, '0') AS a", "lpad(id + 1, 5, '0') AS b")
+    rows = spark.range(n).selectExpr("'chain' AS label", "lpad(id, 5, '0') AS key", "id AS seq", "1 AS weight", "1 AS length")
+    assert sorted(r["kept"] for r in dedup._settled(rows, links, 4000).collect()) == list(range(0, n, 2))
+    titles = ["".join(codes[k : k + 10]) for k in range(60)]
+    df = table(spark, [article(k, t, reliability="low") for k, t in enumerate(titles)])
+    assert sorted(r["seq"] for r in dedup.dedup_by_title(df, 0.79).collect()) == list(range(0, 60, 2))
+    copies = table(spark, [article(k, "One title", snippet="s" * (k == 1500)) for k in range(3000)])
+    assert [r["seq"] for r in dedup.dedup_by_title(copies, 0.9).collect()] == [1500]
+
+
 @pytest.mark.parametrize(("grades", "expected"), [(("medium", "low", "high"), {2}), (("medium", "high", "low"), {1, 2})])
 def test_scan_is_sequential(grades, expected):
     rows = [(k, k, GRADES.index(g), 0) for k, g in enumerate(grades)]
-    assert dedup.scan_titles(rows, {0: [1, 2], 1: [0], 2: [0]}, {0: [0], 1: [1], 2: [2]}) == expected
+    assert dedup.scan_titles(rows, {0: [1, 2], 1: [0], 2: [0]}) == expected
 
 
 def test_title_dedup_fixtures(spark):
@@ -128,7 +150,7 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
     named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")
-    assert {(r["node"], r["label"]) for r in components(named, few=1000).collect()} == {(f"n{x:03}", f"n{find(x):03}") for x in linked}
+    assert {(r["node"], r["label"]) for r in components(named).collect()} == {(f"n{x:03}", f"n{find(x):03}") for x in linked}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
@@ -157,6 +179,22 @@ def test_leader_scan_matches_the_model(seed):
     assert cluster.scan_leaders([(sorted(g), sorted(n)) for g, n in rows], 0.6) == model_clusters(rows, 0.6)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_give_the_single_scan(spark, seed):
+    """Clusters of groups scanned apart are those of one scan over all rows."""
+    rng = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "OpenAI", "Nvidia", "xyz", "uvw"]
+    titles = [" ".join(rng.choice(words) + rng.choice(["", "", str(rng.randint(0, 9))]) for _ in range(rng.randint(0, 5))) for _ in range(120)]
+    df = table(spark, [article(k, t) for k, t in enumerate(titles)])
+    found, counted = {}, []
+    got = {r["seq"]: r["cluster"] for r in cluster.assign_clusters(df, 0.6, guard=counted.append, found=found).collect()}
+    names = [[v for k, v in params.COMPANIES if k in t.lower()] for t in titles]
+    whole = cluster.scan_leaders([(sorted(grams(t, False)), n) for t, n in zip(titles, names, strict=True)], 0.6)
+    first = {}
+    assert got == {k: first.setdefault(c, k) for k, c in enumerate(whole)}
+    assert counted == [120] and 1 < found["largest_group"] < 120
+
+
 @pytest.mark.parametrize(
     ("titles", "n"),
     [

@@ -163,7 +163,7 @@ def test_models(spark):
         models.json_object("nothing")
     answers = iter(["bad", '{"x": 1}'])
     model = models.ChatModel(lambda s, u: next(answers))
-    assert model.json("", "") == {"x": 1} and model.stats == {"calls": 2, "completion_chars": 11}
+    assert model.json("", "") == {"x": 1} and model.stats == {"calls": 2, "retries": 1, "prompt_chars": 0, "completion_chars": 11}
 
     def send(system, user):
         if "two" in user:

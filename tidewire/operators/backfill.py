@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
 from .dedup import dedup_by_title, dedup_by_url
 from .filters import recent
+from .graph import durable
 from .search import to_articles, with_queries
 from .stats import category_counts
 
@@ -30,16 +33,68 @@ def backfill_queries(lacking: DataFrame, queries: dict[str, tuple[str, ...]] = p
     )
 
 
+class FetchLedger:
+    """What was fetched so far, in the folder ``path``: results by fetch, then the queries of each fetch that was written whole.
+
+    A fetch counts only once its queries are listed, so results of one that broke off are never read. Queries that are listed
+    are not asked for again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.results_path, self.done_path = spark, f"{path}/results", f"{path}/done"
+
+    def _table(self, path: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException:
+            return None
+
+    def due(self, queries: DataFrame) -> DataFrame:
+        """The queries that no fetch has listed."""
+        done = self._table(self.done_path)
+        return queries if done is None else queries.join(done.select("category", "query"), ["category", "query"], "left_anti").select(*queries.columns)
+
+    def record(self, queries: DataFrame, results: DataFrame) -> None:
+        """Write the results of a fetch, then list its queries."""
+        mark = F.lit(uuid.uuid4().hex)
+        results.withColumn("fetch", mark).write.mode("append").parquet(self.results_path)
+        queries.select("category", "query", F.current_timestamp().alias("fetched"), mark.alias("fetch")).coalesce(1).write.mode("append").parquet(self.done_path)
+
+    def results(self, queries: DataFrame) -> DataFrame | None:
+        """The results of listed fetches for these queries."""
+        found, done = self._table(self.results_path), self._table(self.done_path)
+        if found is None or done is None:
+            return None
+        fetches = done.join(queries.select("category", "query"), ["category", "query"], "left_semi").select("fetch").distinct()
+        return found.join(fetches, "fetch", "left_semi").drop("fetch")
+
+
+def fetched(queries: DataFrame, fetch: Callable[[DataFrame], DataFrame], ledger: str | None = None) -> DataFrame:
+    """Results of the queries; with a ledger category by category, each written before the next one is asked for."""
+    if ledger is None:
+        return fetch(queries)
+    book = FetchLedger(queries.sparkSession, ledger)
+    queries = durable(queries)
+    due = durable(book.due(queries))
+    # one row for each of the listed categories
+    for category in sorted(r["category"] for r in due.select("category").distinct().collect()):
+        own = due.where(F.col("category") == category)
+        book.record(own, fetch(own))
+    found = book.results(queries)
+    return fetch(queries.limit(0)) if found is None else found
+
+
 def backfill(articles: DataFrame, fetch: Callable[[DataFrame], DataFrame], as_of: Column, least: int = params.BACKFILL_MIN_ITEMS,
-             days: int = params.BACKFILL_DAYS, threshold: float = params.TITLE_THRESHOLD) -> DataFrame:
+             days: int = params.BACKFILL_DAYS, threshold: float = params.TITLE_THRESHOLD, ledger: str | None = None) -> DataFrame:
     """Articles with those found for lacking categories, deduplicated again; unchanged if none lacks.
 
-    ``fetch`` turns queries into results with seq and query_origin. New articles come after the old ones.
+    ``fetch`` turns queries into results with seq and query_origin. New articles come after the old ones. A run that names the
+    ``ledger`` (a folder) of one that failed goes on where that one stopped.
     """
     lacking = deficits(articles, least=least)
     if lacking.isEmpty():
         return articles
     queries = backfill_queries(lacking)
-    found = recent(to_articles(with_queries(fetch(queries), queries)), as_of, 24 * days)
+    found = recent(to_articles(with_queries(fetched(queries, fetch, ledger), queries)), as_of, 24 * days)
     last = articles.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     return dedup_by_title(dedup_by_url(articles.unionByName(found.withColumn("seq", F.col("seq") + F.lit(int(last) + 1)))), threshold)

@@ -2,69 +2,150 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions.text import bigrams, companies, event_type, jaccard, title_key
 from ..functions.urls import event_id, reliability_weight
-from .graph import FEW_LINKS, components, durable
+from .graph import components, durable
 from .similarity import distinct_sets, similar_sets
 
 
-def scan_leaders(rows: list[tuple[list[str], list[str]]], threshold: float) -> list[int]:
-    """Cluster numbers for rows of (bigrams, companies) in order.
+class Leaders:
+    """Clusters of rows that arrive in order.
 
     A row joins the cluster whose united bigrams are most alike, the earliest of equals, among those that reach
     the cluster's threshold, which is lower if they share a company. Rows without bigrams stay alone. An index
-    from bigrams to clusters finds the clusters with a common bigram; no other can be alike.
+    from bigrams to clusters finds the clusters with a common bigram; no other can be alike. No row is kept.
     """
-    relaxed = max(params.COMPANY_FLOOR, threshold - params.COMPANY_RELAXATION)
-    grams_of: list[set[str]] = []
-    companies_of: list[set[str]] = []
-    index: dict[str, list[int]] = {}
-    out = []
-    for grams, names in rows:
+
+    def __init__(self, threshold: float):
+        self.threshold, self.relaxed = threshold, relaxed_threshold(threshold)
+        self.grams: list[set[str]] = []
+        self.companies: list[set[str]] = []
+        self.index: dict[str, list[int]] = {}
+
+    def add(self, grams: list[str], names: list[str]) -> int:
+        """The number of the row's cluster, a new one if none is alike."""
         own, names_set = set(grams), set(names)
         shared: dict[int, int] = {}
         for g in own:
-            for c in index.get(g, ()):
+            for c in self.index.get(g, ()):
                 shared[c] = shared.get(c, 0) + 1
         best, best_sim = -1, 0.0
         for c in sorted(shared):
-            sim = shared[c] / (len(own) + len(grams_of[c]) - shared[c])
-            if sim > best_sim and sim >= (relaxed if names_set & companies_of[c] else threshold):
+            sim = shared[c] / (len(own) + len(self.grams[c]) - shared[c])
+            if sim > best_sim and sim >= (self.relaxed if names_set & self.companies[c] else self.threshold):
                 best, best_sim = c, sim
         if best < 0:
-            best = len(grams_of)
-            grams_of.append(set())
-            companies_of.append(set())
-        for g in own - grams_of[best]:
-            index.setdefault(g, []).append(best)
-        grams_of[best] |= own
-        companies_of[best] |= names_set
-        out.append(best)
-    return out
-
-
-def assign_clusters(articles: DataFrame, threshold: float = params.CLUSTER_THRESHOLD, by: str | None = None, dictionary=params.COMPANIES) -> DataFrame:
-    """(seq, bucket, cluster) for every article, clusters numbered in order of appearance within ``by``.
-
-    The scan is sequential by definition. Days are scanned in parallel; only seq, bigrams and companies of
-    titles reach Python.
-    """
-    day = F.col(by).cast("string") if by else F.lit("")
-    slim = articles.select(
-        "seq", F.coalesce(day, F.lit("")).alias("bucket"), bigrams(title_key(F.col("title")), False).alias("grams"), companies(F.coalesce("title", F.lit("")), dictionary).alias("names")
-    )
+            best = len(self.grams)
+            self.grams.append(set())
+            self.companies.append(set())
+        for g in own - self.grams[best]:
+            self.index.setdefault(g, []).append(best)
+        self.grams[best] |= own
+        self.companies[best] |= names_set
+        return best
+
+
+def relaxed_threshold(threshold: float) -> float:
+    return max(params.COMPANY_FLOOR, threshold - params.COMPANY_RELAXATION)
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        group["cluster"] = scan_leaders(list(zip(group["grams"], group["names"], strict=True)), threshold)
-        return group[["seq", "bucket", "cluster"]]
 
-    return slim.groupBy("bucket").applyInPandas(scan, "seq bigint, bucket string, cluster bigint")
+def scan_leaders(rows: list[tuple[list[str], list[str]]], threshold: float) -> list[int]:
+    """Cluster numbers for rows of (bigrams, companies) in order."""
+    leaders = Leaders(threshold)
+    return [leaders.add(*r) for r in rows]
+
+
+def closed_groups(titles: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+    """(id, group) for (bucket, id, grams, named) rows: groups such that no title can join a cluster of another group.
+
+    A title of n bigrams joins a cluster only if the cluster holds ceil(t n) of them, t being the threshold that it may count
+    on. So it joins none of a group whose titles together hold fewer. Groups start as single titles; a title and a group
+    that holds enough of its bigrams become one, until no such pair is left. Candidates share one of the title's
+    n - ceil(t n) + 1 rarest bigrams, and are counted in full. Bigrams of a group are listed once, however many titles have them.
+    """
+    t = F.when(F.col("named"), F.lit(relaxed_threshold(threshold))).otherwise(F.lit(threshold))
+    need = F.greatest(F.ceil(F.size("grams") * t - F.lit(1e-9)).cast("int"), F.lit(1))
+    sets = titles.where(F.size("grams") > 0).select("id", "bucket", F.size("grams").alias("n"), need.alias("need"), "grams")
+    grams = durable(sets.select("id", "bucket", "n", "need", F.explode("grams").alias("gram")))
+    frequency = grams.groupBy("bucket", "gram").agg(F.count("*").alias("f"))
+    order = F.sort_array(F.collect_list(F.struct("f", "gram")))
+    ranked = grams.join(frequency, ["bucket", "gram"]).groupBy("id", "bucket", "n", "need").agg(order.alias("order"))
+    rare = durable(ranked.select("id", "bucket", "need", F.explode(F.slice("order", F.lit(1), F.col("n") - F.col("need") + 1)).alias("o")).select("id", "bucket", "need", F.col("o.gram").alias("gram")))
+    groups = sets.select("id", F.col("id").alias("group"))
+    for _ in range(max_rounds):
+        held = grams.select("id", "bucket", "gram").join(groups, "id").select("bucket", "gram", F.col("group").alias("other")).distinct()
+        met = rare.join(groups, "id").join(held, ["bucket", "gram"]).where(F.col("other") != F.col("group")).select("id", "bucket", "group", "need", "other").distinct()
+        full = met.join(grams.select("id", "gram"), "id").join(held, ["bucket", "gram", "other"])
+        sure = full.groupBy("id", "group", "need", "other").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need"))
+        found = Observation()
+        links = durable(sure.select(F.col("group").alias("a"), F.col("other").alias("b")).distinct().observe(found, F.count(F.lit(1)).alias("n")))
+        if not found.get["n"]:
+            return groups
+        # each group goes with the least that it is linked to, and then with what that goes with
+        low = links.union(links.select("b", "a")).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("m"))
+        onward = low.select(F.col("old").alias("m"), F.col("m").alias("mm"))
+        names = low.join(onward, "m", "left").select("old", F.coalesce("mm", "m").alias("new"))
+        groups = durable(groups.join(names, F.col("group") == F.col("old"), "left").select("id", F.coalesce("new", "group").alias("group")))
+    raise RuntimeError("groups did not settle")
+
+
+def _scan(threshold: float):
+    """Clusters of sorted rows, group by group; a task holds the clusters of one group."""
+
+    def run(batches):
+        group = leaders = None
+        place, first = 0, {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                out, places = [], []
+                keys = zip(*(part.column(c).to_pylist() for c in ("bucket", "group", "seq", "grams", "names")), strict=True)
+                for bucket, name, seq, grams, names in keys:
+                    if (bucket, name) != group:
+                        group, leaders, place, first = (bucket, name), Leaders(threshold), 0, {}
+                    place += 1
+                    out.append(first.setdefault(leaders.add(grams, names), seq))
+                    places.append(place)
+                yield pa.record_batch([part.column("seq"), part.column("bucket"), pa.array(out, pa.int64()), pa.array(places, pa.int64())], names=["seq", "bucket", "cluster", "place"])
+
+    return run
+
+
+def assign_clusters(articles: DataFrame, threshold: float = params.CLUSTER_THRESHOLD, by: str | None = None, dictionary=params.COMPANIES,
+                    guard: Callable[[int], None] | None = None, found: dict[str, int] | None = None) -> DataFrame:
+    """(seq, bucket, cluster) for every article; a cluster of a ``by`` is named by the seq of its first article.
+
+    The scan is sequential by definition, but titles of different closed groups never meet, so groups are scanned apart, each in
+    the order of seq and without being held. Only seq, bigrams and companies of titles reach Python. ``guard`` is called
+    with the number of articles as soon as the first step has counted them; ``found`` gets the size of the largest group.
+    """
+    day = F.col(by).cast("string") if by else F.lit("")
+    title = F.coalesce("title", F.lit(""))
+    key = title_key(F.col("title"))
+    counted = Observation()
+    slim = articles.select("seq", F.coalesce(day, F.lit("")).alias("bucket"), key.alias("key"), companies(title, dictionary).alias("names"))
+    slim = durable(slim.withColumn("id", F.concat("bucket", F.lit("\n"), "key")).observe(counted, F.count(F.lit(1)).alias("n")))
+    if guard:
+        guard(counted.get["n"])
+    grams = bigrams(F.col("key"), False)
+    titles = slim.groupBy("id").agg(F.min("bucket").alias("bucket"), F.min("key").alias("key"), F.max(F.size("names") > 0).alias("named"))
+    groups = closed_groups(titles.select("id", "bucket", grams.alias("grams"), "named"), threshold)
+    # titles without a letter or digit have no bigrams and are alone
+    named = slim.join(groups, "id", "left").withColumn("group", F.coalesce("group", F.col("seq").cast("string"))).select("bucket", "group", "seq", grams.alias("grams"), "names")
+    largest = Observation()
+    order = named.repartition("bucket", "group").sortWithinPartitions("bucket", "group", "seq")
+    scanned = order.mapInArrow(_scan(threshold), "seq bigint, bucket string, cluster bigint, place bigint")
+    out = durable(scanned.observe(largest, F.coalesce(F.max("place"), F.lit(0)).alias("n")))
+    if found is not None:
+        found["largest_group"] = largest.get["n"]
+    return out.drop("place")
 
 
 def pair_score(sets: Column) -> Column:
@@ -109,9 +190,9 @@ def roll_up(articles: DataFrame, clusters: DataFrame, as_of: Column | None = Non
 
 
 def cluster_articles(articles: DataFrame, threshold: float = params.CLUSTER_THRESHOLD, by: str | None = None, as_of: Column | None = None,
-                     dictionary=params.COMPANIES, rules=params.EVENT_RULES) -> DataFrame:
+                     dictionary=params.COMPANIES, rules=params.EVENT_RULES, guard: Callable[[int], None] | None = None, found: dict[str, int] | None = None) -> DataFrame:
     """Events of articles; see ``by_heat`` for their order."""
-    return roll_up(articles, assign_clusters(articles, threshold, by, dictionary), as_of, dictionary, rules)
+    return roll_up(articles, assign_clusters(articles, threshold, by, dictionary, guard, found), as_of, dictionary, rules)
 
 
 def by_heat() -> list[Column]:
@@ -127,7 +208,7 @@ def cluster_components(articles: DataFrame, threshold: float = params.CLUSTER_TH
     key = title_key(F.col("title"))
     rows = articles.select("seq", key.alias("key"))
     titles = durable(distinct_sets(rows, F.col("key"), bigrams(F.col("key"), False)))
-    labels = components(similar_sets(titles, None, threshold).select("a", "b"), few=FEW_LINKS)
+    labels = components(similar_sets(titles, None, threshold).select("a", "b"))
     # titles without a letter or digit match nothing, not even each other
     own = F.when(F.col("key") == "", F.col("seq").cast("string"))
     named = rows.join(labels, F.col("key") == F.col("node"), "left").withColumn("group", F.concat(F.when(F.col("key") == "", "#").otherwise("="), F.coalesce(own, "label", "key")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ITEMS_PER_COMPANY, SECTION_QUOTAS
+from .graph import durable
 
 
 def limited_sections(items: DataFrame, quotas: dict[str, tuple[int, int]] = SECTION_QUOTAS) -> DataFrame:
@@ -19,15 +20,34 @@ def limited_sections(items: DataFrame, quotas: dict[str, tuple[int, int]] = SECT
     return ranked.where(F.col("__n") <= most).drop("__n")
 
 
-def limited_companies(items: DataFrame, most: int = ITEMS_PER_COMPANY) -> DataFrame:
-    """Items without those for which a company already has ``most`` better ones; items have companies_mentioned."""
-    rows = items.select("seq", "importance_score", F.explode("companies_mentioned").alias("company"))
-    of_company = Window.partitionBy("company").orderBy(F.desc("importance_score"), "seq")
-    kept = rows.withColumn("__n", F.row_number().over(of_company)).where(F.col("__n") <= most)
-    counts = items.select("seq", F.size("companies_mentioned").alias("wanted"))
-    good = kept.groupBy("seq").agg(F.count("*").alias("have"))
-    ok = counts.join(good, "seq", "left").where(F.coalesce("have", F.lit(0)) == F.greatest("wanted", F.lit(0))).select("seq")
-    return items.join(ok, "seq", "left_semi")
+def limited_companies(items: DataFrame, most: int = ITEMS_PER_COMPANY, max_rounds: int = 1000) -> DataFrame:
+    """Items in order of score of which each company has ``most`` at best; items have companies_mentioned.
+
+    An item is taken if none of its companies has ``most`` taken ones before it. In rounds: an open item is refused once a company
+    has ``most`` taken ones, and taken once it is among the first that still have room at each of its companies, so every open item
+    before it has its room too. Each round decides the best open item at least, and in general most items. Of a company
+    with very many items only the first ``most`` open ones travel to where they are ranked.
+    """
+    rank = F.struct((-F.coalesce("importance_score", F.lit(0.0))).alias("score"), "seq")
+    names = F.array_distinct(F.coalesce("companies_mentioned", F.array().cast("array<string>")))
+    state = durable(items.select("seq", rank.alias("rank"), names.alias("names"), (F.size(names) == 0).alias("taken")))
+    of_company = Window.partitionBy("company").orderBy("rank")
+    for _ in range(max_rounds):
+        have = state.where("taken").select(F.explode("names").alias("company")).groupBy("company").agg(F.count("*").cast("int").alias("have"))
+        full = have.where(F.col("have") >= most)
+        open_ = state.where("NOT taken")
+        refused = open_.select("seq", F.explode("names").alias("company")).join(full, "company", "left_semi").select("seq").distinct()
+        left = open_.join(refused, "seq", "left_anti")
+        pairs = left.select("seq", "rank", F.size("names").alias("n"), F.explode("names").alias("company"))
+        first = pairs.withColumn("place", F.row_number().over(of_company)).where(F.col("place") <= most)
+        fits = first.join(have, "company", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= most)
+        take = fits.groupBy("seq").agg(F.count("*").alias("rooms"), F.first("n").alias("n")).where("rooms = n").select(F.col("seq").alias("chosen"))
+        decided = left.join(take, F.col("seq") == F.col("chosen"), "left").select("seq", "rank", "names", F.col("chosen").isNotNull().alias("taken"))
+        counted = Observation()
+        state = durable(state.where("taken").union(decided).observe(counted, F.count_if(~F.col("taken")).alias("open")))
+        if not counted.get["open"]:
+            return items.join(state.where("taken").select("seq"), "seq", "left_semi")
+    raise RuntimeError("companies did not settle")
 
 
 def shortfalls(items: DataFrame, quotas: dict[str, tuple[int, int]] = SECTION_QUOTAS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import params
@@ -30,13 +30,19 @@ def valid_analyses(analyses: DataFrame) -> DataFrame:
     return analyses.where(F.coalesce("is_valid", F.lit(True))).withColumn("importance_score", score)
 
 
-def check_searches(responses: DataFrame) -> None:
-    """Fail if there were searches and none succeeded."""
-    total, good = responses.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
-    if total and not good:
+def count_searches(responses: DataFrame) -> tuple[DataFrame, Observation]:
+    """Responses whose number and successes are counted when they are first written, and where these counts will be."""
+    counted = Observation()
+    return responses.observe(counted, F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("good")), counted
+
+
+def check_searches(counts: dict[str, int]) -> None:
+    """Fail if there were searches and none succeeded; ``counts`` has total and good, as observed."""
+    if counts["total"] and not counts["good"]:
         raise RuntimeError("all searches failed")
 
 
-def check_volume(articles: DataFrame, least: int = params.MIN_ARTICLES) -> bool:
-    """Whether there are enough articles to go on."""
-    return articles.limit(least).count() >= least
+def enough(n: int, least: int = params.MIN_ARTICLES) -> None:
+    """Fail if there are too few articles to go on."""
+    if n < least:
+        raise RuntimeError("too few articles")

@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only a session whose tasks all run in this process may use a temporary folder, as in tests.
     """
@@ -21,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return tempfile.mkdtemp(prefix="tidewire-")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/tidewire-checkpoints"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -50,37 +49,13 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-#: Links up to this number are joined up in one task where a caller allows it.
-FEW_LINKS = 200_000
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Components of a bounded number of links."""
-
-    def run(batches):
-        columns = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")] for batch in batches]
-        if not columns:
-            return
-        u, v = (np.concatenate(c) for c in zip(*columns, strict=True))
-        nodes, code = np.unique(np.concatenate((u, v)), return_inverse=True)
-        root = local_roots(len(nodes), code[: len(u)], code[len(u) :])
-        yield pa.record_batch([pa.array(nodes, kind), pa.array(nodes[root], kind)], names=["node", "label"])
-
-    name = dict(edges.dtypes)["u"]
-    kind = pa.string() if name == "string" else pa.int64()
-    return edges.coalesce(1).mapInArrow(run, f"node {name}, label {name}")
-
-
-def components(links: DataFrame, max_rounds: int = 60, few: int = 0) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b), both bigint or string, by alternating large-star and small-star steps.
 
     Returns (node, label) for every node with a link to another one, label being the component's smallest
-    node. State stays in distributed tables and each round is checkpointed. Up to ``few`` links are joined up
-    in one task instead, with the same result.
+    node. State stays in distributed tables and each round is checkpointed.
     """
     edges = durable(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if few and edges.count() <= few:
-        return _in_one_task(edges)
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     seen = None

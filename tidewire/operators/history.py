@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions.text import bigrams, title_key
+from ..functions.text import bigrams, jaccard, title_key
 from .graph import durable
 from .similarity import distinct_sets, similar_sets
 
@@ -32,6 +32,58 @@ def first_hits(events: DataFrame, history: DataFrame, threshold: float = params.
     )
 
 
+#: Buckets of the kept index.
+BUCKETS = 16
+INDEX = "gram string, key string, n int, grams array<string>, canonical_title string, file string, pos bigint, report_date date"
+
+
+def _prefix(rows: DataFrame, threshold: float) -> DataFrame:
+    """A row for each of the first n - ceil(t n) + 1 bigrams of (key, grams) rows, by the hash of the bigram.
+
+    Any order that both sides share will do for the join; this one needs no counts, so what is indexed today stays right.
+    """
+    n = F.size("grams")
+    keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    order = F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    return rows.where(n > 0).withColumn("n", n).withColumn("gram", F.explode(F.transform(F.slice(order, F.lit(1), keep), lambda o: o["g"])))
+
+
+def open_index(spark: SparkSession, table: str, location: str | None = None, buckets: int = BUCKETS) -> None:
+    """Make the index ``table`` known to the session, new or from its files: partitioned by day, bucketed by bigram."""
+    if location:
+        place = spark._jvm.org.apache.hadoop.fs.Path(location)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({INDEX}) USING parquet PARTITIONED BY (report_date) CLUSTERED BY (gram) INTO {buckets} BUCKETS{where}")
+    spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+
+
+def index_titles(titles: DataFrame, table: str, threshold: float = params.HISTORY_THRESHOLD, buckets: int = BUCKETS) -> None:
+    """Append (report_date, file, pos, canonical_title) rows to the index; of equal titles of a day the first place stays."""
+    key = title_key(F.col("canonical_title"))
+    place = F.struct("file", "pos", "canonical_title")
+    day = titles.where(F.coalesce("canonical_title", F.lit("")) != "").groupBy("report_date", key.alias("key")).agg(F.min(place).alias("place"))
+    rows = _prefix(day.withColumn("grams", bigrams(F.col("key"), False)), threshold)
+    named = rows.select("gram", "key", "n", "grams", "place.canonical_title", "place.file", F.col("place.pos").cast("bigint").alias("pos"), "report_date")
+    # dealt as the table is, so that a day has one file a bucket
+    named.repartition(buckets, "gram").sortWithinPartitions("gram").write.mode("append").format("parquet").partitionBy("report_date").bucketBy(buckets, "gram").saveAsTable(table)
+
+
+def indexed_hits(events: DataFrame, table: str, as_of: Column, exclude: Column, threshold: float = params.HISTORY_THRESHOLD, days: int = params.HISTORY_DAYS) -> DataFrame:
+    """As ``first_hits``, from the index: only the new events are dealt, and days outside of the window are not read."""
+    key = title_key(F.col("canonical_title"))
+    new = durable(events.select("seq", key.alias("own"), bigrams(key, False).alias("own_grams")))
+    titles = new.groupBy("own").agg(F.first("own_grams").alias("grams")).withColumnRenamed("own", "key")
+    asked = _prefix(titles, threshold).select("gram", F.col("key").alias("own"), F.col("grams").alias("own_grams"), F.col("n").alias("own_n"))
+    old = recent_titles(events.sparkSession.table(table), as_of, exclude, days)
+    t = F.lit(threshold)
+    fits = (F.col("own_n") >= F.col("n") * t - 1e-9) & (F.col("n") >= F.col("own_n") * t - 1e-9)
+    met = asked.join(old, "gram").where(fits).withColumn("sim", jaccard(F.col("own_grams"), F.col("grams"))).where(F.col("sim") >= t)
+    # a title has one place a day, and later places lose; of one similarity each place has, any bigram that found it will do
+    best = met.groupBy(F.col("own").alias("hit_key")).agg(F.min(F.struct("report_date", "file", "pos", "canonical_title", "sim")).alias("hit"))
+    return new.join(best, F.col("own") == F.col("hit_key")).select("seq", F.col("hit.report_date").alias("hit_date"), F.col("hit.canonical_title").alias("hit_title"), F.col("hit.sim").alias("sim"))
+
+
 def split_seen(events: DataFrame, history: DataFrame, threshold: float = params.HISTORY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Fresh events, and seen ones with their first hit."""
     hits = first_hits(events, history, threshold)

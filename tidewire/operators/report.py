@@ -172,7 +172,7 @@ def report_sections(items: DataFrame, sections=params.SECTIONS) -> DataFrame:
     return rows.select("pos", "section_id", "section_name", F.size("items").alias("item_count"), "items")
 
 
-def daily_report(items: DataFrame, report_date: Column, as_of: Column, summary: Column | None = None, flags: DataFrame | None = None) -> DataFrame:
+def daily_report(items: DataFrame, report_date: Column, as_of: Column, summary: Column | None = None, flags: DataFrame | None = None, zone: str = params.REPORT_TIMEZONE) -> DataFrame:
     """The report as one row. ``flags`` has (seq, flag) rows; ``summary`` is cut to 300 characters."""
     body = report_sections(items).agg(F.sort_array(F.collect_list(F.struct("pos", "section_id", "section_name", "item_count", "items"))).alias("sections"))
     totals = body.withColumns({
@@ -185,7 +185,7 @@ def daily_report(items: DataFrame, report_date: Column, as_of: Column, summary:
         totals, marks = totals.join(listed), F.col("__flags")
     day = F.to_date(report_date)
     return totals.select(
-        report_id(day).alias("report_id"), F.date_format(day, "yyyy-MM-dd").alias("report_date"), report_day_start(day).alias("time_window_start"), as_of.alias("time_window_end"),
+        report_id(day).alias("report_id"), F.date_format(day, "yyyy-MM-dd").alias("report_date"), report_day_start(day, zone).alias("time_window_start"), as_of.alias("time_window_end"),
         "total_items", "total_word_count", F.substring(summary if summary is not None else F.lit(None).cast("string"), 1, params.SUMMARY_CHARS).alias("editor_summary"),
         "sections", F.array().cast("array<string>").alias("removed_items"), marks.alias("quality_flags"), as_of.alias("generated_at"), F.lit("1.0.0").alias("version"),
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params
@@ -20,7 +20,7 @@ from ..operators import backfill as fill
 from ..operators import report as rep
 from ..operators.cluster import by_heat, cluster_articles
 from ..operators.dedup import dedup_by_title, dedup_by_url
-from ..operators.filters import check_volume, long_enough, recent, undated_last, valid_analyses
+from ..operators.filters import enough, long_enough, recent, undated_last, valid_analyses
 from ..operators.graph import durable
 from ..operators.history import split_seen
 from ..operators.search import to_articles, with_queries
@@ -37,6 +37,21 @@ class RunReport:
         self.flags: list[str] = []
         self.counts: dict[str, int] = {}
         self.success = False
+        self.watched: dict[str, Observation] = {}
+
+    def watch(self, name: str) -> Observation:
+        """Where the counts of a step will be observed; ``take`` adds them once the step's rows are written."""
+        self.watched[name] = Observation()
+        return self.watched[name]
+
+    def take(self, name: str) -> None:
+        """Add what was observed under ``name`` to the counts, as name_count."""
+        if (seen := self.watched.pop(name, None)) is not None:
+            self.add(name, seen.get)
+
+    def add(self, name: str, counts: dict[str, int]) -> None:
+        for k, v in counts.items():
+            self.counts[f"{name}_{k}"] = self.counts.get(f"{name}_{k}", 0) + int(v or 0)
 
     @contextmanager
     def stage(self, name: str):
@@ -68,9 +83,10 @@ def in_order(articles: DataFrame) -> DataFrame:
     return articles.orderBy(*article_order())
 
 
-def fresh_events(articles: DataFrame, as_of: Column, history: DataFrame | None = None, threshold: float = params.CLUSTER_THRESHOLD, by: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+def fresh_events(articles: DataFrame, as_of: Column, history: DataFrame | None = None, threshold: float = params.CLUSTER_THRESHOLD, by: str | None = None,
+                 guard: Callable[[int], None] | None = None, found: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Events of the articles, those of earlier days apart."""
-    events = durable(cluster_articles(articles, threshold, by, as_of))
+    events = durable(cluster_articles(articles, threshold, by, as_of, guard=guard, found=found))
     return (events, None) if history is None else split_seen(events, history)
 
 
@@ -85,19 +101,30 @@ def brief(
     texts: DataFrame | None = None,
     max_events: int | None = None,
     run: RunReport | None = None,
+    zone: str = params.REPORT_TIMEZONE,
 ) -> dict[str, DataFrame]:
     """From articles to events, the selection and, with a model, the report.
 
     ``analyse`` maps (seq, event_id, context) to analyses without seq order of their own; ``verify`` maps
-    (seq, title, details, source_text) of high-scored ones to corrections. Returns the tables made.
+    (seq, title, details, source_text) of high-scored ones to corrections. Returns the tables made. Counts that the steps observe
+    (articles, the largest group of titles that is clustered in one go, and those of ``run.watch("analyse")`` and
+    ``run.watch("verify")``) reach the run report; the guard against too few articles reads the first of them.
     """
     run = run or RunReport("brief")
-    if not check_volume(articles):
-        run.flags.append("too few articles")
-        raise RuntimeError("too few articles")
+
+    def guard(n: int) -> None:
+        run.counts["articles"] = n
+        try:
+            enough(n)
+        except RuntimeError as error:
+            run.flags.append(str(error))
+            raise
+
     out: dict[str, DataFrame] = {}
     with run.stage("cluster"):
-        events, seen = fresh_events(articles, as_of, history)
+        found: dict[str, int] = {}
+        events, seen = fresh_events(articles, as_of, history, guard=guard, found=found)
+        run.add("cluster", found)
         out["events"] = durable(majority_category(events, articles))
         if seen is not None:
             out["seen"] = seen
@@ -110,12 +137,16 @@ def brief(
         full = rep.full_texts(out["selected"], articles, texts) if texts is not None else None
         contexts = rep.event_contexts(out["selected"], articles, full).join(out["selected"].select("seq", "event_id"), "seq")
         made = durable(valid_analyses(analyse(contexts)))
+        run.take("analyse")
         if made.isEmpty():
             raise RuntimeError("no valid analysis")
         grounded = rep.ground_analyses(made, rep.source_texts(out["selected"], articles, full))
         if verify is not None:
             due = grounded.where((F.col("importance_score") >= params.RECHECK_SCORE) & (F.col("source_text") != ""))
-            grounded = rep.apply_checks(grounded, verify(due.select("seq", "title", "details", "source_text")))
+            # written once, so that no check is asked for again
+            checks = durable(verify(due.select("seq", "title", "details", "source_text")))
+            run.take("verify")
+            grounded = rep.apply_checks(grounded, checks)
         out["analyses"] = durable(grounded)
     with run.stage("report"):
         plain = out["analyses"].drop("flag", "check_flags", "source_text")
@@ -127,15 +158,15 @@ def brief(
         flags = out["analyses"].select("seq", "flag")
         if "check_flags" in out["analyses"].columns:
             flags = flags.union(out["analyses"].select("seq", F.explode("check_flags").alias("flag")))
-        out["report"] = rep.daily_report(out["items"], report_date(as_of), as_of, F.lit(summary).cast("string"), flags.where("flag IS NOT NULL"))
+        out["report"] = rep.daily_report(out["items"], report_date(as_of, zone), as_of, F.lit(summary).cast("string"), flags.where("flag IS NOT NULL"), zone)
         out["left_out"] = rep.left_out(plain, items)
     run.success = True
     return out
 
 
-def complete(articles: DataFrame, fetch: Callable[[DataFrame], DataFrame], as_of: Column) -> DataFrame:
-    """Articles with lacking categories filled up."""
-    return fill.backfill(articles, fetch, as_of)
+def complete(articles: DataFrame, fetch: Callable[[DataFrame], DataFrame], as_of: Column, ledger: str | None = None) -> DataFrame:
+    """Articles with lacking categories filled up; see ``backfill`` for the ledger."""
+    return fill.backfill(articles, fetch, as_of, ledger=ledger)
 
 
 def hottest(events: DataFrame, n: int = 10) -> DataFrame:

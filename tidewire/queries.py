@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import params
 from .functions import dates, jsontext, text, urls
-from .operators import backfill, cluster, dedup, filters, history, querygen, report, search, select, stats
-from .operators.graph import durable
+from .operators import backfill, cluster, dedup, extras, filters, history, querygen, report, search, select, stats
+from .operators.graph import durable, shared_folder
 from .operators.similarity import distinct_sets, similar_sets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +50,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(
         F.col("page_id").alias("seq"), urls.article_id(url).alias("article_id"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), "url",
         urls.source_domain(F.col("url")).alias("source_domain"), F.lit(None).cast("string").alias("source_name"), F.lit("").alias("content"),
-        F.substring(F.regexp_replace("html", "<[^>]*>", ""), 1, 200).alias("snippet"),
+        F.regexp_replace("html", "<[^>]*>", "").alias("snippet"),
         F.element_at(F.array(*[F.lit(c) for c in QUERY_CATEGORIES]), (F.col("page_id") % n + 1).cast("int")).alias("category"),
         F.when(F.col("page_id") % 7 != 0, as_of() - F.make_dt_interval(F.lit(0), (F.col("page_id") % 96).cast("int"))).alias("published_at"),
         F.lit(None).cast("string").alias("search_query"), F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "unknown"))), (F.col("page_id") % 4 + 1).cast("int")).alias("source_reliability"),
@@ -61,7 +61,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 ARTICLES = f"""articles AS (
   SELECT page_id AS seq, url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
     replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '') AS source_domain,
-    substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 200) AS snippet,
+    regexp_replace(html, '<[^>]*>', '', 'g') AS snippet,
     {list(QUERY_CATEGORIES)}[page_id % 5 + 1] AS category,
     CASE WHEN page_id % 7 <> 0 THEN TIMESTAMP '{AS_OF}' - to_hours(page_id % 96) END AS published_at,
     ['high', 'medium', 'low', 'unknown'][page_id % 4 + 1] AS source_reliability, 3 - page_id % 4 AS weight
@@ -255,6 +255,22 @@ def cross_day_first_hit(spark, sf):
     return hits.select("seq", F.date_format("hit_date", "yyyy-MM-dd").alias("hit_date"), "hit_title", "sim")
 
 
+#: The same result from a kept index: bucketed by bigram, with a day for each partition.
+@registered(SQL["cross_day_first_hit"])
+def cross_day_indexed(spark, sf):
+    import uuid
+
+    a = articles(spark, sf)
+    day = F.date_sub(F.lit("2024-01-10").cast("date"), (F.col("seq") % 5).cast("int"))
+    before = a.where("seq % 2 = 1").select(day.alias("report_date"), F.lit("events").alias("file"), F.col("seq").alias("pos"), F.col("title").alias("canonical_title"))
+    table = f"title_index_{uuid.uuid4().hex}"
+    history.open_index(spark, table, f"{shared_folder(spark)}/{table}")
+    history.index_titles(before, table)
+    today = a.where("seq % 2 = 0").select("seq", F.col("title").alias("canonical_title"))
+    hits = history.indexed_hits(today, table, F.lit("2024-01-10 06:00:00").cast("timestamp"), F.lit("2024-01-10").cast("date"))
+    return hits.select("seq", F.date_format("hit_date", "yyyy-MM-dd").alias("hit_date"), "hit_title", "sim")
+
+
 _NAMES = (("thatthe", "First"), ("tion", "Second"), ("ción", "Third"), ("heit", "Fourth"), ("eau", "Fifth"))
 _RULES = (("one", ("thhe", "ção")), ("two", ("heit", "schaft")), ("three", ("ción", "eau")), ("one", ("ing",)))
 
@@ -396,12 +412,12 @@ def result_normalize(spark, sf):
     return search.to_articles(results).select("seq", "article_id", "title", "content", "snippet", "category", "language", "source_reliability", "result_count")
 
 
-_PAGE_FIELDS = "page_id, url, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, trim(substr(regexp_replace(html, '<[^>]*>|[ \\n\\t]+', ' ', 'g'), 300, 80)) AS body FROM pages"
+_PAGE_FIELDS = "page_id, url, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\n\\t]+', ' ', 'g')) AS body FROM pages"
 
 
 def _markdown(spark, sf):
     """Five pages a response, written as search results."""
-    p = read(spark, sf, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), F.trim(F.substring(F.regexp_replace("html", r"<[^>]*>|[ \n\t]+", " "), 300, 80)).alias("body"))
+    p = read(spark, sf, "pages").select("page_id", "url", F.trim(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"), F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"[ \n\t]+", " ")).alias("body"))
     p = p.where("title <> '' AND body <> ''")
     item = F.concat(F.lit("\n### "), (F.col("page_id") % 5 + 1).cast("string"), F.lit(". "), F.col("title"), F.lit("\n- **URL**: "), F.col("url"), F.lit("\n- "), F.col("title"), F.lit(" – "), F.col("body"), F.lit("\n"))
     lists = p.groupBy(F.floor(F.col("page_id") / 5).cast("long").alias("batch_no")).agg(F.sort_array(F.collect_list(F.struct("page_id", item.alias("t")))).alias("l"), F.count("*").alias("n"))
@@ -489,6 +505,23 @@ t7 AS (SELECT *, row_number() OVER (ORDER BY score DESC, ms DESC, fs, seq) AS ra
 s AS (SELECT seq, category AS section_id, row_number() OVER (PARTITION BY category ORDER BY score DESC, seq) AS rank, title FROM a WHERE category <> 'sports' AND seq NOT IN (SELECT seq FROM top) QUALIFY rank <= 8)"""
 
 
+#: Row by row, with the number of items that each company has.
+@registered("""WITH RECURSIVE n AS (SELECT s_suppkey AS seq, CAST((s_suppkey * 37) % 101 AS DOUBLE) AS score, list_distinct([s_nationkey, (s_suppkey * 7) % 11 + 100, (s_suppkey * 5) % 17 + 200]) AS names FROM supplier),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS k FROM n),
+scan(k, seq, kept, used) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT o.k, o.seq, len(list_filter(o.names, lambda c: len(list_filter(used, lambda u: u = c)) >= 3)) = 0,
+    CASE WHEN len(list_filter(o.names, lambda c: len(list_filter(used, lambda u: u = c)) >= 3)) = 0 THEN list_concat(used, list_transform(o.names, lambda c: CAST(c AS BIGINT))) ELSE used END
+  FROM scan JOIN o ON o.k = scan.k + 1)
+SELECT seq FROM scan WHERE kept""")
+def limited_companies(spark, sf):
+    key = F.col("s_suppkey").cast("long")
+    names = F.array(*[x.cast("string") for x in (F.col("s_nationkey").cast("long"), key * 7 % 11 + 100, key * 5 % 17 + 200)])
+    items = read(spark, sf, "supplier").select(key.alias("seq"), ((key * 37) % 101).cast("double").alias("importance_score"), names.alias("companies_mentioned"))
+    return extras.limited_companies(items).select("seq")
+
+
 @registered(f"WITH {_ANALYSES} SELECT seq, category, score AS importance_score, rank FROM top")
 def report_top_news(spark, sf):
     return report.top_news(_analyses(spark, sf)).select("seq", "category", "importance_score", F.col("rank").cast("long").alias("rank"))
@@ -596,7 +629,7 @@ def valid_analyses(spark, sf):
 
 @registered(f"""WITH {ARTICLES}, m AS (SELECT seq // 10 AS g, row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) AS i, * FROM articles QUALIFY i <= 6)
 SELECT g AS seq, '## 事件：e' || g || chr(10) || '涉及公司：未知' || chr(10) || '来源：3 篇 / ' || (SELECT count(DISTINCT source_domain) FROM articles a WHERE a.seq // 10 = g) || ' 个域名' || chr(10) || '类型：None' || chr(10) || chr(10) || '### 相关文章：' || chr(10)
-  || string_agg('--- ' || i || '. [' || source_domain || '] ---' || chr(10) || '标题: ' || title || chr(10) || 'URL: ' || url || chr(10) || '摘要: ' || snippet || chr(10), chr(10) ORDER BY i) AS context FROM m GROUP BY g""")
+  || string_agg('--- ' || i || '. [' || source_domain || '] ---' || chr(10) || '标题: ' || title || chr(10) || 'URL: ' || url || chr(10) || '摘要: ' || substr(snippet, 1, {params.CONTEXT_SNIPPET_CHARS}) || chr(10), chr(10) ORDER BY i) AS context FROM m GROUP BY g""")
 def event_context(spark, sf):
     events, members = _domain_events(spark, sf)
     e = events.select("seq", "article_ids", "source_domains", F.concat(F.lit("e"), F.col("seq").cast("string")).alias("canonical_title"), F.lit(3).alias("article_count"),

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 from pathlib import Path
 from string import Template
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import durable
 from ..types import ARTICLE, EXPORTED
 
 
@@ -19,6 +21,43 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
 
 
+#: What an article cannot do without.
+REQUIRED = ("title", "url")
+
+
+def scan_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(articles, rejected): the elements of JSON arrays that fit the schema, and (file, pos, reason, record) of the others.
+
+    An element is judged by itself, so a bad one does not end the run: it may be no object, hold a value of another type, or
+    lack a title or URL. A file that is no JSON array is one rejected record. The table is written once and both are read from it.
+    """
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    parts = whole.select("file", "value", F.from_json("value", "array<string>").alias("parts"))
+    rows = parts.select("file", "value", F.posexplode_outer("parts").alias("pos", "record"))
+    bad = "_bad"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ARTICLE) + f", {bad} string"
+    read = rows.withColumn("a", F.from_json("record", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(f"a.{c}"), F.lit(""))) == "", F.lit(c)) for c in REQUIRED]))
+    reason = (
+        F.when(F.col("pos").isNull() & F.from_json("value", "array<string>").isNull(), "no JSON array").when(F.col("pos").isNull(), "empty array")
+        .when(F.col("record").isNull() | ~F.startswith(F.ltrim("record"), F.lit("{")), "no object").when(F.col(f"a.{bad}").isNotNull(), "value of another type")
+        .when(F.size(missing) > 0, F.concat(F.lit("without "), F.array_join(missing, ", ")))
+    )
+    judged = durable(read.withColumn("reason", reason).where(F.coalesce("reason", F.lit("")) != "empty array").select("file", "pos", "reason", F.coalesce("record", "value").alias("record"), "a", F.monotonically_increasing_id().alias("number")))
+    good = judged.where("reason IS NULL").select("number", "a.*").drop(bad).withColumn("seq", F.coalesce("seq", "number")).drop("number")
+    return good, judged.where("reason IS NOT NULL").select("file", "pos", "reason", "record")
+
+
+def quarantine(rejected: DataFrame, root: str, day: str) -> dict[str, int]:
+    """Append rejected records under root/report_date=…; returns how many there are for each reason."""
+    written = Observation()
+    reasons = ("no JSON array", "no object", "value of another type")
+    counts = [F.count_if(F.col("reason") == r).alias(r.replace(" ", "_")) for r in reasons]
+    marked = rejected.observe(written, F.count(F.lit(1)).alias("records"), F.count_if(F.startswith("reason", F.lit("without "))).alias("incomplete"), *counts)
+    marked.withColumn("report_date", F.lit(day).cast("date")).write.partitionBy("report_date").mode("append").parquet(root)
+    return written.get
+
+
 def write_articles(articles: DataFrame, root: str) -> None:
     """Under root/report_date=…, in order of seq within files; days written again are replaced."""
     day = articles if "report_date" in articles.columns else articles.withColumn("report_date", F.to_date("fetched_at"))
@@ -54,8 +93,34 @@ def read_event_table(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """The report as JSON, replacing an older one of that path."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """The report as JSON in the folder ``path``, published at once: an older one stays whole until the new one is.
+
+    It is written beside, read again and counted; then the older one is moved away, the new one takes its place, and the older
+    one goes. If the last move fails the older one moves back.
+    """
+    spark = report.sparkSession
+    mark = uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = Observation()
+    try:
+        report.observe(written, F.count(F.lit(1)).alias("n")).coalesce(1).write.json(new)
+        n = written.get["n"]
+        if not n or spark.read.schema(report.schema).json(new).count() != n:
+            raise RuntimeError(f"the report was not written whole: {path}")
+        before = system.exists(place(path))
+        if before and not system.rename(place(path), place(old)):
+            raise RuntimeError(f"the older report cannot be moved: {path}")
+        if not system.rename(place(new), place(path)):
+            if before:
+                system.rename(place(old), place(path))
+            raise RuntimeError(f"the report cannot be moved into place: {path}")
+        if before:
+            system.delete(place(old), True)
+    finally:
+        if system.exists(place(new)):
+            system.delete(place(new), True)
 
 
 _PAGE = Template("""<!DOCTYPE html>

@@ -14,10 +14,12 @@ import urllib.request
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import params
+from ..operators.filters import count_searches
+from ..operators.graph import durable
 from ..operators.search import match_batches, parse_results, split_batches
 
 Service = Callable[[list[tuple[str, int]]], str]
@@ -62,7 +64,7 @@ class RpcService:
 
 
 def answers(queries: DataFrame, service: Service, batch_size: int = params.SEARCH_BATCH, pause: float = 0.5, tasks: int = 1) -> DataFrame:
-    """(batch_no, markdown, error, latency_ms) for batches of queries (dense seq from 0); a failed batch is tried twice."""
+    """(batch_no, markdown, error, latency_ms, attempts) for batches of queries (dense seq from 0); a failed batch is tried twice."""
     slots = queries.select(F.floor(F.col("seq") / batch_size).cast("long").alias("batch_no"), "seq", "query", "max_results")
 
     def run(frames):
@@ -72,14 +74,15 @@ def answers(queries: DataFrame, service: Service, batch_size: int = params.SEARC
                 asked = list(zip(part["query"], part["max_results"].astype(int), strict=True))
                 if not first:
                     time.sleep(pause)
-                first, text, error, began = False, None, None, time.time()
+                first, text, error, began, attempts = False, None, None, time.time(), 0
                 for _ in range(2):
+                    attempts += 1
                     try:
                         text, error = service(asked), None
                         break
                     except Exception as e:  # noqa: BLE001  a service may fail in any way; the row says how
                         error = str(e)
-                yield pd.DataFrame({"batch_no": [batch_no], "markdown": [text], "error": [error], "latency_ms": [int(1000 * (time.time() - began))]})
+                yield pd.DataFrame({"batch_no": [batch_no], "markdown": [text], "error": [error], "latency_ms": [int(1000 * (time.time() - began))], "attempts": [attempts]})
 
     # rows of a batch must arrive together
     dealt = slots.repartition(tasks, "batch_no").sortWithinPartitions("batch_no", "seq")
@@ -90,19 +93,27 @@ def answers(queries: DataFrame, service: Service, batch_size: int = params.SEARC
             rows = [{"batch_no": b, "seq": x["seq"], "query": x["query"], "max_results": x["max_results"]} for b, q in zip(frame["batch_no"], frame["q"], strict=True) for x in q]
             yield from run([pd.DataFrame(rows)] if rows else [])
 
-    return whole.mapInPandas(run_lists, "batch_no bigint, markdown string, error string, latency_ms bigint")
+    return whole.mapInPandas(run_lists, "batch_no bigint, markdown string, error string, latency_ms bigint, attempts bigint")
 
 
-def search(queries: DataFrame, service: Service, as_of: Column, batch_size: int = params.SEARCH_BATCH, pause: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, service: Service, as_of: Column, batch_size: int = params.SEARCH_BATCH, pause: float = 0.5, counts: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(responses, results): one response for each query, matched by position, and the parsed results.
 
-    All queries of a failed batch carry its error; a missing block gives "No result in batch response".
+    All queries of a failed batch carry its error; a missing block gives "No result in batch response". Answers are written
+    once, so no batch is asked for again. ``counts`` gets batches, calls, retries, failed and milliseconds, and total and
+    good responses, all observed while the tables are written.
     """
-    raw = answers(queries, service, batch_size, pause)
+    asked = Observation()
+    sums = [F.coalesce(x, F.lit(0)).alias(k) for k, x in (("calls", F.sum("attempts")), ("retries", F.sum(F.col("attempts") - 1)), ("milliseconds", F.sum("latency_ms")))]
+    raw = durable(answers(queries, service, batch_size, pause).observe(asked, F.count(F.lit(1)).alias("batches"), F.count_if(F.col("error").isNotNull()).alias("failed"), *sums))
     blocks = split_batches(raw.where("markdown IS NOT NULL").select("batch_no", "markdown"))
     matched = match_batches(queries, blocks, batch_size)
     failed = raw.where("error IS NOT NULL").select(F.col("batch_no").alias("__b"), F.col("error").alias("__e"))
     responses = matched.join(failed, F.col("batch_no") == F.col("__b"), "left").withColumn("error", F.coalesce("__e", "error")).drop("__b", "__e")
+    responses, seen = count_searches(responses)
+    responses = durable(responses)
+    if counts is not None:
+        counts |= asked.get | seen.get
     found = parse_results(responses.where("error IS NULL").select("seq", "query", "batch_id", "markdown"), as_of)
     results = found.withColumn("query_origin", F.col("query")).withColumn("seq", F.col("seq") * F.lit(1000) + F.col("pos")).withColumn("fetched_at", as_of)
     return responses.drop("markdown"), results
