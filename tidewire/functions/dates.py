@@ -15,11 +15,8 @@ def safe_date(year: Column, month: Column, day: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1 to 12 by the first three letters; null if they name no month."""
-    low = F.lower(F.substring(name, 1, 3))
-    out = F.lit(None).cast("int")
-    for k, m in enumerate(params.MONTHS, 1):
-        out = F.when(low == m, F.lit(k)).otherwise(out)
-    return out
+    place = F.array_position(F.array(*map(F.lit, params.MONTHS)), F.lower(F.substring(name, 1, 3)))
+    return F.nullif(place.cast("int"), F.lit(0))
 
 
 def flexible_date(value: Column) -> Column:
@@ -32,8 +29,9 @@ def flexible_date(value: Column) -> Column:
     return F.coalesce(zoned, plain, safe_date(g(3), month_number(g(1)), g(2)))
 
 
-def _found(text: Column, pattern: str, order: tuple[int, int, int], named: bool) -> Column:
+def _found(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     """All calendar days that a pattern finds; ``order`` says which groups hold year, month and day (0: the first)."""
+    named = "[A-Za-z]" in pattern or "Jan|" in pattern
 
     def day(match: Column) -> Column:
         y, m, d = (F.regexp_extract(match, pattern, k) if k else F.lit("1") for k in order)
@@ -44,25 +42,25 @@ def _found(text: Column, pattern: str, order: tuple[int, int, int], named: bool)
 
 def published_date(url: Column, text: Column, as_of: Column) -> Column:
     """Publication date from the URL, else the latest plausible day in the text, else an old month."""
-    low = as_of - F.expr(f"INTERVAL {params.DATE_WINDOW_DAYS} DAYS")
-    high = as_of + F.expr(f"INTERVAL {params.DATE_AHEAD_DAYS} DAYS")
-    stale = as_of - F.expr(f"INTERVAL {params.STALE_MONTH_DAYS} DAYS")
-    valid = lambda t: F.when(t.between(low, high), t)
-
-    def of_url(pattern: str) -> Column:
-        part = [F.nullif(F.regexp_extract(url, pattern, k), F.lit("")) for k in (1, 2, 3)]
-        return valid(safe_date(*part))
-
-    dash = _found(text, r"(20\d{2})-(\d{1,2})-(\d{1,2})", (1, 2, 3), False)
-    name = _found(text, r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(20\d{2})", (3, 1, 2), True)
-    han = _found(text, r"(20\d{2})年(\d{1,2})月(\d{1,2})日", (1, 2, 3), False)
-    days = F.filter(F.concat(dash, name, han), lambda t: t.between(low, high))
-    han_month = _found(text, r"(20\d{2})年(\d{1,2})月(?!\d)", (1, 2, 0), False)
-    name_month = _found(text, r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*)\s+(20\d{2})\b", (2, 1, 0), True)
-    months = F.filter(F.concat(han_month, name_month), lambda t: t < stale)
-    return F.coalesce(
-        of_url(r"/(20\d{2})[-/](\d{1,2})[-/](\d{1,2})"), of_url(r"/(20\d{2})(\d{2})(\d{2})(?:/|$)"), F.array_max(days), F.array_max(months)
-    )
+
+    def dated(x: Column) -> Column:
+        low = x["now"] - F.expr(f"INTERVAL {params.DATE_WINDOW_DAYS} DAYS")
+        high = x["now"] + F.expr(f"INTERVAL {params.DATE_AHEAD_DAYS} DAYS")
+        stale = x["now"] - F.expr(f"INTERVAL {params.STALE_MONTH_DAYS} DAYS")
+
+        def of_url(pattern: str) -> Column:
+            # the groups are cut out of the match, not out of the URL again
+            found = F.regexp_extract(x["url"], pattern, 0)
+            day = safe_date(*[F.regexp_extract(found, pattern, k) for k in (1, 2, 3)])
+            return F.when(found != "", F.transform(F.array(day), lambda t: F.when(t.between(low, high), t))[0])
+
+        days = F.filter(F.concat(*[_found(x["text"], *p) for p in params.DAY_PATTERNS]), lambda t: t.between(low, high))
+        months = F.filter(F.concat(*[_found(x["text"], *p) for p in params.MONTH_PATTERNS]), lambda t: t < stale)
+        # every pattern for texts has a year of this century
+        of_text = F.when(F.contains(x["text"], F.lit("20")), F.coalesce(F.array_max(days), F.array_max(months)))
+        return F.coalesce(*[of_url(p) for p in params.URL_DATES], of_text)
+
+    return F.transform(F.array(F.struct(url.alias("url"), text.alias("text"), as_of.alias("now"))), dated)[0]
 
 
 def report_date(now: Column, zone: str = params.REPORT_TIMEZONE) -> Column:

@@ -18,21 +18,31 @@ def _braces(text: Column) -> Column:
     return F.when((start > 0) & (F.locate("}", text) > 0) & (end > start), F.substring(text, start, end - start + 1))
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _first_object(text: Column) -> Column:
-    """From the first brace to the one that closes it; braces in strings do not count. Null without such."""
-    chars = F.split(F.substring(text, F.locate("{", text), F.length(text)), "")
+    """From the first brace to the one that closes it; braces in strings do not count. Null without such.
+
+    The fold goes over braces, quotes and backslashes and over what stands between them, not over characters.
+    """
+    parts = F.regexp_extract_all(F.substring(text, F.locate("{", text), F.length(text)), F.lit(r'[{}"\\]|[^{}"\\]+'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(s: Column, c: Column) -> Column:
-        opens, closes = ~s["quoted"] & (c == "{"), ~s["quoted"] & (c == "}")
-        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        closes = ~s["quoted"] & (c == "}")
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
         quoted = F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
-        at = s["at"] + 1
-        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), at.alias("at"), F.when(closes & (depth == 0), at).otherwise(0).alias("end"))
-        return F.when(s["end"] > 0, s).otherwise(moved)
+        at = s["at"] + F.length(c)
+        return F.when(s["end"] > 0, s).otherwise(F.struct(
+            depth.alias("depth"), quoted.alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), at.alias("at"),
+            F.when(closes & (depth == 0), at).otherwise(0).alias("end"),
+        ))
 
-    end = F.aggregate(chars, start, step, lambda s: s["end"])
-    return F.when((F.locate("{", text) > 0) & (end > 0), F.substring(text, F.locate("{", text), end))
+    cut = lambda end: F.when(end > 0, F.substring(text, F.locate("{", text), end))
+    return F.when(F.locate("{", text) > 0, _bound(F.aggregate(parts, start, step, lambda s: s["end"]), cut))
 
 
 def extract_json_strict(text: Column) -> Column:
@@ -47,10 +57,17 @@ def extract_json(text: Column) -> Column:
     t = F.trim(text)
     fence = r"(?is)```json\s*(.*?)\s*```"
     t = F.when(F.rlike(t, F.lit(fence)), F.trim(F.regexp_extract(t, fence, 1))).otherwise(t)
-    whole, first = F.coalesce(_braces(t), t), _first_object(t)
     repaired = lambda x: _valid(F.regexp_replace(x, r",(\s*[}\]])", "$1"))
-    # the parser does not mind what follows a value, so the first object goes first
-    return F.coalesce(_valid(first), repaired(first), _valid(whole), repaired(whole))
+    closing = lambda x: F.length(x) - F.length(F.replace(x, F.lit("}")))
+
+    def found(x: Column) -> Column:
+        whole = _bound(F.coalesce(_braces(x), x), lambda w: F.coalesce(_valid(w), repaired(w)))
+        # the parser does not mind what follows a value, so the first object goes first
+        first = _bound(_first_object(x), lambda f: F.coalesce(_valid(f), repaired(f)))
+        # with one closing brace the first object is the whole, or there is none
+        return F.when(closing(x) <= 1, whole).otherwise(F.coalesce(first, whole))
+
+    return _bound(t, found)
 
 
 def is_grounded(value: Column, text: Column) -> Column:

@@ -10,16 +10,13 @@ from ..functions.dates import published_date
 from ..functions.text import clean_snippet, language, strip
 from ..functions.urls import article_id, canonical_url, reliability, result_id, source_domain
 
-_RESULT = r"(?s)###\s+\d+\.\s+(.+?)\n-\s+\*\*URL\*\*:\s+(\S+)\n-\s+(.*?)(?=\n###\s+\d+\.|\n##\s|$)"
-
-
 def parse_results(responses: DataFrame, as_of: Column, text: str = "markdown") -> DataFrame:
     """One row for each result in a Markdown response; the other columns stay, total_found and pos are added."""
-    total = F.coalesce(F.nullif(F.regexp_extract(text, r"\((\d+)\s+results", 1), F.lit("")).cast("int"), F.lit(0))
+    total = F.coalesce(F.nullif(F.regexp_extract(text, params.RESULT_COUNT, 1), F.lit("")).cast("int"), F.lit(0))
     rows = responses.withColumn("total_found", total)
     keep = [F.col(c) for c in rows.columns if c != text]
-    rows = rows.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_RESULT), F.lit(0))).alias("pos", "__m"))
-    g = lambda k: strip(F.regexp_extract("__m", _RESULT, k))
+    rows = rows.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(params.RESULT_PATTERN), F.lit(0))).alias("pos", "__m"))
+    g = lambda k: strip(F.regexp_extract("__m", params.RESULT_PATTERN, k))
     rows = rows.withColumns({"title": g(1), "url": g(2)}).withColumn("snippet", clean_snippet(g(3), F.col("title")))
     return rows.withColumns({
         "source_domain": source_domain(F.col("url")),
@@ -30,8 +27,8 @@ def parse_results(responses: DataFrame, as_of: Column, text: str = "markdown") -
 
 def split_batches(responses: DataFrame, text: str = "markdown") -> DataFrame:
     """One row for each query block of a batched response: pos, query_text and its Markdown; other columns stay."""
-    blocks = F.split(F.col(text), r"\n## Query \d+:\s+", -1)
-    leads = F.startswith(F.col(text), F.lit("## Query 1:"))
+    blocks = F.split(F.col(text), params.QUERY_HEAD, -1)
+    leads = F.startswith(F.col(text), F.lit(params.FIRST_QUERY))
     # without the prefix the first block is dropped, if it is not alone
     drop = (~leads & (F.size(blocks) > 1)) | (leads & (blocks[0] == ""))
     kept = F.filter(F.when(drop, F.slice(blocks, F.lit(2), F.greatest(F.size(blocks) - 1, F.lit(1)))).otherwise(blocks), lambda b: strip(b) != "")

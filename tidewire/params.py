@@ -60,6 +60,21 @@ OFFICIAL_KEYWORDS = ("openai.com", "anthropic.com", "nvidia.com", "gov", "gov.cn
 CJK = "[一-鿿]"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
+#: Dates in URLs (year, month, day), and in texts with the groups that hold year, month and day (0: the first day).
+URL_DATES = (r"/(20\d{2})[-/](\d{1,2})[-/](\d{1,2})", r"/(20\d{2})(\d{2})(\d{2})(?:/|$)")
+DAY_PATTERNS = (
+    (r"(20\d{2})-(\d{1,2})-(\d{1,2})", (1, 2, 3)),
+    (r"([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(20\d{2})", (3, 1, 2)),
+    (r"(20\d{2})年(\d{1,2})月(\d{1,2})日", (1, 2, 3)),
+)
+MONTH_PATTERNS = (
+    (r"(20\d{2})年(\d{1,2})月(?!\d)", (1, 2, 0)),
+    (r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*)\s+(20\d{2})\b", (2, 1, 0)),
+)
+#: A result in a Markdown response (title, URL, body), and what separates the answers of a batch.
+RESULT_PATTERN = r"(?s)###\s+\d+\.\s+(.+?)\n-\s+\*\*URL\*\*:\s+(\S+)\n-\s+(.*?)(?=\n###\s+\d+\.|\n##\s|$)"
+RESULT_COUNT, QUERY_HEAD, FIRST_QUERY = r"\((\d+)\s+results", r"\n## Query \d+:\s+", "## Query 1:"
+
 BACKFILL_QUERIES = {
     "funding": (
         "AI startup funding round this week",
