@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewire.llm import near_copies, queries, stages
 
-from .test_operators import brute_hits, brute_secrets, brute_simhash, low
+from .test_operators import brute_hits, brute_secrets, low
 
 
 def table(rows):
@@ -27,16 +27,6 @@ def test_stages(spark, sf):
     kept = stages.quality_stage(spark, docs, sf)
     assert kept.columns == columns and 0 < kept.count() <= docs.count()
 
-    one = stages.near_duplicate_stage(spark, docs, sf)
-    rows = docs.select("doc_id", "text").distinct().orderBy("doc_id").collect()
-    prints, chosen = [(r["doc_id"], brute_simhash(r["text"])) for r in rows], []
-    groups: list[list] = []
-    for p in prints:
-        near = [g for g in groups if any((p[1] ^ q[1]).bit_count() <= 2 for q in g)]
-        groups = [g for g in groups if g not in near] + [[p, *sum(near, [])]]
-    chosen = sorted(min(g)[0] for g in groups)
-    assert one.columns == columns and sorted(r["doc_id"] for r in one.collect()) == chosen
-
     clean = stages.decontamination_stage(spark, docs, sf)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert table(clean.collect()) == table(r for r in docs.collect() if not brute_hits(r["text"], items, 10)[1])
@@ -151,7 +141,7 @@ def test_clashing_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     names = "__id __n __k1 k1 number own row c_source c_lang __tokens __source __lang __topic __draw __rate __expected __copies __base __assign __random __spans fp d s label node th unit words".split()
     odd = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
-    for f in [f for _, f in corpus_pipeline.STAGES] + [stages.near_duplicate_stage]:
+    for f in [f for _, f in corpus_pipeline.STAGES]:
         out = f(spark, odd, sf)
         assert out.columns[: len(odd.columns)] == odd.columns
         for r in out.collect():
@@ -185,5 +175,5 @@ def test_queries_run(spark, sf, name):
 
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
-    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and len([q for q in entry.queries() if q.startswith("op")]) == 13
     assert os.path.exists("corpus_pipeline.py") or corpus_pipeline.__file__

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidewire.llm import periodic, structure, token_counts
+from tidewire.llm import brown, common, line_dedup, near_copies, periodic, structure, token_counts
 from tidewire.llm.queries import QUERIES
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -25,6 +25,35 @@ def crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
+def parities(n, a, b):
+    """Thue and Morse's order of a and b, and its complement: a polynomial modulo a power of two cannot tell them apart."""
+    order = [k.bit_count() & 1 for k in range(n)]
+    return [(a, b)[x] for x in order], [(b, a)[x] for x in order]
+
+
+@pytest.mark.parametrize("n", [8, 64, 512, 1024, 4096])
+def test_hashes_of_words_and_lines_without_a_pattern(spark, n):
+    words = ["".join(x) for x in parities(n, "a", "b")]
+    lines = [" ".join(x) for x in parities(n, "ux", "vy")]
+    h = common.hashed_words(" ".join(words).encode())[0]
+    assert h[0] != h[1]
+    docs = spark.createDataFrame([(1, lines[0]), (2, lines[1]), (3, lines[0])], "doc_id bigint, text string")
+    gone = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, min_line_words=5, min_run_words=10 * n).collect()}
+    assert gone == {1: 0, 2: 0, 3: 1}
+    table = spark.createDataFrame([(k, w, "en", "s", n) for k, w in enumerate(words)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    assert near_copies.without_near_copies(table).count() == 2
+    rows = [(k, words[0]) for k in range(3)] + [(k, words[1]) for k in range(3, 9)]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
+    learned = [t for k, t in rows if crc(str(k)) % 7 != 2]
+    total, kinds = 2 * len(learned), 1 + len(set(learned))
+    more = spark.createDataFrame([(100, f"{words[0]} {words[1]}c")], corpus.schema)
+    for r in brown.score(corpus.union(more), brown.fit(corpus)).collect():
+        own = [words[0], words[1] + "c"] if r["doc_id"] == 100 else [dict(rows)[r["doc_id"]]]
+        counts = [*(learned.count(w) for w in own), len(learned)]
+        assert (r["n_known"], r["train_tokens"]) == (sum(c > 0 for c in counts), total)
+        assert abs(r["base_score"] - sum(np.log10((c + 1) / (total + kinds + 1)) for c in counts)) < 1e-9
+
+
 # ---- 11
 
 

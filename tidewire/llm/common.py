@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, durable, local_roots
 
-__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "batches_of", "byte_sizes", "components", "crc_mod", "durable", "filter_by_text", "free_names", "hashed_words", "local_roots", "mixed", "read", "slices", "spaced_words", "texts", "whole_row"]
+__all__ = ["SPACED_BYTES", "WORD_BYTES", "alnum_words", "batches_of", "byte_sizes", "components", "crc_mod", "durable", "filter_by_text", "free_names", "give_back", "hashed_words", "local_roots", "mixed", "read", "slices", "spaced_words", "texts", "whole_row"]
 
 #: Maps A-Z to a-z, keeps digits, a-z and every byte of 0x80 and above, and turns all else into a space.
 WORD_BYTES = bytes(
@@ -28,12 +30,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def slices(batches, rows: int = 500):
     """Arrow batches in parts of few rows, so that what is made of texts at once is small; memory goes back at the end."""
-    import pyarrow as pa
-
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the machine, since idle workers stay beside the heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts(batch) -> list[bytes]:
@@ -97,9 +111,8 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
-#: Base of the polynomial hash of a word's bytes, and how many bytes of a text are hashed at once.
-BASE, SEGMENT = 0x9E3779B97F4A7C15, 1 << 20
-_POWERS = [np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed at once, and the longest word that is hashed by its table.
+SEGMENT, TABLED = 1 << 20, 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,8 +123,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte at each place of a word; places and bytes are told apart by numbers without a pattern.
+_TABLE = mixed(np.arange(1, TABLED * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def hashed_words(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, first bytes and ends of the words of a text whose separators are spaces; no step is taken word by word."""
+    """64-bit hashes, first bytes and ends of the words of a text whose separators are spaces; no step is taken word by word.
+
+    A word's hash is the sum of its bytes' numbers, which depend on the place (tabulation); a word longer than ``TABLED`` bytes
+    has its BLAKE2b digest. So no words collide by their form, as they would under a polynomial modulo a power of two.
+    """
     if len(plain) > SEGMENT and (cut := plain.rfind(b" ", 0, SEGMENT) + 1 or plain.find(b" ", SEGMENT) + 1):
         parts, at = [], 0
         while at < len(plain):
@@ -133,13 +154,12 @@ def _hashed(plain: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), starts, ends
     size = ends - starts
     begins = np.cumsum(size) - size
-    most = int(size.max())
-    if len(_POWERS[0]) < most:
-        with np.errstate(over="ignore"):
-            _POWERS[0] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * most, BASE, np.uint64))))
+    place = np.minimum(np.arange(begins[-1] + size[-1]) - np.repeat(begins, size), TABLED - 1)
     with np.errstate(over="ignore"):
-        terms = (raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)) * _POWERS[0][np.arange(begins[-1] + size[-1]) - np.repeat(begins, size)]
-        return mixed(np.add.reduceat(terms, begins)), starts, ends
+        h = mixed(np.add.reduceat(_TABLE[place * 256 + raw[inside[1:-1]]], begins))
+    for k in np.flatnonzero(size > TABLED).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(plain[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return h, starts, ends
 
 
 def alnum_words(text: bytes) -> list[bytes]:

@@ -49,25 +49,21 @@ def reach_of(min_run_words: int) -> int:
     return max(2, 2 * min_run_words // 5)
 
 
-class Powers:
-    """Powers of the two bases of sequence hashes."""
-
-    def __init__(self):
-        self.tables = [np.ones(1, np.uint64) for _ in BASES]
-
-    def digests(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit hashes of each sequence of h[start:end]; sequences are in order and do not overlap."""
-        size = ends - starts
-        most = int(size.max())
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        out = []
-        with np.errstate(over="ignore"):
-            for k, base in enumerate(BASES):
-                if len(self.tables[k]) < most:
-                    self.tables[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * most, base, np.uint64))))
-                terms = (h if k == 0 else mixed(h))[at] * self.tables[k][at - np.repeat(starts, size)]
-                out.append(np.add.reduceat(terms, np.cumsum(size) - size).view(np.int64))
-        return out
+def digests(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each sequence of h[start:end]; sequences are in order and do not overlap.
+
+    A word's part in the sum is mixed with its place, so sequences do not collide by the order of their words.
+    """
+    size = ends - starts
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    words = h[np.repeat(starts, size) + place]
+    out = []
+    with np.errstate(over="ignore"):
+        for base in BASES:
+            terms = mixed(words + (place + 1).astype(np.uint64) * np.uint64(base))
+            out.append(np.add.reduceat(terms, np.cumsum(size) - size).view(np.int64))
+            words = mixed(words)
+    return out
 
 
 class Cut:
@@ -113,7 +109,6 @@ def _units(min_line_words: int, reach: int):
     """A row for each unit; paragraph k is unit 2k, line k is unit 2k + 1."""
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             held: list[tuple] = []
             rows = 0
@@ -123,7 +118,7 @@ def _units(min_line_words: int, reach: int):
                     lines = cut.lines(min_line_words)
                     for kind, (a, b) in enumerate(((cut.cuts[:-1], cut.cuts[1:]), lines)):
                         if len(a):
-                            d1, d2 = powers.digests(cut.h, a, b)
+                            d1, d2 = digests(cut.h, a, b)
                             # lines and paragraphs of the same words are not repeats of each other
                             held.append((d1, ~d2 if kind else d2, np.full(len(a), k), 2 * np.arange(len(a)) + kind, b - a))
                             rows += len(a)
