@@ -340,6 +340,17 @@ def test_borders_wherever_they_fall(pieces):
         assert got == expected
 
 
+def test_structure_sql_of_random_turns():
+    """The SQL against trying everything, with nulls, odd roles and repeated rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    rows = list({(c, t): (c, t, r, x) for c, t, r, x in random_turns(6, 200)}.values())
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(structure.structure_sql()).fetchall(), key=repr) == brute_op13(rows)
+
+
 def test_structure_of_the_table(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     rows = [tuple(r) for r in turns.select("conv_id", "turn", "role", "text").collect()]

@@ -16,7 +16,7 @@ from .quality import op10_quality
 from .roles import op3_role_repair, role_sql
 from .secrets import op9_secrets
 from .simhash import op7_simhash_dedup
-from .structure import op13_structure_repair
+from .structure import op13_structure_repair, structure_sql
 from .token_counts import op12_token_counts
 from .toxicity import op5_toxicity
 
@@ -39,4 +39,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_role_repair": role_sql(), "op4_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_role_repair": role_sql(), "op4_mixing": mixing_sql(), "op13_structure_repair": structure_sql()}

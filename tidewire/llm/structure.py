@@ -502,3 +502,62 @@ def damaged(turns: DataFrame) -> DataFrame:
 
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_report(damaged(read(spark, sf_dir, "conversations")), there_col="there")
+
+
+def structure_sql(costs: dict[str, int] | None = None) -> str:
+    """DuckDB SQL of the query: crc32 byte by byte, then the program turn by turn with audits written out."""
+    known = Costs(COSTS | (costs or {}))
+    c = known.costs
+    line = lambda q: f"chr(10) || '{NAMES[q]}:'"
+    steps = []
+    for initial in ("s", "u", "a", ""):
+        for p, q, extra, letters in known.of(initial, False):
+            name = LETTERS[letters]
+            before = " || ".join(line(x) for x in BETWEEN[p, q]) or "''"
+            role = "NULL" if name[-1] == "K" else f"'{NAMES[q]}'"
+            steps.append(f"('{initial}', {p}, {q}, {extra + c['delete']}, '{name}', {before}, {role})")
+    behind = ", ".join(f"({q}, {c['insert'] * len(x)}, '{'I' * len(x)}', {' || '.join(line(y) for y in x) or chr(39) * 2})" for q, x in enumerate(BEHIND))
+    return f"""
+WITH RECURSIVE crcs AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i))
+), named AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+coded AS MATERIALIZED (
+  SELECT n.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda k: ascii(substr(name, k, 1))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS code FROM named AS n, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), turns AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, k, substr(role, 1, 1) AS i, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before
+  FROM placed
+), steps(i, p, q, cost, letters, inserted, role) AS (VALUES {", ".join(steps)}),
+way AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, {START} AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS text FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT conv_id, k, q, cost, audit, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS place FROM (
+      SELECT w.conv_id, t.k, w.q, w.cost + {c["delete"]} AS cost, w.audit || 'D' AS audit, w.text
+      FROM way AS w JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1
+      UNION ALL
+      SELECT w.conv_id, t.k, s.q, w.cost + s.cost + CASE WHEN t.fault = 'truncated' THEN {c["truncated"]} ELSE 0 END, w.audit || s.letters, w.text || s.inserted || chr(10) || coalesce(s.role, t.role) || ':' || t.text
+      FROM way AS w JOIN turns AS t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.k = w.k + 1
+        JOIN steps AS s ON s.i = CASE WHEN t.i IN ('s', 'u', 'a') THEN t.i ELSE '' END AND s.p = w.q WHERE t.fault NOT IN ('blank', 'duplicate'))
+  ) WHERE place = 1
+), behind(q, cost, letters, inserted) AS (VALUES {behind}),
+best AS (
+  SELECT w.conv_id, w.cost + b.cost AS cost, w.audit || b.letters AS audit, w.text || b.inserted AS text,
+    row_number() OVER (PARTITION BY w.conv_id ORDER BY w.k DESC, w.cost + b.cost, w.audit || b.letters) AS place FROM way AS w JOIN behind AS b ON b.q = w.q
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(b.text, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.place = 1
+"""
