@@ -291,3 +291,34 @@ def repeating(docs: DataFrame) -> DataFrame:
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(repeating(read(spark, sf_dir, "documents"))))
+
+
+#: DuckDB SQL of the query. A run of period q repeats five words or more at distance q, so pairs of equal five words, in rows without
+#: a gap, give all stretches of period q; of those over the same words the least period counts.
+OP11_SQL = f"""
+WITH crcs AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i))
+), coded AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM documents, crcs
+), placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM coded),
+sized AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed),
+texts AS MATERIALIZED (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM sized
+), word AS MATERIALIZED (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM texts WHERE n > 0),
+fives AS MATERIALIZED (
+  SELECT r, n, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS five FROM word WINDOW o AS (PARTITION BY r ORDER BY i)
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM fives AS x JOIN fives AS y ON x.r = y.r AND x.five = y.five AND y.i > x.i AND {MIN_PERIODS} * (y.i - x.i) <= x.n
+), islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT r, q, min(i) AS s, max(i) + 5 + q AS e FROM islands GROUP BY r, q, island),
+runs AS MATERIALIZED (SELECT r, s, e, min(q) AS q FROM stretches WHERE e - s >= greatest({MIN_WORDS}, {MIN_PERIODS} * q) GROUP BY r, s, e),
+listed AS (SELECT r, count(*) AS n_runs, sha256(string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM runs GROUP BY r),
+longest AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY e - s DESC, s, q) AS place FROM runs),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (SELECT word.r, sha256(string_agg(x, ' ' ORDER BY word.i)) AS collapsed_sha256 FROM word LEFT JOIN gone ON gone.r = word.r AND gone.i = word.i WHERE gone.i IS NULL GROUP BY word.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, e - s AS length, q AS period, 1000 * (e - s) // q AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256,
+  coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM texts AS t LEFT JOIN listed AS l ON l.r = t.r LEFT JOIN longest AS b ON b.r = t.r AND b.place = 1 LEFT JOIN kept AS k ON k.r = t.r
+"""

@@ -11,7 +11,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_dedup
 from .line_dedup import op8_line_dedup
 from .mixing import mixing_sql, op4_mixing
-from .periodic import op11_periodic_runs
+from .periodic import OP11_SQL, op11_periodic_runs
 from .quality import op10_quality
 from .roles import op3_role_repair, role_sql
 from .secrets import op9_secrets
@@ -39,4 +39,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_role_repair": role_sql(), "op4_mixing": mixing_sql(), "op13_structure_repair": structure_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_role_repair": role_sql(), "op4_mixing": mixing_sql(), "op11_periodic_runs": OP11_SQL, "op13_structure_repair": structure_sql()}
