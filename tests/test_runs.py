@@ -274,3 +274,38 @@ def test_a_whole_run(spark, tmp_path, capsys):
     assert main(["collect", str(config), *common, "--out", out], settings=Settings()) == 1
     assert "TIDEWIRE_SEARCH_URL" in capsys.readouterr().err
     assert isinstance(daily.RunReport("x").watch("y"), Observation)
+
+
+def test_table_functions(spark):
+    """SQL table functions give the rows of the operators, for odd responses too."""
+    from tidewire.operators import search as operators
+    from tidewire.sources import tablefunctions
+
+    item = "\n### {k}. {t}\n- **URL**: {u}\n- {b}\n"
+    texts = [
+        "## Search Results (2 results, 3ms)\n" + item.format(k=1, t=" A title\u3000", u="https://www.e.com:80/x", b="A title – 🚨 now REGISTER NOW. rest\nmore") + item.format(k=2, t="B", u="no-url", b="Posted by x, 2026 - body\u00a0"),
+        "\n## Query 1: one\n\n" + item.format(k=1, t="T", u="http://a.b/c", b="FLASH SALE today register now") + "\n## Query 2:  two \n", "## Query 1: lone\nbody", "lead\n## Query 1: a\nx\n## Query 2: b", "", None,
+        item.format(k=9, t="É\x85", u="HTTPS://E.com/É?q", b="line one\r\nline two\x0b"), "### 1. broken\n- **URL**: \n- x", "(12345678901 results)" + item.format(k=1, t="t", u="u", b="(7 results"),
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "id bigint, markdown string").repartition(3).createOrReplaceTempView("responses")
+    tablefunctions.register_parsers(spark)
+    columns = ["id", "pos", "total_found", "title", "url", "snippet", "source_domain", "result_id"]
+    table_ = spark.table("responses").where("id <> 8")
+    want = operators.parse_results(table_, AS_OF).select(columns)
+    got = spark.sql("SELECT * FROM parse_results(TABLE(SELECT id, markdown FROM responses WHERE id <> 8))").select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+    want = operators.split_batches(table_).select("id", "pos", "query_text", "markdown")
+    got = spark.sql("SELECT * FROM split_batches(TABLE(SELECT id, markdown FROM responses WHERE id <> 8))")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+    def send(system, user):
+        if "bad" in user:
+            raise OSError("down")
+        return '{"importance_score": 7, "title": "' + user + '", "key_data": [{"label": "n", "value": 1}]}'
+
+    tablefunctions.register_model(spark, send, retries=1)
+    spark.createDataFrame([(1, "e1", "one"), (2, "e2", "bad")], "seq bigint, event_id string, context string").createOrReplaceTempView("contexts")
+    rows_ = spark.sql("SELECT seq, title, key_data[0].value AS v FROM analyse(TABLE(contexts))").collect()
+    assert [tuple(r) for r in rows_] == [(1, "one", "1")]
+    asked = spark.sql("SELECT * FROM ask(TABLE(SELECT seq AS id, context FROM contexts))").collect()
+    assert sorted((r["id"], r["answer"] is None, r["calls"]) for r in asked) == [(1, False, 1), (2, True, 2)]

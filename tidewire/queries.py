@@ -16,6 +16,7 @@ from .functions import dates, jsontext, text, urls
 from .operators import backfill, cluster, dedup, extras, filters, history, querygen, report, search, select, stats
 from .operators.graph import durable, shared_folder
 from .operators.similarity import distinct_sets, similar_sets
+from .sources import tablefunctions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -431,6 +432,15 @@ def search_markdown_parse(spark, sf):
     return r.select("batch_no", F.col("pos").cast("long").alias("pos"), F.col("total_found").cast("long").alias("total_found"), "title", "url", "snippet", "result_id")
 
 
+#: The same rows by a table function that SQL calls.
+@registered(SQL["search_markdown_parse"])
+def search_markdown_sql(spark, sf):
+    tablefunctions.register_parsers(spark)
+    _markdown(spark, sf).createOrReplaceTempView("tidewire_responses")
+    return spark.sql("""SELECT id AS batch_no, CAST(pos AS BIGINT) AS pos, CAST(total_found AS BIGINT) AS total_found, title, url, snippet, result_id
+      FROM parse_results(TABLE(SELECT batch_no AS id, markdown FROM tidewire_responses))""")
+
+
 @registered("SELECT l_orderkey AS batch_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS BIGINT) AS pos, 'part ' || l_partkey AS query_text, CAST(l_quantity AS BIGINT) AS total_found FROM lineitem")
 def batch_split(spark, sf):
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
