@@ -62,13 +62,18 @@ def scan_leaders(rows: list[tuple[list[str], list[str]]], threshold: float) -> l
     return [leaders.add(*r) for r in rows]
 
 
+#: Rare bigrams that a title and a group have in common before all are counted.
+SHARED = 4
+
+
 def closed_groups(titles: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
     """(id, group) for (bucket, id, grams, named) rows: groups such that no title can join a cluster of another group.
 
     A title of n bigrams joins a cluster only if the cluster holds ceil(t n) of them, t being the threshold that it may count
     on. So it joins none of a group whose titles together hold fewer. Groups start as single titles; a title and a group
-    that holds enough of its bigrams become one, until no such pair is left. Candidates share one of the title's
-    n - ceil(t n) + 1 rarest bigrams, and are counted in full. Bigrams of a group are listed once, however many titles have them.
+    that holds enough of its bigrams become one, until no such pair is left. Candidates share ``SHARED`` of the title's
+    n - ceil(t n) + ``SHARED`` rarest bigrams (a group lacks n - ceil(t n) at most), and are counted in full. Bigrams of a group are
+    listed once, however many titles have them.
     """
     t = F.when(F.col("named"), F.lit(relaxed_threshold(threshold))).otherwise(F.lit(threshold))
     need = F.greatest(F.ceil(F.size("grams") * t - F.lit(1e-9)).cast("int"), F.lit(1))
@@ -76,12 +81,14 @@ def closed_groups(titles: DataFrame, threshold: float, max_rounds: int = 60) ->
     grams = durable(sets.select("id", "bucket", "n", "need", F.explode("grams").alias("gram")))
     frequency = grams.groupBy("bucket", "gram").agg(F.count("*").alias("f"))
     order = F.sort_array(F.collect_list(F.struct("f", "gram")))
+    least = F.least(F.col("need"), F.lit(SHARED))
     ranked = grams.join(frequency, ["bucket", "gram"]).groupBy("id", "bucket", "n", "need").agg(order.alias("order"))
-    rare = durable(ranked.select("id", "bucket", "need", F.explode(F.slice("order", F.lit(1), F.col("n") - F.col("need") + 1)).alias("o")).select("id", "bucket", "need", F.col("o.gram").alias("gram")))
+    rare = durable(ranked.select("id", "bucket", "need", F.explode(F.slice("order", F.lit(1), F.col("n") - F.col("need") + least)).alias("o")).select("id", "bucket", "need", F.col("o.gram").alias("gram")))
     groups = sets.select("id", F.col("id").alias("group"))
     for _ in range(max_rounds):
         held = grams.select("id", "bucket", "gram").join(groups, "id").select("bucket", "gram", F.col("group").alias("other")).distinct()
-        met = rare.join(groups, "id").join(held, ["bucket", "gram"]).where(F.col("other") != F.col("group")).select("id", "bucket", "group", "need", "other").distinct()
+        met = rare.join(groups, "id").join(held, ["bucket", "gram"]).where(F.col("other") != F.col("group"))
+        met = met.groupBy("id", "bucket", "group", "need", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).drop("shared")
         full = met.join(grams.select("id", "gram"), "id").join(held, ["bucket", "gram", "other"])
         sure = full.groupBy("id", "group", "need", "other").agg(F.count("*").alias("have")).where(F.col("have") >= F.col("need"))
         found = Observation()

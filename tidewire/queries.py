@@ -388,9 +388,10 @@ def batch_summary(spark, sf):
     return querygen.batch_summary(querygen.generate(*_strategy(spark, sf)))
 
 
-@registered(f"WITH {_MATRIX} SELECT batch_id, pos, query, category, max_results FROM q QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY pos) <= 3")
+#: The matrix has more queries than the limit, the list of suppliers fewer, as many or more, by the size of the tables.
+@registered(f"WITH {_MATRIX} SELECT batch_id, pos, query, category, max_results FROM q QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY pos) <= 100")
 def per_batch_limit(spark, sf):
-    return querygen.generate(*_strategy(spark, sf), max_per_batch=3).select("batch_id", F.col("pos").cast("long").alias("pos"), "query", "category", "max_results")
+    return querygen.generate(*_strategy(spark, sf), max_per_batch=100).select("batch_id", F.col("pos").cast("long").alias("pos"), "query", "category", "max_results")
 
 
 @registered(f"""WITH q AS (SELECT p_partkey AS seq, p_name AS query, p_partkey // {params.SEARCH_BATCH} AS batch_no, p_size FROM part)
