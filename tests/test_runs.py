@@ -309,3 +309,32 @@ def test_table_functions(spark):
     assert [tuple(r) for r in rows_] == [(1, "one", "1")]
     asked = spark.sql("SELECT * FROM ask(TABLE(SELECT seq AS id, context FROM contexts))").collect()
     assert sorted((r["id"], r["answer"] is None, r["calls"]) for r in asked) == [(1, False, 1), (2, True, 2)]
+
+
+def test_a_second_service(spark):
+    sent = []
+
+    def send(request, timeout):
+        sent.append(json.loads(request.data))
+        return json.dumps({"results": [{"title": "t", "url": "https://www.s.com/x", "content": "c", "published_date": "2026-08-19", "score": 0.5}, {"url": "u", "domain": "d.com"}]}).encode()
+
+    service = search.QueryService("http://s", "k", time_range="day", send=send)
+    first, second = service("q", 3)
+    assert first == {"title": "t", "url": "https://www.s.com/x", "snippet": "c", "published": "2026-08-19", "score": 0.5, "domain": None} and second["domain"] == "d.com"
+    assert (sent[0]["query"], sent[0]["max_results"], sent[0]["time_range"]) == ("q", 3, "day") and search.QueryService("http://s", None)("q", 3) == []
+    rows_ = spark.createDataFrame([(0, "q0", 10, "a")], "seq bigint, query string, max_results int, category string")
+    got = search.supplement(rows_, lambda q, n: [{"title": "T", "url": "https://x.com/1", "domain": "named.com"}, {"title": "U", "url": "https://x.com/2"}], 1).collect()
+    assert sorted(r["source_domain"] for r in got) == ["named.com", "x.com"]
+
+
+def test_topics_and_single_sources(spark):
+    from tidewire.functions import scoring
+
+    df = spark.createDataFrame([(["Made up", " GPU", "AI-Chip", "gpu", "", None, "other", "eu", "us", "ipo"],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(scoring.topic_labels(F.col("t"))).collect()] == [["gpu", "ai_chip", "eu", "us", "ipo"], []]
+    arts = table(spark, [article(0, "Raises 7.5 billion", source_domain="a.com"), article(1, "It raises 7.5 billion", source_domain="b.com"), article(2, "It raises 7.5 billion", source_domain="c.com"),
+                         article(3, "17.5 and 30", source_domain="d.com"), article(4, "30 people", source_domain="d.com")])
+    events = spark.createDataFrame([(0, [f"a{k}" for k in range(5)])], "seq bigint, article_ids array<string>")
+    made = spark.createDataFrame([(0, [("raised", "$7.5 billion"), ("staff", "30"), ("other", "75"), ("none", "many")])], "seq bigint, key_data array<struct<label:string,value:string>>")
+    got = {r["label"]: (r["n_domains"], r["single_source"]) for r in extras.number_support(made, events, arts).collect()}
+    assert got == {"raised": (2, False), "staff": (1, True), "other": (0, True)}

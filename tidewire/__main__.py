@@ -86,6 +86,11 @@ def collected(queries: DataFrame, settings: Settings, clock: Column, run: daily.
         _, results = search.search(queries, service, clock, counts=counts)
         run.add("search", counts)
         check_searches(counts)
+        if settings.second_url:
+            more = search.supplement(queries, search.QueryService(settings.second_url, settings.second_key))
+            last = results.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            more = more.withColumns({"seq": F.col("seq") + F.lit(int(last) + 1), "fetched_at": clock})
+            results = results.unionByName(durable(more), allowMissingColumns=True)
     with run.stage("collect"):
         articles = durable(daily.collect(results, queries, clock))
 

@@ -16,6 +16,30 @@ SECTION_QUOTAS = {"top_news": (5, 7), "model_tech": (5, 8), "funding": (4, 6), "
 ITEMS_PER_COMPANY = 3
 
 
+#: Topic labels of an item, two to five each; fixed values.
+TOPICS = (
+    "foundation_model", "reasoning", "multimodal", "video_gen", "image_gen", "audio_gen",
+    "coding_agent", "ai_agent", "computer_use", "mcp", "a2a", "agent_protocol",
+    "world_model", "rlhf", "distillation", "inference", "training_efficiency",
+    "gpu", "ai_chip", "asic", "hbm", "datacenter", "ai_infra", "edge_ai",
+    "humanoid_robot", "embodied_ai", "robotics",
+    "funding", "acquisition", "ipo", "valuation", "venture_capital",
+    "regulation", "policy", "safety", "security", "jailbreak", "alignment",
+    "copyright", "export_control", "antitrust",
+    "open_source", "closed_source",
+    "us", "china", "eu", "uk", "japan", "global",
+)
+MOST_TOPICS = 5
+
+
+def topic_labels(topics: Column, known=TOPICS, most: int = MOST_TOPICS) -> Column:
+    """Up to ``most`` labels, distinct, lower-case with underscores, those of the vocabulary first."""
+    named = F.array_distinct(F.filter(F.transform(F.coalesce(topics, F.array().cast("array<string>")), lambda t: F.regexp_replace(F.lower(F.trim(t)), r"[\s-]+", "_")), lambda t: t != ""))
+    listed = F.array(*map(F.lit, known))
+    first = F.filter(named, lambda t: F.array_contains(listed, t))
+    return F.slice(F.concat(first, F.array_except(named, first)), 1, most)
+
+
 def importance(parts: dict[str, Column], weights=WEIGHTS) -> Column:
     """The weighted sum of the parts, missing ones counting 0, within 0 and 100."""
     total = F.lit(0.0)

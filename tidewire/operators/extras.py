@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import ITEMS_PER_COMPANY, SECTION_QUOTAS
+from ..functions.text import numeric_core
 from .graph import durable
+from .select import event_articles
 
 
 def limited_sections(items: DataFrame, quotas: dict[str, tuple[int, int]] = SECTION_QUOTAS) -> DataFrame:
@@ -50,6 +52,23 @@ def limited_companies(items: DataFrame, most: int = ITEMS_PER_COMPANY, max_round
     raise RuntimeError("companies did not settle")
 
 
+def number_support(analyses: DataFrame, events: DataFrame, articles: DataFrame, least: int = 2) -> DataFrame:
+    """(seq, label, value, n_domains, single_source) for each figure of (seq, key_data): how many domains of its event give that number.
+
+    Articles of one domain, or with the same text, are one source: what is copied confirms nothing. A figure below ``least``
+    sources is single-sourced and its credibility to be lowered; entries without a digit are no figures.
+    """
+    figures = analyses.select("seq", F.explode("key_data").alias("k")).select("seq", F.col("k.label").alias("label"), F.col("k.value").alias("value"))
+    figures = figures.where(F.rlike(F.coalesce("value", F.lit("")), F.lit(r"\d"))).withColumn("core", numeric_core(F.col("value")))
+    texts = event_articles(events, articles, ["source_domain", "title", "snippet"])
+    said = F.concat_ws(" ", "title", "snippet")
+    voices = texts.groupBy("seq", said.alias("said")).agg(F.min("source_domain").alias("source_domain"))
+    # digits beside the number would make it another one
+    there = F.rlike("said", F.concat(F.lit(r"(?<![\d.,])\Q"), F.col("core"), F.lit(r"\E(?![.,]?\d)")))
+    met = figures.join(voices, "seq", "left").groupBy("seq", "label", "value").agg(F.count_distinct(F.when(there, F.col("source_domain"))).alias("n_domains"))
+    return met.withColumn("single_source", F.col("n_domains") < least)
+
+
 def shortfalls(items: DataFrame, quotas: dict[str, tuple[int, int]] = SECTION_QUOTAS) -> DataFrame:
     """(section_id, n, least) of the sections below their least number."""
     wanted = items.sparkSession.createDataFrame([(k, a) for k, (a, _) in quotas.items()], "section_id string, least int")

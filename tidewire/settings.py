@@ -15,6 +15,8 @@ class Settings:
 
     search_url: str | None = None
     search_key: str | None = None
+    second_url: str | None = None
+    second_key: str | None = None
     model_url: str | None = None
     model_key: str | None = None
     model: str = ""

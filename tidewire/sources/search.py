@@ -144,10 +144,34 @@ def register_table_source(spark, name: str, fetch: Callable[[dict], list[tuple]]
     spark.dataSource.register(Source)
 
 
+class QueryService:
+    """A search service that answers one query a request in JSON; an instance is a ``fetch`` of ``supplement``.
+
+    Without a key it answers nothing.
+    """
+
+    def __init__(self, url: str, key: str | None, timeout: float = 30, depth: str = "basic", time_range: str | None = None,
+                 send: Callable[[urllib.request.Request, float], bytes] | None = None):
+        self.url, self.key, self.timeout, self.depth, self.time_range, self.send = url, key, timeout, depth, time_range, send
+
+    def __call__(self, query: str, max_results: int) -> list[dict]:
+        if not self.key:
+            return []
+        body = {"api_key": self.key, "query": query, "max_results": max_results, "search_depth": self.depth, "include_answer": False, "include_images": False}
+        if self.time_range:
+            body["time_range"] = self.time_range
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        raw = self.send(request, self.timeout) if self.send else urllib.request.urlopen(request, timeout=self.timeout).read()
+        return [
+            {"title": r.get("title", ""), "url": r.get("url", ""), "snippet": r.get("content", ""), "published": r.get("published_date"), "score": r.get("score"), "domain": r.get("domain")}
+            for r in json.loads(raw).get("results", [])
+        ]
+
+
 def supplement(queries: DataFrame, fetch: Callable[[str, int], list[dict]], n: int = 5, most: int = 7, concurrency: int = 5) -> DataFrame:
     """Results of a second service for n queries, balanced over categories; a failed call gives no rows.
 
-    ``fetch`` returns dicts with title, url and, if known, snippet, published and score. Times without a zone
+    ``fetch`` returns dicts with title, url and, if known, snippet, published, score and domain. Times without a zone
     count as UTC.
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -158,12 +182,12 @@ def supplement(queries: DataFrame, fetch: Callable[[str, int], list[dict]], n: i
 
     def one(pair: tuple[str, int]) -> list[dict]:
         try:
-            return [{"query_origin": pair[0], "pos": k} | {c: r.get(c) for c in ("title", "url", "snippet", "published", "score")} for k, r in enumerate(fetch(*pair))]
+            return [{"query_origin": pair[0], "pos": k} | {c: r.get(c) for c in ("title", "url", "snippet", "published", "score", "domain")} for k, r in enumerate(fetch(*pair))]
         except Exception:  # noqa: BLE001  the service is optional
             return []
 
     def run(frames):
-        names = ["seq", "query_origin", "pos", "title", "url", "snippet", "published", "score"]
+        names = ["seq", "query_origin", "pos", "title", "url", "snippet", "published", "score", "domain"]
         with ThreadPoolExecutor(concurrency) as pool:
             for frame in frames:
                 asked = list(zip(frame["query"], frame["max_results"].astype(int), strict=True))
@@ -171,8 +195,8 @@ def supplement(queries: DataFrame, fetch: Callable[[str, int], list[dict]], n: i
                 yield pd.DataFrame(rows, columns=names)
 
     picked = pick_balanced(queries, n).withColumn("max_results", F.least("max_results", F.lit(most))).select("seq", "query", "max_results")
-    found = picked.mapInPandas(run, "seq bigint, query_origin string, pos int, title string, url string, snippet string, published string, score double")
+    found = picked.mapInPandas(run, "seq bigint, query_origin string, pos int, title string, url string, snippet string, published string, score double, domain string")
     return found.select(
         (F.col("seq") * 1000 + F.col("pos")).alias("seq"), "query_origin", "title", "url", F.coalesce("snippet", F.lit("")).alias("snippet"),
-        source_domain(F.col("url")).alias("source_domain"), result_id(F.col("url"), F.col("title")).alias("result_id"), flexible_date(F.col("published")).alias("published_at"), "score",
+        F.coalesce(F.nullif("domain", F.lit("")), source_domain(F.col("url"))).alias("source_domain"), result_id(F.col("url"), F.col("title")).alias("result_id"), flexible_date(F.col("published")).alias("published_at"), "score",
     )
