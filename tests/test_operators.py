@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire import params
-from tidewire.operators import backfill, cluster, dedup, filters, history, querygen, report, search, select
+from tidewire.operators import backfill, cluster, dedup, filters, history, querygen, report, search, select, similarity
 from tidewire.operators.graph import components
 from tidewire.operators.similarity import distinct_sets, similar_sets
 from tidewire.types import ANALYSIS, ARTICLE, EVENT, HISTORY
@@ -133,6 +133,23 @@ def test_similarity_join_misses_nothing(spark, t):
     assert {(r["a"], r["b"]) for r in similar_sets(half, df, t).collect()} == {(a, b) for a in titles for b in titles if len(a) % 2 == 0 and alike(grams(a, False), grams(b, False)) >= t}
 
 
+def joins_by_rows(df) -> list[str]:
+    """The joins of a plan other than those with a table of a proven size."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "BroadcastHashJoin" not in x]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_sets_that_meet_are_no_rows_of_a_join(spark, monkeypatch, block):
+    """Elements of many sets are dealt in pairs of blocks; pairs are told once, and no join makes rows of those that are not alike."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(block)
+    sets = {f"s{k}": sorted(rng.sample("abcdefghijkl", rng.randint(1, 9))) for k in range(90)}
+    df = spark.createDataFrame(list(sets.items()), "id string, grams array<string>")
+    found = similar_sets(df, None, 0.6)
+    assert not joins_by_rows(found)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((a, b) for a in sets for b in sets if a < b and alike(set(sets[a]), set(sets[b])) >= 0.6)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
