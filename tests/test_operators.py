@@ -150,6 +150,29 @@ def test_sets_that_meet_are_no_rows_of_a_join(spark, monkeypatch, block):
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((a, b) for a in sets for b in sets if a < b and alike(set(sets[a]), set(sets[b])) >= 0.6)
 
 
+def crowded_titles(rng, n):
+    """Titles of few different bigrams, as many are."""
+    return [" ".join(rng.choice(("ab", "ba", "aab", "bba", "abc", "cab", "c")) for _ in range(rng.randint(2, 6))) for _ in range(n)]
+
+
+def seen_before(spark, rng):
+    """Events, earlier titles and, for each event, the first of the earlier ones that is like it."""
+    new, old = crowded_titles(rng, 50), crowded_titles(rng, 50)
+    events = spark.createDataFrame(list(enumerate(new)), "seq bigint, canonical_title string")
+    before = spark.createDataFrame([("f", k, t, k % 3 + 1) for k, t in enumerate(old)], "file string, pos bigint, canonical_title string, d int").withColumn("report_date", F.date_add(F.lit("2026-08-01").cast("date"), F.col("d"))).drop("d")
+    places = sorted(range(50), key=lambda k: (k % 3, k))
+    first = {k: next((old[o] for o in places if alike(grams(key(t), False), grams(key(old[o]), False)) >= 0.7), None) for k, t in enumerate(new)}
+    return events, before, first
+
+
+def test_first_hits_by_blocks(spark, monkeypatch):
+    """Both sides of a bigram in blocks of five titles: each event has its first hit, and once."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    events, before, first = seen_before(spark, random.Random(21))
+    hits = history.first_hits(events, before).collect()
+    assert sorted((r["seq"], r["hit_title"]) for r in hits) == sorted((k, t) for k, t in first.items() if t is not None)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
