@@ -173,6 +173,14 @@ def test_first_hits_by_blocks(spark, monkeypatch):
     assert sorted((r["seq"], r["hit_title"]) for r in hits) == sorted((k, t) for k, t in first.items() if t is not None)
 
 
+def test_fresh_events_by_blocks(spark, monkeypatch):
+    """Fresh are those without a like title in any block."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    events, before, first = seen_before(spark, random.Random(22))
+    fresh, seen = history.split_seen(events, before)
+    assert {r["seq"] for r in fresh.collect()} == {k for k, t in first.items() if t is None} and seen.count() == sum(t is not None for t in first.values())
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
