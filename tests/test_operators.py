@@ -181,6 +181,13 @@ def test_fresh_events_by_blocks(spark, monkeypatch):
     assert {r["seq"] for r in fresh.collect()} == {k for k, t in first.items() if t is None} and seen.count() == sum(t is not None for t in first.values())
 
 
+def test_title_pairs_make_no_rows_of_what_only_meets(spark, sf):
+    from tidewire import queries
+
+    pairs = queries.title_pairs(spark, sf)
+    assert not joins_by_rows(pairs) and "MapInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
