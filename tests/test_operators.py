@@ -188,6 +188,15 @@ def test_title_pairs_make_no_rows_of_what_only_meets(spark, sf):
     assert not joins_by_rows(pairs) and "MapInArrow" in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_title_dedup_by_blocks(spark, monkeypatch):
+    """Sequential elimination over pairs that were found in blocks of five titles equals the plain loop."""
+    monkeypatch.setattr(similarity, "BLOCK", 5)
+    titles = crowded_titles(random.Random(23), 120)
+    rows = [(k, t, "x" * (k % 3), GRADES[k % 4]) for k, t in enumerate(titles)]
+    df = table(spark, [article(k, t, snippet=x, reliability=g) for k, t, x, g in rows])
+    assert {r["seq"] for r in dedup.dedup_by_title(df, 0.85).collect()} == model_title_dedup(rows, 0.85)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
