@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire import params
 from tidewire.operators import backfill, cluster, dedup, filters, history, querygen, report, search, select, similarity
-from tidewire.operators.graph import components
+from tidewire.operators.graph import components, durable
 from tidewire.operators.similarity import distinct_sets, similar_sets
 from tidewire.types import ANALYSIS, ARTICLE, EVENT, HISTORY
 
@@ -197,6 +197,19 @@ def test_title_dedup_by_blocks(spark, monkeypatch):
     assert {r["seq"] for r in dedup.dedup_by_title(df, 0.85).collect()} == model_title_dedup(rows, 0.85)
 
 
+def test_large_group_is_found_without_pairs(spark, monkeypatch):
+    """Where all titles end in one group no pair of titles is a link, and what is left out of it still finds its group."""
+    kinds = []
+    monkeypatch.setattr(cluster, "durable", lambda df: kinds.append((df.columns, kept := durable(df))) or kept)
+    crowd = {f"t{k}": sorted(grams(key(t), False)) for k, t in enumerate(crowded_titles(random.Random(24), 150))}
+    apart = {"x1": ["xy", "yz", "zx"], "x2": ["xy", "yz", "zw"], "x3": ["qq"]}
+    df = spark.createDataFrame([("day", k, g, False) for k, g in (crowd | apart).items()], "bucket string, id string, grams array<string>, named boolean")
+    groups = {r["id"]: r["group"] for r in cluster.closed_groups(df, 0.6).collect()}
+    of_crowd = {groups[k] for k in crowd}
+    assert len(of_crowd) == 1 and groups["x1"] == groups["x2"] and len({groups["x3"], groups["x1"], *of_crowd}) == 3
+    assert all(kept.count() <= 2 for columns, kept in kinds if columns == ["a", "b"])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)]
