@@ -211,6 +211,21 @@ def test_history_as_an_index(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_index_deals_titles_by_their_rare_bigrams(spark, tmp_path):
+    """Bigrams that few titles have stand first, so that titles do not meet by those that all have; later days keep the order."""
+    name, where = "titles_by_rarity", str(tmp_path / "index")
+    history.open_index(spark, name, where)
+    words = [f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)}{chr(0x4E02 + 3 * k)}" for k in range(40)]
+    for day, some in ((18, words[:20]), (19, words[20:])):
+        titles = spark.createDataFrame([("f", k, f"thecommonwords{w}") for k, w in enumerate(some)], "file string, pos bigint, canonical_title string")
+        history.index_titles(titles.withColumn("report_date", F.lit(f"2026-08-{day}").cast("date")), name)
+    prefixes = {r["key"]: set(r["g"]) for r in spark.table(name).groupBy("key").agg(F.collect_set("gram").alias("g")).collect()}
+    assert len(prefixes) == 40 and all({f"s{w[0]}", w[:2], w[1:]} <= prefixes[f"thecommonwords{w}"] for w in words)
+    assert spark.table(f"{name}_order").where("gram = 'th'").first()["f"] == 20
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE {name}_order")
+
+
 def test_companies_have_room_in_order(spark):
     """Greedy choice equals a plain loop, ties and items without companies included."""
     rng = random.Random(8)
