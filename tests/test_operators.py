@@ -197,6 +197,39 @@ def test_title_dedup_by_blocks(spark, monkeypatch):
     assert {r["seq"] for r in dedup.dedup_by_title(df, 0.85).collect()} == model_title_dedup(rows, 0.85)
 
 
+def shuffled_rows(spark, run) -> int:
+    """Rows that all stages of ``run`` write to shuffles."""
+    jvm, store = spark._jvm, spark._jsc.sc().statusStore()
+
+    def total():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(k) for k in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def unlike_titles(rng, n, letters="abcd"):
+    """Titles of very few different bigrams: nearly all meet, few are alike."""
+    return ["".join(rng.choices(letters, k=24)) for _ in range(n)]
+
+
+#: Rows in shuffles for each title; the pairs of so many titles that meet are more by far.
+EACH, MANY = 60, 1200
+
+
+def test_first_hits_shuffle_no_pairs_that_only_meet(spark):
+    titles = unlike_titles(random.Random(31), MANY)
+    df = spark.createDataFrame(list(enumerate(titles)), "seq bigint, canonical_title string")
+    old = df.where("seq % 2 = 1").select(F.lit("2026-08-01").cast("date").alias("report_date"), F.lit("f").alias("file"), F.col("seq").alias("pos"), "canonical_title")
+    first = {k: next((o for o in range(1, MANY, 2) if alike(grams(titles[k], False), grams(titles[o], False)) >= 0.7), None) for k in range(0, MANY, 2)}
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(history.first_hits(df.where("seq % 2 = 0"), old).collect())) < EACH * MANY
+    assert {r["seq"]: r["hit_title"] for r in found} == {k: titles[o] for k, o in first.items() if o is not None}
+
+
 def test_large_group_is_found_without_pairs(spark, monkeypatch):
     """Where all titles end in one group no pair of titles is a link, and what is left out of it still finds its group."""
     kinds = []
