@@ -230,6 +230,16 @@ def test_first_hits_shuffle_no_pairs_that_only_meet(spark):
     assert {r["seq"]: r["hit_title"] for r in found} == {k: titles[o] for k, o in first.items() if o is not None}
 
 
+def test_fresh_events_shuffle_no_pairs_that_only_meet(spark):
+    titles = unlike_titles(random.Random(32), MANY)
+    df = spark.createDataFrame(list(enumerate(titles)), "seq bigint, canonical_title string")
+    old = df.where("seq % 2 = 1").select(F.lit("2026-08-01").cast("date").alias("report_date"), F.lit("f").alias("file"), F.col("seq").alias("pos"), "canonical_title")
+    seen = {k for k in range(0, MANY, 2) if any(alike(grams(titles[k], False), grams(titles[o], False)) >= 0.7 for o in range(1, MANY, 2))}
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(history.split_seen(df.where("seq % 2 = 0"), old)[0].collect())) < EACH * MANY
+    assert {r["seq"] for r in found} == {*range(0, MANY, 2)} - seen
+
+
 def test_large_group_is_found_without_pairs(spark, monkeypatch):
     """Where all titles end in one group no pair of titles is a link, and what is left out of it still finds its group."""
     kinds = []
