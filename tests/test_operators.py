@@ -240,6 +240,14 @@ def test_fresh_events_shuffle_no_pairs_that_only_meet(spark):
     assert {r["seq"] for r in found} == {*range(0, MANY, 2)} - seen
 
 
+def test_title_dedup_shuffles_no_pairs_that_only_meet(spark):
+    rows = [(k, t, "x" * (k % 3), GRADES[k % 4]) for k, t in enumerate(unlike_titles(random.Random(33), MANY, "abcde"))]
+    df = table(spark, [article(k, t, snippet=x, reliability=g) for k, t, x, g in rows])
+    found = []
+    assert shuffled_rows(spark, lambda: found.extend(dedup.dedup_by_title(df, 0.85).collect())) < EACH * MANY
+    assert {r["seq"] for r in found} == model_title_dedup(rows, 0.85)
+
+
 def test_large_group_is_found_without_pairs(spark, monkeypatch):
     """Where all titles end in one group no pair of titles is a link, and what is left out of it still finds its group."""
     kinds = []
